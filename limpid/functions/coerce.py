@@ -31,7 +31,8 @@ _MONTH_NAME = (
 )
 _YMD_RE = r"\A(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME + r"\z"
 _COMPACT_RE = r"\A(\d{4})(\d{2})(\d{2})\z"
-_MDY_RE = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})" + _TIME + r"\z"
+_MDY_RE = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME + r"\z"
+_MDY_SHORT_RE = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{2})" + _TIME + r"\z"
 _NAME_FIRST_RE = r"(?i)\A" + _MONTH_NAME + r"\.? (\d{1,2}),? (\d{4})" + _TIME + r"\z"
 _DAY_FIRST_RE = r"(?i)\A(\d{1,2})[ -]" + _MONTH_NAME + r"\.?,?[ -](\d{4})" + _TIME + r"\z"
 _YEAR_MONTH_RE = r"\A(\d{4})[-/](\d{1,2})\z"
@@ -94,19 +95,19 @@ def to_number(c: Column, storage: str = "object") -> Column:
     return F.when(c.rlike(NUMBER_RE), c.try_cast("double"))
 
 
-def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group)
-
-
 def _month_number(name: Column) -> Column:
     at = F.instr(F.lit(_MONTHS), F.lower(F.substring(name, 1, 3)))
     return ((at + 2) / 3).cast("int").cast("string")
 
 
+def _month_or_day_first(s: Column, pattern: str, century: Column | str) -> Column:
+    """``year-month-day`` text of a numeric date: month first unless that month does not exist."""
+    prefix = F.lit(century) if isinstance(century, str) else century
+    day_first = F.regexp_extract(s, pattern, 1).try_cast("int") > 12
+    return F.concat(prefix, F.when(day_first, F.regexp_replace(s, pattern, "$4-$3-$1"))
+                    .otherwise(F.regexp_replace(s, pattern, "$4-$1-$3")))
+
+
 def to_date(c: Column, storage: str = "object") -> Column:
     """Calendar date in the cell, null where there is none.
 
@@ -119,31 +120,29 @@ def to_date(c: Column, storage: str = "object") -> Column:
     if storage != "object":
         return F.lit(None).cast("date")
     s = strip(c)
-    mdy_year = _part(s, _MDY_RE, 4)
-    full_year = F.when(
-        F.length(mdy_year) == 2,
-        F.concat(F.when(mdy_year.try_cast("int") >= 70, F.lit("19")).otherwise(F.lit("20")), mdy_year),
-    ).otherwise(mdy_year)
-    first, second = _part(s, _MDY_RE, 1), _part(s, _MDY_RE, 3)
-    parsed = (
-        F.when(s.rlike(_YMD_RE), _date_of(_part(s, _YMD_RE, 1), _part(s, _YMD_RE, 3), _part(s, _YMD_RE, 4)))
-        .when(s.rlike(_COMPACT_RE),
-              _date_of(_part(s, _COMPACT_RE, 1), _part(s, _COMPACT_RE, 2), _part(s, _COMPACT_RE, 3)))
-        .when(s.rlike(_MDY_RE),
-              F.coalesce(_date_of(full_year, first, second), _date_of(full_year, second, first)))
-        .when(s.rlike(_NAME_FIRST_RE),
-              _date_of(_part(s, _NAME_FIRST_RE, 3), _month_number(_part(s, _NAME_FIRST_RE, 1)),
-                       _part(s, _NAME_FIRST_RE, 2)))
-        .when(s.rlike(_DAY_FIRST_RE),
-              _date_of(_part(s, _DAY_FIRST_RE, 3), _month_number(_part(s, _DAY_FIRST_RE, 2)),
-                       _part(s, _DAY_FIRST_RE, 1)))
-        .when(s.rlike(_YEAR_MONTH_RE),
-              _date_of(_part(s, _YEAR_MONTH_RE, 1), _part(s, _YEAR_MONTH_RE, 2), F.lit("1")))
-        .when(s.rlike(_YEAR_RE), _date_of(_part(s, _YEAR_RE, 1), F.lit("1"), F.lit("1")))
-        .when(s.rlike(_QUARTER_RE),
-              _date_of(_part(s, _QUARTER_RE, 1),
-                       (_part(s, _QUARTER_RE, 2).try_cast("int") * 3 - 2).cast("string"), F.lit("1")))
+
+    def rewrite(pattern: str, to: str) -> Column:
+        return F.regexp_replace(s, pattern, to)
+
+    def part(pattern: str, group: int) -> Column:
+        return F.regexp_extract(s, pattern, group)
+
+    century = F.when(part(_MDY_SHORT_RE, 4) >= "70", F.lit("19")).otherwise(F.lit("20"))
+    written = (
+        F.when(s.rlike(_YMD_RE), rewrite(_YMD_RE, "$1-$3-$4"))
+        .when(s.rlike(_COMPACT_RE), rewrite(_COMPACT_RE, "$1-$2-$3"))
+        .when(s.rlike(_YEAR_MONTH_RE), rewrite(_YEAR_MONTH_RE, "$1-$2-1"))
+        .when(s.rlike(_YEAR_RE), F.concat(s, F.lit("-1-1")))
+        .when(s.rlike(_NAME_FIRST_RE), F.concat_ws(
+            "-", part(_NAME_FIRST_RE, 3), _month_number(part(_NAME_FIRST_RE, 1)), part(_NAME_FIRST_RE, 2)))
+        .when(s.rlike(_DAY_FIRST_RE), F.concat_ws(
+            "-", part(_DAY_FIRST_RE, 3), _month_number(part(_DAY_FIRST_RE, 2)), part(_DAY_FIRST_RE, 1)))
+        .when(s.rlike(_QUARTER_RE), F.concat_ws(
+            "-", part(_QUARTER_RE, 1), (part(_QUARTER_RE, 2).try_cast("int") * 3 - 2).cast("string"), F.lit("1")))
+        .when(s.rlike(_MDY_RE), _month_or_day_first(s, _MDY_RE, ""))
+        .when(s.rlike(_MDY_SHORT_RE), _month_or_day_first(s, _MDY_SHORT_RE, century))
     )
+    parsed = written.try_cast("date")
     value = F.when(s.rlike(_DATE_GATE_RE), parsed)
     return F.when(value.between(F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")), value)
 

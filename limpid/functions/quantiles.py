@@ -12,6 +12,7 @@ which bounds the number of rounds by the bits of a double (about six), whatever
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,84 +45,137 @@ def _py_log_scale(x: float) -> float:
     return math.copysign(math.log1p(abs(x)), x)
 
 
+@dataclass(frozen=True)
+class _Range:
+    """Values of one column known to hold wanted ranks: ``below`` rows are smaller than ``low``."""
+
+    low: float
+    high: float
+    count: int
+    below: int
+    ranks: tuple[int, ...]
+    log: bool
+
+
+def _settle(r: _Range, found: dict[int, float]) -> _Range | None:
+    """Read off ranks at the ends of a range; what is left needs another round."""
+    rest = []
+    for rank in r.ranks:
+        if r.low == r.high or rank == r.below:
+            found[rank] = r.low
+        elif rank == r.below + r.count - 1:
+            found[rank] = r.high
+        else:
+            rest.append(rank)
+    return replace(r, ranks=tuple(rest)) if rest else None
+
+
+def _bucket_counts(df: DataFrame, columns: list[Column], ranges: list[list[_Range]], integer: bool) -> list:
+    """One scan: rows, smallest and largest value per (column, range, bucket).
+
+    All columns share one set of expressions; the bounds of the ranges are looked up by column.
+    """
+    width = max(len(r) for r in ranges)
+    kind = "bigint" if integer else "double"
+
+    def bounds(pick, empty, kind: str = kind) -> Column:
+        return F.array(*[
+            F.array(*[F.lit(pick(r[k]) if k < len(r) else empty).cast(kind) for k in range(width)]) for r in ranges])
+
+    def scaled(r: _Range, end):
+        return end if integer else _py_log_scale(end) if r.log else end / 2
+
+    cells = [x for slot, c in enumerate(columns) for x in (F.lit(slot), c)]
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias("slot", "value")).filter(F.col("value").isNotNull())
+    slot, value = F.col("slot"), F.col("value")
+    # an empty range has its bounds crossed
+    lows, highs = bounds(lambda r: r.low, 1)[slot], bounds(lambda r: r.high, 0)[slot]
+    which = F.lit(None).cast("int")
+    for k in reversed(range(width)):
+        which = F.when((value >= lows[k]) & (value <= highs[k]), F.lit(k)).otherwise(which)
+    placed = long.withColumn("range", which).filter(F.col("range").isNotNull())
+    at = F.col("range")
+    start = bounds(lambda r: scaled(r, r.low), 0)[slot][at]
+    span = bounds(lambda r: float(scaled(r, r.high) - scaled(r, r.low)), 1.0, "double")[slot][at]
+    if integer:
+        position = value
+    else:
+        # halves keep the difference of two huge ends finite
+        log = bounds(lambda r: float(r.log), 0.0)[slot][at]
+        position = F.when(log == 1.0, _log_scale(value)).otherwise(value / 2)
+    share = (position - start).cast("double") / span
+    bucket = F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
+    return (
+        placed.withColumn("bucket", bucket.cast("int"))
+        .groupBy("slot", "range", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()
+    )
+
+
+def order_statistics(
+    df: DataFrame,
+    columns: dict[str, Column],
+    spans: dict[str, tuple],
+    ranks: dict[str, list[int]],
+    integer: bool = False,
+) -> dict[str, dict[int, float]]:
+    """Values at the given ranks (0-based, nulls left out) of finite double or bigint columns.
+
+    ``spans`` gives (non-null count, min, max) of each column.
+    """
+    found: dict[str, dict] = {n: {} for n in columns}
+    open_ranges: dict[str, list[_Range]] = {}
+    for name in columns:
+        n, low, high = spans[name]
+        whole = _Range(low, high, n, 0, tuple(sorted(set(ranks[name]))), not integer and high - low > 1e6)
+        left = _settle(whole, found[name])
+        if left:
+            open_ranges[name] = [left]
+
+    while open_ranges:
+        names = list(open_ranges)
+        counted: dict[tuple[int, int], list] = {}
+        rows = _bucket_counts(df, [columns[n] for n in names], [open_ranges[n] for n in names], integer)
+        for row in rows:
+            counted.setdefault((row.slot, row.range), []).append(row)
+        following: dict[str, list[_Range]] = {}
+        for slot, name in enumerate(names):
+            for k, r in enumerate(open_ranges[name]):
+                position = r.below
+                for row in sorted(counted[slot, k], key=lambda x: x.bucket):
+                    inside = tuple(x for x in r.ranks if position <= x < position + row.n)
+                    if inside:
+                        if not r.log and (row.low, row.high) == (r.low, r.high):
+                            raise ArithmeticError(f"rank search makes no progress on {name}")
+                        left = _settle(_Range(row.low, row.high, row.n, position, inside, False), found[name])
+                        if left:
+                            following.setdefault(name, []).append(left)
+                    position += row.n
+        open_ranges = following
+    return found
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: dict[str, Column],
     ranges: dict[str, tuple[int, float, float]],
-    probabilities: dict[str, list[float]] | list[float],
+    probabilities: list[float],
 ) -> dict[str, dict[float, float]]:
     """Linearly interpolated quantiles ``{name: {p: value}}``.
 
     ``columns`` are double expressions over ``df``; ``ranges`` gives (non-null count, min, max) of
     each, which the caller already has from its wide aggregate.
     """
-    names = [n for n in columns if ranges[n][0]]
-    wanted = {n: (probabilities[n] if isinstance(probabilities, dict) else probabilities) for n in names}
-    found: dict[str, dict[int, float]] = {n: {} for n in names}
-    # open ranges: (column index, low, high, rows below, on a log scale)
-    open_ranges: dict[tuple, list[int]] = {}
-
-    def place(i: int, low: float, high: float, count: int, below: int, ranks: list[int], log: bool) -> None:
-        """Resolve ranks at the ends of a range; keep the others open."""
-        rest = []
-        for r in ranks:
-            if low == high or r == below:
-                found[names[i]][r] = low
-            elif r == below + count - 1:
-                found[names[i]][r] = high
-            else:
-                rest.append(r)
-        if rest:
-            open_ranges[(i, low, high, below, log)] = rest
-
-    for i, name in enumerate(names):
-        n, low, high = ranges[name]
-        low, high = max(low, -_MAX), min(high, _MAX)
-        # small spans need no log round: the linear rounds converge as fast
-        log = high - low > 1e6
-        place(i, low, high, n, 0, _wanted_ranks(n, wanted[name]), log)
-
-    while open_ranges:
-        work = list(open_ranges.items())
-        open_ranges.clear()
-        cells = []
-        for slot, ((i, low, high, _below, log), _ranks) in enumerate(work):
-            c = F.least(F.greatest(columns[names[i]], F.lit(-_MAX)), F.lit(_MAX))
-            if log:
-                a, b = _py_log_scale(low), _py_log_scale(high)
-                share = (_log_scale(c) - F.lit(a)) / F.lit(b - a)
-            else:
-                span = high - low
-                # halves keep the difference of two huge ends finite
-                share = (c / 2 - F.lit(low / 2)) / F.lit(span / 2 if math.isfinite(span) else high / 2 - low / 2)
-            bucket = F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-            value = columns[names[i]]
-            cells.append(F.when(
-                value.isNotNull() & c.between(low, high),
-                F.struct(F.lit(slot).alias("slot"), bucket.alias("bucket"), c.alias("value"))))
-        counted = (
-            df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-            .select("cell.slot", "cell.bucket", "cell.value")
-            .groupBy("slot", "bucket")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-            .collect()
-        )
-        by_slot: dict[int, list] = {}
-        for row in counted:
-            by_slot.setdefault(row.slot, []).append(row)
-        for slot, ((i, _low, _high, below, log), ranks) in enumerate(work):
-            position = below
-            for row in sorted(by_slot.get(slot, ()), key=lambda r: r.bucket):
-                inside = [r for r in ranks if position <= r < position + row.n]
-                if inside:
-                    if not log and (row.low, row.high) == (_low, _high):
-                        raise ArithmeticError(f"no progress on quantiles of {names[i]}")
-                    place(i, row.low, row.high, row.n, position, inside, False)
-                position += row.n
-
+    filled = {n: c for n, c in columns.items() if ranges[n][0]}
+    clamped = {n: F.least(F.greatest(c, F.lit(-_MAX)), F.lit(_MAX)) for n, c in filled.items()}
+    # least and greatest skip nulls, so an empty cell has to stay empty explicitly
+    clamped = {n: F.when(filled[n].isNotNull(), c) for n, c in clamped.items()}
+    spans = {n: (ranges[n][0], max(ranges[n][1], -_MAX), min(ranges[n][2], _MAX)) for n in filled}
+    ranks = {n: _wanted_ranks(ranges[n][0], probabilities) for n in filled}
+    found = order_statistics(df, clamped, spans, ranks)
     out: dict[str, dict[float, float]] = {}
-    for name in names:
-        n = ranges[name][0]
+    for name in filled:
         values = {r: (math.copysign(math.inf, v) if abs(v) >= _MAX else v) for r, v in found[name].items()}
-        out[name] = {p: _interpolate(values, n, p) for p in wanted[name]}
+        out[name] = {p: _interpolate(values, ranges[name][0], p) for p in probabilities}
     return out

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions import constants as K
 from limpid.functions.coerce import (
-    cell_text, col, is_bool_like, is_sentinel_word, iso_date, matches, nan_to_null, storage_of, strip,
-    to_date, to_number,
+    cell_text, col, is_sentinel_word, nan_to_null, storage_of, strip, to_number,
 )
 from limpid.functions.quantiles import exact_quantiles
 from limpid.operators.duplicates import count_duplicates
@@ -122,7 +121,6 @@ class _Cells:
     storage: str
     raw: Column
     number: Column
-    date: Column
 
 
 def _cells(df: DataFrame, row_id: str | None) -> list[_Cells]:
@@ -131,7 +129,7 @@ def _cells(df: DataFrame, row_id: str | None) -> list[_Cells]:
         kind = df.schema[name].dataType
         storage = storage_of(kind)
         raw = nan_to_null(col(name), kind)
-        out.append(_Cells(name, slot, storage, raw, to_number(raw, storage), to_date(raw, storage)))
+        out.append(_Cells(name, slot, storage, raw, to_number(raw, storage)))
     return out
 
 
@@ -139,25 +137,24 @@ def _is_numeric_storage(c: _Cells) -> bool:
     return c.storage in ("int", "float")
 
 
-def _base_counts(df: DataFrame, cells: list[_Cells]) -> dict:
-    """First pass: null, format and type counts of text, and the moments of every number."""
+def _moments(df: DataFrame, cells: list[_Cells], also_text: bool = False) -> dict:
+    """Null counts of all columns, moments of numbers, date span of native timestamps."""
     prepared, wanted = [], {}
     for c in cells:
         s = c.slot
-        prepared.append(c.raw.alias(f"v{s}"))
-        v, num, day = F.col(f"v{s}"), F.col(f"num{s}"), F.col(f"day{s}")
-        wanted[f"n{s}"] = F.count(v)
-        if c.storage in ("object", "int", "float", "bool"):
+        if not also_text:
+            prepared.append(c.raw.alias(f"v{s}"))
+            wanted[f"n{s}"] = F.count(F.col(f"v{s}"))
+        if c.storage in ("int", "float", "bool") or also_text:
             # parsed once per cell: the projection is not merged into the aggregate
             prepared.append(c.number.alias(f"num{s}"))
+            num = F.col(f"num{s}")
             wanted |= {f"num{s}": F.count(num), f"min{s}": F.min(num), f"max{s}": F.max(num),
                        f"avg{s}": F.avg(num), f"std{s}": F.stddev_samp(num)}
-        if c.storage in ("object", "timestamp"):
-            prepared.append(c.date.alias(f"day{s}"))
-            wanted |= {f"day{s}": F.count(day), f"from{s}": iso_date(F.min(day)), f"to{s}": iso_date(F.max(day))}
-        if c.storage == "object":
-            wanted |= {f"bool{s}": F.count_if(is_bool_like(v)), f"sent{s}": F.count_if(is_sentinel_word(v))}
-            wanted |= {f"{p}{s}": F.count_if(matches(v, p)) for p in K.PATTERNS}
+        if c.storage == "timestamp":
+            v = F.col(f"v{s}")
+            wanted |= {f"from{s}": F.min(v).cast("date").cast("string"),
+                       f"to{s}": F.max(v).cast("date").cast("string")}
     return aggregate_in_groups(df.select(*prepared), wanted)
 
 
@@ -184,7 +181,7 @@ def dominant_pattern(counts: dict[str, int], filled: int) -> str | None:
     """First format, in library order, that more than half of the cells have."""
     if not filled:
         return None
-    return next((p for p in K.PATTERNS if counts[p] / filled > K.MAJORITY_SHARE), None)
+    return next((p for p in K.PATTERNS if counts.get(p, 0) / filled > K.MAJORITY_SHARE), None)
 
 
 def histogram_edges(low: float, high: float) -> list[float]:
@@ -212,53 +209,54 @@ def profile_table(
 
 def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None, missingness: bool) -> TableProfile:
     cells = _cells(df, row_id)
-    base = _base_counts(df, cells)
+    base = _moments(df, cells)
+    nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
+    summaries = _summaries(df, cells, nulls, row_id, missingness)
     profiles: dict[str, ColumnProfile] = {}
-    missing = invalid = inconsistent = 0
+    invalid = inconsistent = 0
 
     for c in cells:
-        s, filled = c.slot, base[f"n{c.slot}"]
-        nulls = rows - filled
-        missing += nulls
+        s, filled = c.slot, rows - nulls[c.slot]
         storage = c.storage
-        if nulls and storage == "int":
-            storage = "float"       # a column of integers with gaps is stored as float
-        bool_with_gaps = storage == "bool" and nulls > 0
-        n_number, n_date = base.get(f"num{s}", 0), base.get(f"day{s}", 0)
-        kind = detect_type(c.storage, filled, n_number, n_date, base.get(f"bool{s}", 0))
+        if nulls[s]:
+            # integers with gaps are stored as float, booleans with gaps as objects
+            storage = {"int": "float", "bool": "object"}.get(storage, storage)
+        found = summaries.get(s, SlotSummary())
+        kind = detect_type(c.storage, filled, found.numbers, found.dates, found.bool_like)
         p = profiles[c.name] = ColumnProfile(
-            c.name, s, "object" if bool_with_gaps else storage, kind, nulls,
-            round(nulls / rows * 100, 1) if rows else 0.0)
+            c.name, s, storage, kind, nulls[s], round(nulls[s] / rows * 100, 1) if rows else 0.0)
+        if kind in ("string", "bool"):
+            p.unique_count, p.top_values = found.distinct, found.top
+            p.cardinality_pct = round(found.distinct / filled * 100, 1) if filled else 0.0
+            p.castable_pct, p.format_inconsistency = 0.0, False
         if c.storage != "object":
             continue
-        formats = {name: base[f"{name}{s}"] for name in K.PATTERNS}
-        pattern = dominant_pattern(formats, filled)
-        if filled:
-            if n_number / filled > K.MAJORITY_SHARE:
-                invalid += filled - n_number
-            elif n_date / filled > K.MAJORITY_SHARE:
-                invalid += filled - n_date
-        if pattern:
-            inconsistent += filled - formats[pattern]
+        pattern = dominant_pattern(found.patterns, filled)
+        misfits = filled - found.patterns[pattern] if pattern else 0
+        inconsistent += misfits
+        if filled and found.numbers / filled > K.MAJORITY_SHARE:
+            invalid += filled - found.numbers
+        elif filled and found.dates / filled > K.MAJORITY_SHARE:
+            invalid += filled - found.dates
         if kind == "numeric":
-            p.invalid_count = filled - n_number
+            p.invalid_count = filled - found.numbers
         elif kind == "date":
-            p.invalid_count = filled - n_date
-        elif kind == "string":
-            p.pattern = pattern
-            p.invalid_count = filled - formats[pattern] if pattern else 0
+            p.invalid_count = filled - found.dates
         else:
             p.pattern = pattern
-        if kind in ("string", "bool"):
-            p.sentinel_count = base[f"sent{s}"]
-            p.castable_pct = round(n_number / filled * 100, 1) if filled else 0.0
-            p.format_inconsistency = n_number >= 5 and p.castable_pct < K.DETECT_SHARE * 100
-
+            p.invalid_count = misfits if kind == "string" else 0
+            p.sentinel_count = found.sentinels
+            p.castable_pct = round(found.numbers / filled * 100, 1) if filled else 0.0
+            p.format_inconsistency = found.numbers >= 5 and p.castable_pct < K.DETECT_SHARE * 100
+
+    texts = [c for c in cells if c.storage == "object" and profiles[c.name].is_numeric_like]
+    base |= _moments(df, [c for c in texts if summaries[c.slot].numbers], also_text=True)
+    base |= {f"from{c.slot}": summaries[c.slot].first_date for c in texts}
+    base |= {f"to{c.slot}": summaries[c.slot].last_date for c in texts}
     _numeric_profiles(df, cells, base, profiles)
-    summaries = _value_profiles(df, cells, base, profiles, row_id, missingness)
     _text_samples(df, cells, profiles, row_id)
 
-    total_cells = rows * len(cells)
+    total_cells, missing = rows * len(cells), sum(nulls.values())
     duplicates = count_duplicates(df, row_id)
     out = TableProfile(
         rows, len(cells), missing, duplicates, malformed_rows, invalid,
@@ -272,6 +270,23 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
     return out
 
 
+def _summaries(
+    df: DataFrame, cells: list[_Cells], nulls: dict[int, int], row_id: str | None, missingness: bool
+) -> dict[int, SlotSummary]:
+    """Value summaries of text and boolean columns.
+
+    For the missing-at-random test the same counts also carry the null flags of other columns, and
+    native timestamps are counted as categories.
+    """
+    flags = {f"m{c.slot}": c.raw.isNull() for c in cells
+             if missingness and nulls[c.slot] >= K.MISSINGNESS_MIN_NULLS}
+    kinds = ("object", "bool", "timestamp") if flags else ("object", "bool")
+    chosen = {c.slot: cell_text(c.raw, c.storage) for c in cells if c.storage in kinds}
+    if not chosen:
+        return {}
+    return summarise_values(value_counts(df, chosen, row_id, flags), K.TOP_VALUES, list(flags))
+
+
 def _numeric_profiles(df: DataFrame, cells: list[_Cells], base: dict, profiles: dict[str, ColumnProfile]) -> None:
     """Moments, quartiles, fences, histogram and repeated extremes of numeric and date columns."""
     chosen = {}
@@ -282,7 +297,7 @@ def _numeric_profiles(df: DataFrame, cells: list[_Cells], base: dict, profiles:
         p.outliers = {"count": 0, "method": "IQR", "lower": None, "upper": None}
         if base.get(f"num{s}"):
             chosen[c.name] = c
-        elif base.get(f"day{s}"):
+        elif base.get(f"from{s}"):
             p.stats = {"min_date": base[f"from{s}"], "max_date": base[f"to{s}"]}
     if not chosen:
         return
@@ -354,37 +369,6 @@ def _numeric_sentinels(
             profiles[names[row.slot]].sentinel_values.append(row.value)
 
 
-def _value_profiles(
-    df: DataFrame, cells: list[_Cells], base: dict, profiles: dict[str, ColumnProfile],
-    row_id: str | None, missingness: bool,
-) -> dict[int, SlotSummary]:
-    """Distinct counts and frequent values of text and boolean columns."""
-    flags = {f"m{c.slot}": c.raw.isNull() for c in cells
-             if missingness and profiles[c.name].null_count >= K.MISSINGNESS_MIN_NULLS}
-    chosen = {}
-    for c in cells:
-        p = profiles[c.name]
-        wanted = p.detected_type in ("string", "bool") or (flags and p.storage_type in ("object", "timestamp"))
-        if wanted and base[f"n{c.slot}"]:
-            chosen[c.slot] = cell_text(c.raw, c.storage)
-    for c in cells:
-        p = profiles[c.name]
-        if not p.is_numeric_like:
-            p.unique_count, p.cardinality_pct = 0, 0.0
-            p.castable_pct = p.castable_pct or 0.0
-            p.format_inconsistency = bool(p.format_inconsistency)
-    if not chosen:
-        return {}
-    summaries = summarise_values(value_counts(df, chosen, row_id, flags), K.TOP_VALUES, list(flags))
-    for c in cells:
-        p = profiles[c.name]
-        if c.slot in summaries and not p.is_numeric_like:
-            found = summaries[c.slot]
-            p.unique_count, p.top_values = found.distinct, found.top
-            p.cardinality_pct = round(found.distinct / found.rows * 100, 1)
-    return summaries
-
-
 def _text_samples(df: DataFrame, cells: list[_Cells], profiles: dict[str, ColumnProfile], row_id: str | None) -> None:
     """Spellings of sentinel words, and sample cells of columns with mixed formats."""
     with_words = {c.slot: c for c in cells if not profiles[c.name].is_numeric_like and profiles[c.name].sentinel_count}

@@ -7,29 +7,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limpid.functions.coerce import col
+from limpid.functions.coerce import col, is_bool_like, is_sentinel_word, matches, to_date, to_number
+from limpid.functions.constants import PATTERNS
 
 
 def unpivot_cells(df: DataFrame, cells: dict[int, Column], extra: list[Column] | None = None) -> DataFrame:
     """One row (slot, value, extra...) per non-null cell of the given expressions.
 
-    A struct is made only for a non-null cell, so rows without any are dropped by the explode.
+    ``stack`` stays in generated code, unlike array functions that take a lambda.
     """
     extra = extra or []
-    structs = [
-        F.when(c.isNotNull(), F.struct(F.lit(slot).alias("slot"), c.alias("value")))
-        for slot, c in cells.items()
-    ]
+    stacked = [x for slot, c in cells.items() for x in (F.lit(slot), c)]
     return (
-        df.select(*extra, F.explode(F.array_compact(F.array(*structs))).alias("cell"))
-        .select("cell.slot", "cell.value", *[F.col(n) for n in _names(df, extra)])
+        df.select(*extra, F.stack(F.lit(len(cells)), *stacked).alias("slot", "value"))
+        .filter(F.col("value").isNotNull())
     )
 
 
-def _names(df: DataFrame, extra: list[Column]) -> list[str]:
-    return df.select(*extra).columns if extra else []
-
-
 def value_counts(
     df: DataFrame,
     cells: dict[int, Column],
@@ -56,41 +50,67 @@ def value_counts(
 
 @dataclass
 class SlotSummary:
-    """Distinct count and frequent values of one slot, with the sums of the missingness test."""
+    """What the value counts of one slot say: sizes, frequent values, and counts of cell forms."""
 
     distinct: int = 0
     rows: int = 0
     top: list[tuple[str, int]] = field(default_factory=list)
     smallest_group: int = 0
     largest_group: int = 0
+    numbers: int = 0
+    dates: int = 0
+    bool_like: int = 0
+    sentinels: int = 0
+    first_date: str | None = None
+    last_date: str | None = None
+    patterns: dict[str, int] = field(default_factory=dict)
     missing: dict[str, int] = field(default_factory=dict)
     missing_share: dict[str, float] = field(default_factory=dict)
 
 
+def _rows_where(flag: Column) -> Column:
+    """Table rows (not distinct values) whose value has the flag."""
+    return F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
+
+
 def summarise_values(
     counts: DataFrame, top: int, null_flags: list[str] | None = None
 ) -> dict[int, SlotSummary]:
     """Reduce value counts to one summary per slot.
 
-    The frequent values are limited inside every task before they are shuffled (the filter on
-    ``row_number`` becomes a group limit), so no task sees all values of a slot. Both branches
-    read the same shuffled counts.
+    Cell forms (number, date, format, ...) are tested once per distinct value and weighted by its
+    count; the tests are one set of expressions, however many columns there are. The frequent
+    values are limited inside every task before they are shuffled (the filter on ``row_number``
+    becomes a group limit), so no task sees all values of a slot. Both branches read the same
+    shuffled counts.
     """
     null_flags = null_flags or []
     shares = [
         x for f in null_flags
         for x in (F.sum(f).alias(f), F.sum(F.col(f) * F.col(f) / F.col("n")).alias(f + "_s"))
     ]
-    totals = counts.groupBy("slot").agg(
+    value = F.col("value")
+    formed = counts.withColumns({"day": to_date(value), "is_number": to_number(value).isNotNull()})
+    totals = formed.groupBy("slot").agg(
         F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("rows"),
-        F.min("n").alias("low"), F.max("n").alias("high"), *shares)
-    out: dict[int, SlotSummary] = {}
+        F.min("n").alias("low"), F.max("n").alias("high"),
+        _rows_where(F.col("is_number")).alias("numbers"),
+        _rows_where(F.col("day").isNotNull()).alias("dates"),
+        _rows_where(is_bool_like(value)).alias("bool_like"),
+        _rows_where(is_sentinel_word(value)).alias("sentinels"),
+        F.min("day").alias("first_date"), F.max("day").alias("last_date"),
+        *[_rows_where(matches(value, p)).alias("p_" + p) for p in PATTERNS],
+        *shares)
     ranked = top_values(counts, top).select(
         "slot", F.struct(F.col("rank"), F.col("value"), F.col("n")).alias("top"))
     best = ranked.groupBy("slot").agg(F.sort_array(F.collect_list("top")).alias("top"))
+    out: dict[int, SlotSummary] = {}
     for row in totals.join(best, "slot", "left").collect():
         out[row.slot] = SlotSummary(
             row.n_distinct, row.rows, [(t.value, t.n) for t in row.top or []], row.low, row.high,
+            row.numbers, row.dates, row.bool_like, row.sentinels,
+            row.first_date and row.first_date.isoformat(), row.last_date and row.last_date.isoformat(),
+            {p: row["p_" + p] for p in PATTERNS},
             {f: row[f] for f in null_flags}, {f: row[f + "_s"] for f in null_flags})
     return out
 

@@ -20,7 +20,7 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("limpid")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
