@@ -88,6 +88,7 @@ class TableProfile:
     consistency: float
     columns: list[ColumnProfile]
     associations: list[Association] | None = None
+    association_tests: dict[tuple[str, str], tuple[str, float, float]] = field(default_factory=dict)
 
     @property
     def total_cells(self) -> int:
@@ -266,7 +267,9 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
         round((1 - inconsistent / total_cells) * 100, 2) if total_cells else 100.0,
         [profiles[c.name] for c in cells])
     if missingness:
-        out.associations = _associations(df, cells, base, rows, summaries)
+        out.association_tests = _association_tests(df, cells, base, rows, summaries)
+        tested = dict.fromkeys(column for column, _ in out.association_tests)
+        out.associations = first_associations([c.name for c in cells], list(tested), out.association_tests)
     return out
 
 
@@ -386,12 +389,12 @@ def _text_samples(df: DataFrame, cells: list[_Cells], profiles: dict[str, Column
             profiles[mixed[slot].name].non_castable_sample = sample
 
 
-def _associations(
+def _association_tests(
     df: DataFrame, cells: list[_Cells], base: dict, rows: int, summaries: dict[int, SlotSummary]
-) -> list[Association]:
-    """Missing-at-random test of every column with enough nulls against every other column."""
+) -> dict[tuple[str, str], tuple[str, float, float]]:
+    """(test, statistic, p) of every column with enough nulls against every other column."""
     if rows < K.MISSINGNESS_MIN_ROWS:
-        return []
+        return {}
     nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
     gappy = [c for c in cells if nulls[c.slot] >= K.MISSINGNESS_MIN_NULLS]
     others = [c for c in cells if base[f"n{c.slot}"] >= K.MISSINGNESS_MIN_ROWS]
@@ -421,7 +424,7 @@ def _associations(
                 tests[g.name, o.name] = ("point_biserial", *found)
             elif o.slot in summaries:
                 tests[g.name, o.name] = ("chi2", *chi_square(summaries[o.slot], f"m{g.slot}"))
-    return first_associations([c.name for c in cells], [g.name for g in gappy], tests)
+    return tests
 
 
 def detect_missingness(df: DataFrame, row_id: str | None = ROW_ID) -> list[Association]:

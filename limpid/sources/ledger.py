@@ -136,7 +136,10 @@ class Ledger:
             return self.spark.createDataFrame([], schema)
 
     def files(self) -> DataFrame:
-        return self._read("files", FILE_SCHEMA)
+        """One row per file; a file registered again after a crash keeps its newest entry."""
+        newest = Window.partitionBy("file_id").orderBy(F.desc("uploaded_at"))
+        ranked = self._read("files", FILE_SCHEMA).withColumn("__rank", F.row_number().over(newest))
+        return ranked.filter(F.col("__rank") <= 1).drop("__rank")
 
     def events(self) -> DataFrame:
         return self._read("runs", RUN_SCHEMA)
