@@ -60,18 +60,18 @@ _DETECTED = ("CASE WHEN filled = 0 THEN 'string' WHEN bools = filled THEN 'bool'
              "WHEN dates >= 0.8 * filled THEN 'date' ELSE 'string' END")
 
 
-def duplicates_sql(view_name: str) -> str:
-    cols = ", ".join(COLUMNS[view_name])
+def duplicates_sql(view_name: str, columns) -> str:
+    cols = ", ".join(columns)
     return f"(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM {view_name} GROUP BY {cols}))"
 
 
-def score_sql(view_name: str) -> str:
+def score_sql(view_name: str, columns=None, texts=None) -> str:
     """SQL: one row with the inputs of the score."""
-    cols = COLUMNS[view_name]
+    cols = columns or COLUMNS[view_name]
     nulls = " + ".join(f"count(*) - count({c})" for c in cols)
-    return f"""facts AS ({text_facts(view_name)}),
+    return f"""facts AS ({text_facts(view_name, texts)}),
 base AS (SELECT count(*) AS n, count(*) * {len(cols)} AS cells, {nulls} AS missing FROM {view_name}),
-parts AS (SELECT n, cells, missing, {duplicates_sql(view_name)} AS dups,
+parts AS (SELECT n, cells, missing, {duplicates_sql(view_name, cols)} AS dups,
   (SELECT CAST(sum({_INVALID}) AS BIGINT) FROM facts) AS invalid,
   (SELECT CAST(sum(filled - {_MATCHED}) AS BIGINT) FROM facts) AS inconsistent FROM base),
 dims AS (SELECT *, (1 - missing / cells) * 100 AS completeness, (1 - dups / n) * 100 AS uniqueness,
