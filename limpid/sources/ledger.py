@@ -122,14 +122,18 @@ def recency_groups(runs: DataFrame, now: Column) -> DataFrame:
 
 
 class Ledger:
-    """Ledger tables in a folder: ``files`` and ``runs``, appended as parquet."""
+    """Ledger tables in a folder: ``files`` and ``runs``, as parquet.
+
+    Every append goes to a folder of its own, so writers at the same time do not disturb each other.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+            return (self.spark.read.schema(schema).option("recursiveFileLookup", True)
+                    .parquet(f"{self.folder}/{name}"))
         except Exception as e:  # the table does not exist before the first append
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -150,8 +154,7 @@ class Ledger:
     def add_file(self, user_id: str, filename: str, raw_path: str, size: int = 0, has_header: bool = True,
                  file_id: str | None = None) -> str:
         file_id = file_id or str(uuid.uuid4())
-        row = (file_id, user_id, filename, size, has_header, raw_path, _now())
-        self.spark.createDataFrame([row], FILE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/files")
+        self._write("files", FILE_SCHEMA, (file_id, user_id, filename, size, has_header, raw_path, _now()))
         return file_id
 
     def start_run(self, file_id: str, run_id: str | None = None, status: str = "PENDING", **values) -> str:
@@ -199,7 +202,11 @@ class Ledger:
     def _append(self, values: dict) -> None:
         names = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
         row = tuple(values.get(n) for n in names)
-        self.spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
+        self._write("runs", RUN_SCHEMA, row)
+
+    def _write(self, name: str, schema: str, row: tuple) -> None:
+        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        self.spark.createDataFrame([row], schema).coalesce(1).write.parquet(path)
 
 
 def carried_plan(generated: str, approved: str | None) -> str:

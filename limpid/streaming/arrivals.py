@@ -23,6 +23,7 @@ def arrivals(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", True)
         .load(folder).select("path", "length")
     )
 
