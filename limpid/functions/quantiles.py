@@ -33,6 +33,8 @@ def _wanted_ranks(n: int, probabilities: list[float]) -> list[int]:
 def _interpolate(values: dict[int, float], n: int, p: float) -> float:
     position = p * (n - 1)
     low, high = math.floor(position), math.ceil(position)
+    if low == high:
+        return values[low]
     fraction = position - low
     return values[low] + (values[high] - values[low]) * fraction
 

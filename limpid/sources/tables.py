@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ def with_file_row_id(df: DataFrame, position: Column) -> DataFrame:
     files = sorted(df.inputFiles())
     if len(files) <= 1:
         return df.withColumn(ROW_ID, position)
-    path = F.col("_metadata.file_path")
+    # the list says file:///x where the metadata column says file:/x
+    files = [re.sub("^file:/+", "file:/", f) for f in files]
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
     if len(files) <= _MAP_FILES:
         pairs = [F.lit(x) for i, f in enumerate(files) for x in (f, i)]
         return df.withColumn(ROW_ID, F.create_map(*pairs)[path].cast("long") * _FILE_SPAN + position)
