@@ -29,15 +29,18 @@ _MONTH_NAME = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
     r"sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_YMD_RE = r"\A(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME + r"\z"
-_COMPACT_RE = r"\A(\d{4})(\d{2})(\d{2})\z"
-_MDY_RE = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME + r"\z"
-_MDY_SHORT_RE = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{2})" + _TIME + r"\z"
-_NAME_FIRST_RE = r"(?i)\A" + _MONTH_NAME + r"\.? (\d{1,2}),? (\d{4})" + _TIME + r"\z"
-_DAY_FIRST_RE = r"(?i)\A(\d{1,2})[ -]" + _MONTH_NAME + r"\.?,?[ -](\d{4})" + _TIME + r"\z"
-_YEAR_MONTH_RE = r"\A(\d{4})[-/](\d{1,2})\z"
-_YEAR_RE = r"\A(\d{4})\z"
-_QUARTER_RE = r"(?i)\A(\d{4})-?q([1-4])\z"
+# Years a nanosecond timestamp can hold in full.
+_YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+# Year first: separated, compact, year and month, year alone. Groups of the forms not met are empty.
+_YEAR_FIRST_RE = (
+    r"\A(?:" + _YEAR + r"([-/.])(\d{1,2})\2(\d{1,2})" + _TIME + "|" + _YEAR + r"(\d{2})(\d{2})|"
+    + _YEAR + r"[-/](\d{1,2})|" + _YEAR + r")\z"
+)
+_YEAR_FIRST_TO = "$1$5$8$10-$3$6$9-$4$7"
+_MDY_RE = r"\A(\d{1,2})([-/.])(\d{1,2})\2(?:" + _YEAR + r"|(\d{2}))" + _TIME + r"\z"
+_NAME_FIRST_RE = r"(?i)\A" + _MONTH_NAME + r"\.? (\d{1,2}),? " + _YEAR + _TIME + r"\z"
+_DAY_FIRST_RE = r"(?i)\A(\d{1,2})[ -]" + _MONTH_NAME + r"\.?,?[ -]" + _YEAR + _TIME + r"\z"
+_QUARTER_RE = r"(?i)\A" + _YEAR + r"-?q([1-4])\z"
 # Any accepted date starts with a digit or a month name and is short; one cheap test first.
 _DATE_GATE_RE = r"(?i)\A(?:\d{1,4}[-/. qjfmasond]|\d{8}\z|\d{4}\z|" + _MONTH_NAME + r"\b)"
 
@@ -100,20 +103,12 @@ def _month_number(name: Column) -> Column:
     return ((at + 2) / 3).cast("int").cast("string")
 
 
-def _month_or_day_first(s: Column, pattern: str, century: Column | str) -> Column:
-    """``year-month-day`` text of a numeric date: month first unless that month does not exist."""
-    prefix = F.lit(century) if isinstance(century, str) else century
-    day_first = F.regexp_extract(s, pattern, 1).try_cast("int") > 12
-    return F.concat(prefix, F.when(day_first, F.regexp_replace(s, pattern, "$4-$3-$1"))
-                    .otherwise(F.regexp_replace(s, pattern, "$4-$1-$3")))
-
-
 def to_date(c: Column, storage: str = "object") -> Column:
     """Calendar date in the cell, null where there is none.
 
     Each cell is matched to one written form (year first, month first with day first as second
-    reading, month names, compact, year-month, year, quarter) and parsed once. Clock words such
-    as ``now`` and bare times are not dates. Only 1677-09-22 .. 2262-04-11 is accepted.
+    reading, month names, quarter), rewritten to ``year-month-day`` text and cast once. Clock words
+    such as ``now`` and bare times are not dates. Years 1678 to 2261 are accepted.
     """
     if storage == "timestamp":
         return c.cast("date")
@@ -121,30 +116,24 @@ def to_date(c: Column, storage: str = "object") -> Column:
         return F.lit(None).cast("date")
     s = strip(c)
 
-    def rewrite(pattern: str, to: str) -> Column:
-        return F.regexp_replace(s, pattern, to)
-
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(s, pattern, group)
 
-    century = F.when(part(_MDY_SHORT_RE, 4) >= "70", F.lit("19")).otherwise(F.lit("20"))
+    century = (F.when(part(_MDY_RE, 5) == "", F.lit("")).when(part(_MDY_RE, 5) >= "70", F.lit("19"))
+               .otherwise(F.lit("20")))
+    day_first = part(_MDY_RE, 1).try_cast("int") > 12
+    order = F.when(day_first, F.lit("$4$5-$3-$1")).otherwise(F.lit("$4$5-$1-$3"))
     written = (
-        F.when(s.rlike(_YMD_RE), rewrite(_YMD_RE, "$1-$3-$4"))
-        .when(s.rlike(_COMPACT_RE), rewrite(_COMPACT_RE, "$1-$2-$3"))
-        .when(s.rlike(_YEAR_MONTH_RE), rewrite(_YEAR_MONTH_RE, "$1-$2-1"))
-        .when(s.rlike(_YEAR_RE), F.concat(s, F.lit("-1-1")))
+        F.when(s.rlike(_YEAR_FIRST_RE), F.rtrim(F.regexp_replace(s, _YEAR_FIRST_RE, _YEAR_FIRST_TO), F.lit("-")))
+        .when(s.rlike(_MDY_RE), F.concat(century, F.regexp_replace(s, F.lit(_MDY_RE), order)))
         .when(s.rlike(_NAME_FIRST_RE), F.concat_ws(
             "-", part(_NAME_FIRST_RE, 3), _month_number(part(_NAME_FIRST_RE, 1)), part(_NAME_FIRST_RE, 2)))
         .when(s.rlike(_DAY_FIRST_RE), F.concat_ws(
             "-", part(_DAY_FIRST_RE, 3), _month_number(part(_DAY_FIRST_RE, 2)), part(_DAY_FIRST_RE, 1)))
         .when(s.rlike(_QUARTER_RE), F.concat_ws(
             "-", part(_QUARTER_RE, 1), (part(_QUARTER_RE, 2).try_cast("int") * 3 - 2).cast("string"), F.lit("1")))
-        .when(s.rlike(_MDY_RE), _month_or_day_first(s, _MDY_RE, ""))
-        .when(s.rlike(_MDY_SHORT_RE), _month_or_day_first(s, _MDY_SHORT_RE, century))
     )
-    parsed = written.try_cast("date")
-    value = F.when(s.rlike(_DATE_GATE_RE), parsed)
-    return F.when(value.between(F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")), value)
+    return F.when(s.rlike(_DATE_GATE_RE), written).try_cast("date")
 
 
 def iso_date(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 ``percentile`` keeps a map of every distinct value of a column in one reducer, which does not
 survive a high-cardinality column of a large table. Here each round is one scan that counts rows
-per value bucket with map-side combine, so a task holds at most ``columns x BUCKETS`` counters and
-the driver receives the same amount. The bucket that holds a wanted rank becomes the next range;
+per value bucket with map-side combine, so a task holds a bounded number of counters and the driver
+receives the same amount. The bucket that holds a wanted rank becomes the next range;
 its smallest and largest value come along, so a range made of one repeated value (a hot value)
 ends at once. The first round buckets on a logarithmic scale and the following ones linearly,
 which bounds the number of rounds by the bits of a double (about six), whatever the distribution.
@@ -17,7 +17,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Buckets per range, fewer when there are many ranges: the counts of a round go to the driver.
 BUCKETS = 4096
+MIN_BUCKETS = 64
+ROUND_COUNTERS = 262_144
 _MAX = 1.7976931348623157e308
 
 
@@ -78,6 +81,7 @@ def _bucket_counts(df: DataFrame, columns: list[Column], ranges: list[list[_Rang
     All columns share one set of expressions; the bounds of the ranges are looked up by column.
     """
     width = max(len(r) for r in ranges)
+    buckets = max(MIN_BUCKETS, min(BUCKETS, ROUND_COUNTERS // sum(len(r) for r in ranges)))
     kind = "bigint" if integer else "double"
 
     def bounds(pick, empty, kind: str = kind) -> Column:
@@ -106,7 +110,7 @@ def _bucket_counts(df: DataFrame, columns: list[Column], ranges: list[list[_Rang
         log = bounds(lambda r: float(r.log), 0.0)[slot][at]
         position = F.when(log == 1.0, _log_scale(value)).otherwise(value / 2)
     share = (position - start).cast("double") / span
-    bucket = F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
+    bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1))
     return (
         placed.withColumn("bucket", bucket.cast("int"))
         .groupBy("slot", "range", "bucket")

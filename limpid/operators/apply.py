@@ -62,7 +62,11 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID, coerce_se
     df = _transform(df, rules, out)
 
     # 4
+    parsed = [n for n, r in rules.items() if steps.storage(df, n) == "object" and r.type != "string"]
     df = _cast(df, rules, out)
+    if parsed or any(r.transform_code for r in rules.values()):
+        # text is parsed once; later passes and filters would otherwise parse it again each time
+        df = stage(df, "typed")
 
     # 5
     strategies = {n: r.missing_values.strategy for n, r in rules.items() if r.missing_values}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpid.functions.coerce import any_of, col, equals_any, nan_to_null, storage_of, to_number
-from limpid.operators.duplicates import mark_duplicates, row_groups
+from limpid.operators.duplicates import mark_duplicates, row_groups, split_repeats
 from limpid.plans.model import Plan
 from limpid.sources.tables import ROW_ID, data_columns
 
@@ -68,20 +68,27 @@ def flag_patterns(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID) -> Dat
     """Rows per combination of flags: a small table that answers any choice of strategies.
 
     Full-row copies have equal flags, so the duplicate flag follows from the size of each group of
-    copies: one of n is kept, n - 1 are flagged. One grouping with map-side combine, no row ids.
+    copies: one of n is kept, n - 1 are flagged. No row ids are needed, and rows of a large table
+    that certainly have no copy go straight into the counts.
     """
     row_id = row_id if row_id in df.columns else None
-    groups = row_groups(df, data_columns(df, row_id))
-    flags = row_flags(groups, plan)
-    return (
-        groups.select(
-            *[flag.alias(n) for n, flag in flags.items()],
-            F.stack(F.lit(2), F.lit(False), F.lit(1).cast("long"), F.lit(True), F.col("__n") - 1)
-            .alias(DUPLICATE, "rows"))
-        .filter(F.col("rows") > 0)
-        .groupBy(*[col(n) for n in flags], DUPLICATE)
-        .agg(F.sum("rows").alias("rows"))
-    )
+    columns = data_columns(df, row_id)
+    alone, maybe = split_repeats(df.select(*[col(c) for c in columns]), columns)
+    groups = row_groups(maybe, columns)
+    names = list(row_flags(groups, plan))
+
+    def counted(part: DataFrame, copies: Column) -> DataFrame:
+        return (
+            part.select(
+                *[flag.alias(n) for n, flag in row_flags(part, plan).items()],
+                F.stack(F.lit(2), F.lit(False), F.lit(1).cast("long"), F.lit(True), copies - 1)
+                .alias(DUPLICATE, "rows"))
+            .filter(F.col("rows") > 0))
+
+    flagged = counted(groups, F.col("__n"))
+    if alone is not None:
+        flagged = flagged.unionByName(counted(alone, F.lit(1).cast("long")))
+    return flagged.groupBy(*[col(n) for n in names], DUPLICATE).agg(F.sum("rows").alias("rows"))
 
 
 def patterns_of_flags(flags: DataFrame, row_id: str = ROW_ID) -> DataFrame:

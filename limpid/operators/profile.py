@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -209,60 +210,37 @@ def profile_table(
 
 
 def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None, missingness: bool) -> TableProfile:
+    """Three strands of jobs that do not wait for each other: numbers, texts, duplicates."""
     cells = _cells(df, row_id)
-    base = _moments(df, cells)
-    nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
-    summaries = _summaries(df, cells, nulls, row_id, missingness)
-    profiles: dict[str, ColumnProfile] = {}
-    invalid = inconsistent = 0
-
-    for c in cells:
-        s, filled = c.slot, rows - nulls[c.slot]
-        storage = c.storage
-        if nulls[s]:
-            # integers with gaps are stored as float, booleans with gaps as objects
-            storage = {"int": "float", "bool": "object"}.get(storage, storage)
-        found = summaries.get(s, SlotSummary())
-        kind = detect_type(c.storage, filled, found.numbers, found.dates, found.bool_like)
-        p = profiles[c.name] = ColumnProfile(
-            c.name, s, storage, kind, nulls[s], round(nulls[s] / rows * 100, 1) if rows else 0.0)
-        if kind in ("string", "bool"):
-            p.unique_count, p.top_values = found.distinct, found.top
-            p.cardinality_pct = round(found.distinct / filled * 100, 1) if filled else 0.0
-            p.castable_pct, p.format_inconsistency = 0.0, False
-        if c.storage != "object":
-            continue
-        pattern = dominant_pattern(found.patterns, filled)
-        misfits = filled - found.patterns[pattern] if pattern else 0
-        inconsistent += misfits
-        if filled and found.numbers / filled > K.MAJORITY_SHARE:
-            invalid += filled - found.numbers
-        elif filled and found.dates / filled > K.MAJORITY_SHARE:
-            invalid += filled - found.dates
-        if kind == "numeric":
-            p.invalid_count = filled - found.numbers
-        elif kind == "date":
-            p.invalid_count = filled - found.dates
-        else:
-            p.pattern = pattern
-            p.invalid_count = misfits if kind == "string" else 0
-            p.sentinel_count = found.sentinels
-            p.castable_pct = round(found.numbers / filled * 100, 1) if filled else 0.0
-            p.format_inconsistency = found.numbers >= 5 and p.castable_pct < K.DETECT_SHARE * 100
-
-    texts = [c for c in cells if c.storage == "object" and profiles[c.name].is_numeric_like]
-    base |= _moments(df, [c for c in texts if summaries[c.slot].numbers], also_text=True)
-    base |= {f"from{c.slot}": summaries[c.slot].first_date for c in texts}
-    base |= {f"to{c.slot}": summaries[c.slot].last_date for c in texts}
-    _numeric_profiles(df, cells, base, profiles)
-    _text_samples(df, cells, profiles, row_id)
+    with ThreadPoolExecutor(3) as pool:
+        duplicates = pool.submit(count_duplicates, df, row_id, rows)
+        base = _moments(df, cells)
+        nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
+        texts = pool.submit(_summaries, df, cells, nulls, row_id, missingness)
+        native = [c for c in cells if c.storage in ("int", "float", "timestamp")]
+        profiles = {c.name: _start_profile(c, rows, nulls[c.slot]) for c in cells}
+        numbers = pool.submit(_numeric_profiles, df, native, base, profiles)
+        summaries = texts.result()
+        invalid = inconsistent = 0
+        for c in cells:
+            if c.storage in ("object", "bool"):
+                bad, odd = _text_profile(c, profiles[c.name], rows - nulls[c.slot], summaries.get(c.slot, SlotSummary()))
+                invalid, inconsistent = invalid + bad, inconsistent + odd
+        parsed = [c for c in cells if c.storage == "object" and profiles[c.name].is_numeric_like]
+        if parsed:
+            base |= _moments(df, [c for c in parsed if summaries[c.slot].numbers], also_text=True)
+            base |= {f"from{c.slot}": summaries[c.slot].first_date for c in parsed}
+            base |= {f"to{c.slot}": summaries[c.slot].last_date for c in parsed}
+            _numeric_profiles(df, parsed, base, profiles)
+        _text_samples(df, cells, profiles, row_id)
+        numbers.result()
+        copies = duplicates.result()
 
     total_cells, missing = rows * len(cells), sum(nulls.values())
-    duplicates = count_duplicates(df, row_id)
     out = TableProfile(
-        rows, len(cells), missing, duplicates, malformed_rows, invalid,
+        rows, len(cells), missing, copies, malformed_rows, invalid,
         (1 - missing / total_cells) * 100 if total_cells else 100.0,
-        (1 - duplicates / rows) * 100 if rows else 100.0,
+        (1 - copies / rows) * 100 if rows else 100.0,
         round((total_cells - missing - invalid) / total_cells * 100, 2) if total_cells else 100.0,
         round((1 - inconsistent / total_cells) * 100, 2) if total_cells else 100.0,
         [profiles[c.name] for c in cells])
@@ -273,6 +251,44 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
     return out
 
 
+def _start_profile(c: _Cells, rows: int, nulls: int) -> ColumnProfile:
+    """Storage, gaps and, for native types, the detected type."""
+    storage = c.storage
+    if nulls:
+        # integers with gaps are stored as float, booleans with gaps as objects
+        storage = {"int": "float", "bool": "object"}.get(storage, storage)
+    kind = "string" if c.storage == "object" else detect_type(c.storage, rows - nulls, 0, 0, 0)
+    return ColumnProfile(c.name, c.slot, storage, kind, nulls, round(nulls / rows * 100, 1) if rows else 0.0)
+
+
+def _text_profile(c: _Cells, p: ColumnProfile, filled: int, found: SlotSummary) -> tuple[int, int]:
+    """Complete the profile of a text or boolean column; returns its invalid and inconsistent cells."""
+    p.detected_type = detect_type(c.storage, filled, found.numbers, found.dates, found.bool_like)
+    if not p.is_numeric_like:
+        p.unique_count, p.top_values = found.distinct, found.top
+        p.cardinality_pct = round(found.distinct / filled * 100, 1) if filled else 0.0
+        p.castable_pct, p.format_inconsistency = 0.0, False
+    if c.storage == "bool" or not filled:
+        return 0, 0
+    pattern = dominant_pattern(found.patterns, filled)
+    misfits = filled - found.patterns[pattern] if pattern else 0
+    if p.detected_type == "numeric":
+        p.invalid_count = filled - found.numbers
+    elif p.detected_type == "date":
+        p.invalid_count = filled - found.dates
+    else:
+        p.pattern = pattern
+        p.invalid_count = misfits if p.detected_type == "string" else 0
+        p.sentinel_count = found.sentinels
+        p.castable_pct = round(found.numbers / filled * 100, 1)
+        p.format_inconsistency = found.numbers >= 5 and p.castable_pct < K.DETECT_SHARE * 100
+    if found.numbers / filled > K.MAJORITY_SHARE:
+        return filled - found.numbers, misfits
+    if found.dates / filled > K.MAJORITY_SHARE:
+        return filled - found.dates, misfits
+    return 0, misfits
+
+
 def _summaries(
     df: DataFrame, cells: list[_Cells], nulls: dict[int, int], row_id: str | None, missingness: bool
 ) -> dict[int, SlotSummary]:

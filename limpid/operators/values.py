@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,13 +124,18 @@ def top_values(counts: DataFrame, top: int) -> DataFrame:
 
 
 def first_cells(df: DataFrame, cells: dict[int, Column], per_slot: int, row_id: str | None) -> dict[int, list[str]]:
-    """First ``per_slot`` non-null cells of each slot in row order (by value without a row id)."""
-    order = F.col("__first") if row_id else F.col("value")
-    extra = [col(row_id).cast("long").alias("__first")] if row_id else []
-    ranked = unpivot_cells(df, cells, extra).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("slot").orderBy(order, "value")))
+    """First ``per_slot`` non-null cells of each slot in row order (by value without a row id).
+
+    One top-k per slot, each reading only its own column; nothing is sorted as a whole.
+    """
+    order = col(row_id).cast("long") if row_id else F.lit(0).cast("long")
+    parts = [
+        df.select(F.lit(slot).alias("slot"), order.alias("first"), c.alias("value"))
+        .filter(F.col("value").isNotNull()).orderBy("first", "value").limit(per_slot)
+        for slot, c in cells.items()]
     out: dict[int, list[str]] = {slot: [] for slot in cells}
-    for row in sorted(ranked.filter(F.col("rank") <= per_slot).collect(), key=lambda r: (r.slot, r["rank"])):
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    for row in sorted(rows, key=lambda r: (r.slot, r.first, r.value)):
         out[row.slot].append(row.value)
     return out
 

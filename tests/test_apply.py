@@ -202,6 +202,33 @@ def test_flags_and_patterns_agree(messy):
     assert drop_impact(patterns_of_flags(flags), chosen).collect() == drop_impact(flag_patterns(messy, PLAN), chosen).collect()
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_large_table_paths_give_the_same(messy, monkeypatch, broadcast):
+    """Hash split, and the way beyond the broadcast bound."""
+    from limpid.operators import duplicates as D
+
+    def results():
+        chosen = strategies_of(PLAN)
+        return (D.count_duplicates(messy), column(drop_duplicates(messy), "__row_id"),
+                column(drop_duplicates(messy, keep="last"), "__row_id"),
+                sorted(map(tuple, drop_flags(messy, PLAN).collect())), drop_impact(flag_patterns(messy, PLAN), chosen).collect(),
+                sorted(map(tuple, flag_patterns(messy, PLAN).collect())))
+
+    small = results()
+    monkeypatch.setattr(D, "DIRECT_ROWS", 0)
+    monkeypatch.setattr(D, "BROADCAST_HASHES", broadcast)
+    assert results() == small
+
+
+def test_signed_zero_is_one_value(spark, monkeypatch):
+    from limpid.operators import duplicates as D
+
+    df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (None,), (None,)], "x double")
+    assert D.count_duplicates(df) == 3
+    monkeypatch.setattr(D, "DIRECT_ROWS", 0)
+    assert D.count_duplicates(df) == 3
+
+
 def test_impact_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a double, s string")
     row = drop_impact(flag_patterns(df, PLAN), strategies_of(PLAN)).first()
