@@ -296,12 +296,12 @@ _PATTERN_TABLES = {"d_customer": ("c_name", "email", "acct_text", "c_mktsegment"
 def pattern_consistency(spark, folder):
     from limpid.functions.coerce import col
     from limpid.operators.profile import dominant_pattern
-    from limpid.operators.values import summarise_values, value_counts
+    from limpid.operators.values import summarise_texts
 
     rows = []
     for t, cs in _PATTERN_TABLES.items():
         df = (view if t.startswith("d_") else table)(spark, folder, t)
-        found = summarise_values(value_counts(df, {i: col(c) for i, c in enumerate(cs)}), 1)
+        found = summarise_texts(df, {i: col(c) for i, c in enumerate(cs)}, 1)
         for i, c in enumerate(cs):
             counts, filled = found[i].patterns, found[i].rows
             best = dominant_pattern(counts, filled)

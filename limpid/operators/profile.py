@@ -16,7 +16,7 @@ from limpid.functions.coerce import (
 from limpid.functions.quantiles import exact_quantiles
 from limpid.operators.duplicates import count_duplicates
 from limpid.operators.missingness import Association, chi_square, first_associations, point_biserial
-from limpid.operators.values import SlotSummary, first_cells, summarise_values, unpivot_cells, value_counts
+from limpid.operators.values import SlotSummary, first_cells, summarise_texts, unpivot_cells, value_counts
 from limpid.session import aggregate_in_groups, count_rows, kept_if_small, stage
 from limpid.sources.tables import ROW_ID, data_columns
 
@@ -303,7 +303,7 @@ def _summaries(
     chosen = {c.slot: cell_text(c.raw, c.storage) for c in cells if c.storage in kinds}
     if not chosen:
         return {}
-    return summarise_values(value_counts(df, chosen, row_id, flags), K.TOP_VALUES, list(flags))
+    return summarise_texts(df, chosen, K.TOP_VALUES, row_id, flags)
 
 
 def _numeric_profiles(df: DataFrame, cells: list[_Cells], base: dict, profiles: dict[str, ColumnProfile]) -> None:

@@ -12,6 +12,10 @@ from limpid.functions.coerce import col, is_bool_like, is_sentinel_word, matches
 from limpid.functions.constants import PATTERNS
 
 
+# Characters of a cell beyond which its digest is grouped instead of its text.
+LONG_CELL = 128
+
+
 def unpivot_cells(df: DataFrame, cells: dict[int, Column], extra: list[Column] | None = None) -> DataFrame:
     """One row (slot, value, extra...) per non-null cell of the given expressions.
 
@@ -25,28 +29,13 @@ def unpivot_cells(df: DataFrame, cells: dict[int, Column], extra: list[Column] |
     )
 
 
-def value_counts(
-    df: DataFrame,
-    cells: dict[int, Column],
-    row_id: str | None = None,
-    null_flags: dict[str, Column] | None = None,
-) -> DataFrame:
-    """(slot, value, n, first_row, flags...): one row per distinct cell value of each slot.
+def value_counts(df: DataFrame, cells: dict[int, Column]) -> DataFrame:
+    """(slot, value, n): one row per distinct cell value of each slot.
 
     Counting is combined before the shuffle, so a value that fills a third of a table travels as
-    one row per task. ``null_flags`` adds, per value, how many of its rows have each flag set.
+    one row per task.
     """
-    null_flags = null_flags or {}
-    extra = [F.when(flag, F.lit(1)).otherwise(F.lit(0)).alias(n) for n, flag in null_flags.items()]
-    if row_id:
-        extra.append(col(row_id).cast("long").alias("__first"))
-    sums = [F.sum(n).alias(n) for n in null_flags]
-    first = F.min("__first") if row_id else F.lit(None).cast("long")
-    return (
-        unpivot_cells(df, cells, extra)
-        .groupBy("slot", "value")
-        .agg(F.count(F.lit(1)).alias("n"), first.alias("first_row"), *sums)
-    )
+    return unpivot_cells(df, cells).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -74,45 +63,101 @@ def _rows_where(flag: Column) -> Column:
     return F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
 
 
-def summarise_values(
-    counts: DataFrame, top: int, null_flags: list[str] | None = None
+def _forms(value: Column) -> Column:
+    """Forms of a text cell as a bit set, in the order of ``_FORMS``."""
+    tests = [to_number(value).isNotNull(), is_bool_like(value), is_sentinel_word(value),
+             *[matches(value, p) for p in PATTERNS]]
+    return reduce(lambda x, y: x + y, [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)])
+
+
+_FORMS = ("numbers", "bool_like", "sentinels", *PATTERNS)
+
+
+def text_counts(
+    df: DataFrame, cells: dict[int, Column], row_id: str | None = None, null_flags: dict[str, Column] | None = None
+) -> DataFrame:
+    """(slot, long, value, n, first_row, forms, day, flags...): distinct text cells of each slot.
+
+    A cell longer than LONG_CELL is represented by its SHA-256 digest, so whole documents are not
+    shuffled; its forms are tested before the shuffle. Short cells are tested after it, once per
+    distinct value.
+    """
+    null_flags = null_flags or {}
+    extra = [F.when(flag, F.lit(1)).otherwise(F.lit(0)).alias(n) for n, flag in null_flags.items()]
+    if row_id:
+        extra.append(col(row_id).cast("long").alias("__first"))
+    value, is_long = F.col("value"), F.col("long")
+    keyed = (
+        unpivot_cells(df, cells, extra)
+        .withColumn("long", F.length(value) > LONG_CELL)
+        .withColumns({
+            "key": F.when(is_long, F.sha2(value, 256)).otherwise(value),
+            "long_forms": F.when(is_long, _forms(value)), "long_day": F.when(is_long, to_date(value))})
+    )
+    first = F.min("__first") if row_id else F.lit(None).cast("long")
+    counts = keyed.groupBy("slot", "long", F.col("key").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), first.alias("first_row"), F.max("long_forms").alias("long_forms"),
+        F.max("long_day").alias("long_day"), *[F.sum(n).alias(n) for n in null_flags])
+    return counts.withColumns({
+        "forms": F.when(is_long, F.col("long_forms")).otherwise(_forms(value)),
+        "day": F.when(is_long, F.col("long_day")).otherwise(to_date(value))}).drop("long_forms", "long_day")
+
+
+def _whole_cells(df: DataFrame, cells: dict[int, Column], digests: list[tuple[int, str]]) -> dict[tuple[int, str], str]:
+    """Texts of a few digests: one scan of the columns concerned."""
+    if not digests:
+        return {}
+    slots = {slot for slot, _ in digests}
+    found = (
+        unpivot_cells(df, {s: cells[s] for s in slots}).filter(F.length("value") > LONG_CELL)
+        .withColumn("digest", F.sha2("value", 256))
+        .filter(F.col("digest").isin([d for _, d in digests]))
+        .groupBy("slot", "digest").agg(F.min("value").alias("value")).collect())
+    return {(r.slot, r.digest): r.value for r in found}
+
+
+def summarise_texts(
+    df: DataFrame, cells: dict[int, Column], top: int, row_id: str | None = None,
+    null_flags: dict[str, Column] | None = None,
 ) -> dict[int, SlotSummary]:
-    """Reduce value counts to one summary per slot.
+    """One summary per slot of text cells.
 
-    Cell forms (number, date, format, ...) are tested once per distinct value and weighted by its
-    count; the tests are one set of expressions, however many columns there are. The frequent
+    The forms of a cell (number, date, format, ...) are tested once per distinct value and weighted
+    by its count; the tests are one set of expressions, however many columns there are. The frequent
     values are limited inside every task before they are shuffled (the filter on ``row_number``
-    becomes a group limit), so no task sees all values of a slot. Both branches read the same
-    shuffled counts.
+    becomes a group limit), so no task sees all values of a slot. Both branches use every column of
+    the counts and meet in a union, so their plans agree and the shuffle of the counts is shared.
     """
-    null_flags = null_flags or []
+    counts = text_counts(df, cells, row_id, null_flags)
+    flags = list(null_flags or {})
     shares = [
-        x for f in null_flags
+        x for f in flags
         for x in (F.sum(f).alias(f), F.sum(F.col(f) * F.col(f) / F.col("n")).alias(f + "_s"))
     ]
-    value = F.col("value")
-    formed = counts.withColumns({"day": to_date(value), "is_number": to_number(value).isNotNull()})
-    totals = formed.groupBy("slot").agg(
+    totals = counts.groupBy("slot").agg(
         F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("rows"),
-        F.min("n").alias("low"), F.max("n").alias("high"),
-        _rows_where(F.col("is_number")).alias("numbers"),
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("first_row").alias("first_row"),
         _rows_where(F.col("day").isNotNull()).alias("dates"),
-        _rows_where(is_bool_like(value)).alias("bool_like"),
-        _rows_where(is_sentinel_word(value)).alias("sentinels"),
         F.min("day").alias("first_date"), F.max("day").alias("last_date"),
-        *[_rows_where(matches(value, p)).alias("p_" + p) for p in PATTERNS],
+        *[_rows_where(F.col("forms").bitwiseAND(F.lit(1 << i)) > 0).alias("f_" + n) for i, n in enumerate(_FORMS)],
         *shares)
     ranked = top_values(counts, top).select(
-        "slot", F.struct(F.col("rank"), F.col("value"), F.col("n")).alias("top"))
+        "slot", F.struct("rank", "value", "n", "long", "first_row", "forms", "day", *flags).alias("top"))
     best = ranked.groupBy("slot").agg(F.sort_array(F.collect_list("top")).alias("top"))
+    rows = totals.unionByName(best, allowMissingColumns=True).collect()
+    tops = {r.slot: r.top for r in rows if r.top is not None}
+    texts = _whole_cells(df, cells, [(slot, t.value) for slot, ts in tops.items() for t in ts if t.long])
     out: dict[int, SlotSummary] = {}
-    for row in totals.join(best, "slot", "left").collect():
+    for row in rows:
+        if row.top is not None:
+            continue
+        listed = [(texts[row.slot, t.value] if t.long else t.value, t.n) for t in tops.get(row.slot, ())]
         out[row.slot] = SlotSummary(
-            row.n_distinct, row.rows, [(t.value, t.n) for t in row.top or []], row.low, row.high,
-            row.numbers, row.dates, row.bool_like, row.sentinels,
+            row.n_distinct, row.rows, listed, row.low, row.high,
+            row.f_numbers, row.dates, row.f_bool_like, row.f_sentinels,
             row.first_date and row.first_date.isoformat(), row.last_date and row.last_date.isoformat(),
-            {p: row["p_" + p] for p in PATTERNS},
-            {f: row[f] for f in null_flags}, {f: row[f + "_s"] for f in null_flags})
+            {p: row["f_" + p] for p in PATTERNS},
+            {f: row[f] for f in flags}, {f: row[f + "_s"] for f in flags})
     return out
 
 

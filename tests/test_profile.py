@@ -102,6 +102,21 @@ def test_string_profile(frame):
     assert profile_table(frame(x=[True, False, True])).columns[0].top_values == [("True", 2), ("False", 1)]
 
 
+def test_long_cells_are_counted_by_digest(frame, monkeypatch):
+    from limpid.operators import values as V
+
+    words = ["x" * 200, "y" * 200, "x" * 200, "https://a.b/" + "z" * 150, "https://a.b/" + "w" * 150, "short", None]
+    days = ["2024-01-05" + " " * 140, "2024-01-06", "2024-01-07 " + " " * 140, "2024-01-08", "bad" + " " * 140, "2024-01-09", None]
+    nums = ["1" + "0" * 140, "2", "3", "4", "5" + " " * 140, "6", None]
+    df = frame(words=words, days=days, nums=nums)
+    by_digest = profile_table(df)
+    assert by_digest.columns[0].top_values[0] == ("x" * 200, 2) and by_digest.columns[0].unique_count == 5
+    assert by_digest.columns[1].detected_type == "date" and by_digest.columns[1].invalid_count == 1
+    assert by_digest.columns[2].invalid_count == 0
+    monkeypatch.setattr(V, "LONG_CELL", 10_000)
+    assert profile_table(df) == by_digest
+
+
 def test_string_sentinels(frame):
     c = profile_table(frame(x=["ok", "N/A", " n/a ", "unknown", "-", "?", "", "NULL", "fine", "missing"])).columns[0]
     assert c.sentinel_count == 8
