@@ -170,7 +170,9 @@ def is_bool_like(c: Column) -> Column:
 
 
 def is_sentinel_word(c: Column) -> Column:
-    return F.lower(strip(c)).isin(*SENTINEL_WORDS)
+    """A word for "no value"; only cells as short as such words are lowered and compared."""
+    s = strip(c)
+    return (F.length(s) <= max(map(len, SENTINEL_WORDS))) & F.lower(s).isin(*SENTINEL_WORDS)
 
 
 def equals_any(c: Column, values: list, storage: str, coerce: bool = False) -> Column:

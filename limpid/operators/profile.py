@@ -16,7 +16,7 @@ from limpid.functions.coerce import (
 from limpid.functions.quantiles import exact_quantiles
 from limpid.operators.duplicates import count_duplicates
 from limpid.operators.missingness import Association, chi_square, first_associations, point_biserial
-from limpid.operators.values import SlotSummary, first_cells, summarise_texts, unpivot_cells, value_counts
+from limpid.operators.values import SlotSummary, first_cells, number_moments, summarise_texts, unpivot_cells, value_counts
 from limpid.session import aggregate_in_groups, count_rows, kept_if_small, stage
 from limpid.sources.tables import ROW_ID, data_columns
 
@@ -139,25 +139,16 @@ def _is_numeric_storage(c: _Cells) -> bool:
     return c.storage in ("int", "float")
 
 
-def _moments(df: DataFrame, cells: list[_Cells], also_text: bool = False) -> dict:
-    """Null counts of all columns, moments of numbers, date span of native timestamps."""
-    prepared, wanted = [], {}
+def _filled_counts(df: DataFrame, cells: list[_Cells]) -> dict:
+    """Filled cells of text, boolean and timestamp columns, and the date span of timestamps."""
+    wanted = {}
     for c in cells:
-        s = c.slot
-        if not also_text:
-            prepared.append(c.raw.alias(f"v{s}"))
-            wanted[f"n{s}"] = F.count(F.col(f"v{s}"))
-        if c.storage in ("int", "float", "bool") or also_text:
-            # parsed once per cell: the projection is not merged into the aggregate
-            prepared.append(c.number.alias(f"num{s}"))
-            num = F.col(f"num{s}")
-            wanted |= {f"num{s}": F.count(num), f"min{s}": F.min(num), f"max{s}": F.max(num),
-                       f"avg{s}": F.avg(num), f"std{s}": F.stddev_samp(num)}
+        if c.storage not in ("int", "float"):
+            wanted[f"n{c.slot}"] = F.count(c.raw)
         if c.storage == "timestamp":
-            v = F.col(f"v{s}")
-            wanted |= {f"from{s}": F.min(v).cast("date").cast("string"),
-                       f"to{s}": F.max(v).cast("date").cast("string")}
-    return aggregate_in_groups(df.select(*prepared), wanted)
+            wanted |= {f"from{c.slot}": F.min(c.raw).cast("date").cast("string"),
+                       f"to{c.slot}": F.max(c.raw).cast("date").cast("string")}
+    return aggregate_in_groups(df, wanted)
 
 
 def detect_type(storage: str, filled: int, n_number: int, n_date: int, n_bool: int) -> str:
@@ -214,12 +205,17 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
     cells = _cells(df, row_id)
     with ThreadPoolExecutor(3) as pool:
         duplicates = pool.submit(count_duplicates, df, row_id, rows)
-        base = _moments(df, cells)
+        counted = pool.submit(_filled_counts, df, cells)
+        moments = number_moments(df, {c.slot: c.number for c in cells if c.storage in ("int", "float", "bool")})
+        base = counted.result()
+        for c in cells:
+            if c.storage in ("int", "float"):
+                base[f"n{c.slot}"] = moments[c.slot].n if c.slot in moments else 0
         nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
         texts = pool.submit(_summaries, df, cells, nulls, row_id, missingness)
         native = [c for c in cells if c.storage in ("int", "float", "timestamp")]
         profiles = {c.name: _start_profile(c, rows, nulls[c.slot]) for c in cells}
-        numbers = pool.submit(_numeric_profiles, df, native, base, profiles)
+        numbers = pool.submit(_numeric_profiles, df, native, base, moments, profiles)
         summaries = texts.result()
         invalid = inconsistent = 0
         for c in cells:
@@ -228,10 +224,10 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
                 invalid, inconsistent = invalid + bad, inconsistent + odd
         parsed = [c for c in cells if c.storage == "object" and profiles[c.name].is_numeric_like]
         if parsed:
-            base |= _moments(df, [c for c in parsed if summaries[c.slot].numbers], also_text=True)
             base |= {f"from{c.slot}": summaries[c.slot].first_date for c in parsed}
             base |= {f"to{c.slot}": summaries[c.slot].last_date for c in parsed}
-            _numeric_profiles(df, parsed, base, profiles)
+            in_text = number_moments(df, {c.slot: c.number for c in parsed if summaries[c.slot].numbers})
+            _numeric_profiles(df, parsed, base, in_text, profiles)
         _text_samples(df, cells, profiles, row_id)
         numbers.result()
         copies = duplicates.result()
@@ -245,7 +241,7 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
         round((1 - inconsistent / total_cells) * 100, 2) if total_cells else 100.0,
         [profiles[c.name] for c in cells])
     if missingness:
-        out.association_tests = _association_tests(df, cells, base, rows, summaries)
+        out.association_tests = _association_tests(df, cells, nulls, rows, moments, summaries)
         tested = dict.fromkeys(column for column, _ in out.association_tests)
         out.associations = first_associations([c.name for c in cells], list(tested), out.association_tests)
     return out
@@ -306,62 +302,81 @@ def _summaries(
     return summarise_texts(df, chosen, K.TOP_VALUES, row_id, flags)
 
 
-def _numeric_profiles(df: DataFrame, cells: list[_Cells], base: dict, profiles: dict[str, ColumnProfile]) -> None:
+def _numeric_profiles(
+    df: DataFrame, cells: list[_Cells], base: dict, moments: dict, profiles: dict[str, ColumnProfile]
+) -> None:
     """Moments, quartiles, fences, histogram and repeated extremes of numeric and date columns."""
-    chosen = {}
+    chosen: dict[str, _Cells] = {}
     for c in cells:
-        p, s = profiles[c.name], c.slot
-        if not p.is_numeric_like:
-            continue
+        p = profiles[c.name]
         p.outliers = {"count": 0, "method": "IQR", "lower": None, "upper": None}
-        if base.get(f"num{s}"):
+        if c.slot in moments:
             chosen[c.name] = c
-        elif base.get(f"from{s}"):
-            p.stats = {"min_date": base[f"from{s}"], "max_date": base[f"to{s}"]}
+        elif base.get(f"from{c.slot}"):
+            p.stats = {"min_date": base[f"from{c.slot}"], "max_date": base[f"to{c.slot}"]}
     if not chosen:
         return
-    ranges = {n: (base[f"num{c.slot}"], base[f"min{c.slot}"], base[f"max{c.slot}"]) for n, c in chosen.items()}
+    ranges = {n: (moments[c.slot].n, moments[c.slot].low, moments[c.slot].high) for n, c in chosen.items()}
     quartiles = exact_quantiles(df, {n: c.number for n, c in chosen.items()}, ranges, [0.25, 0.5, 0.75])
 
-    wanted: dict[str, Column] = {}
+    bounds: dict[str, tuple[float, float]] = {}
+    edges: dict[str, list[float]] = {}
     fences: dict[str, tuple[float, float]] = {}
     for name, c in chosen.items():
-        s, p = c.slot, profiles[name]
-        n, low, high = ranges[name]
+        m, p = moments[c.slot], profiles[name]
         q1, median, q3 = (quartiles[name][q] for q in (0.25, 0.5, 0.75))
         p.stats = {
-            "min": round(low, 4), "max": round(high, 4), "mean": round(base[f"avg{s}"], 4),
-            "median": round(median, 4), "std": round(base[f"std{s}"], 4) if n > 1 else 0.0}
-        number = F.col(f"num{s}")
+            "min": round(m.low, 4), "max": round(m.high, 4), "mean": round(m.mean, 4),
+            "median": round(median, 4), "std": round(m.std, 4) if m.n > 1 else 0.0}
         iqr = q3 - q1
-        if n >= K.OUTLIER_MIN_ROWS:
+        if m.n >= K.OUTLIER_MIN_ROWS:
             lower, upper = round(q1 - K.IQR_FENCE * iqr, 4), round(q3 + K.IQR_FENCE * iqr, 4)
             p.outliers |= {"lower": lower, "upper": upper}
             p.stats |= {"q1": round(q1, 4), "q3": round(q3, 4)}
-            wanted[f"out{s}"] = F.count_if((number < lower) | (number > upper))
-        if n >= K.HISTOGRAM_MIN_ROWS and math.isfinite(low) and math.isfinite(high):
-            for i, edge in enumerate(histogram_edges(low, high)[1:-1], 1):
-                wanted[f"edge{s}_{i}"] = F.count_if(number >= edge)
-        if n >= K.SENTINEL_MIN_ROWS and iqr != 0:
+            bounds[name] = (lower, upper)
+        if m.n >= K.HISTOGRAM_MIN_ROWS and math.isfinite(m.low) and math.isfinite(m.high):
+            edges[name] = histogram_edges(m.low, m.high)
+        if m.n >= K.SENTINEL_MIN_ROWS and iqr != 0:
             fence = (q1 - K.SENTINEL_FENCE * iqr, q3 + K.SENTINEL_FENCE * iqr)
-            if low < fence[0] or high > fence[1]:
+            if m.low < fence[0] or m.high > fence[1]:
                 fences[name] = fence
-    prepared = [c.number.alias(f"num{c.slot}") for c in chosen.values()]
-    counts = aggregate_in_groups(df.select(*prepared), wanted)
-
-    for name, c in chosen.items():
-        s, p = c.slot, profiles[name]
-        n, low, high = ranges[name]
-        p.outliers["count"] = counts.get(f"out{s}", 0)
-        if f"edge{s}_1" in counts:
-            above = [n] + [counts[f"edge{s}_{i}"] for i in range(1, K.HISTOGRAM_BINS)] + [0]
-            p.stats["histogram"] = {
-                "counts": [a - b for a, b in zip(above, above[1:])],
-                "edges": [round(e, 4) for e in histogram_edges(low, high)]}
+    if bounds or edges:
+        for slot, row in _fence_counts(df, chosen, bounds, edges).items():
+            name = next(n for n, c in chosen.items() if c.slot == slot)
+            profiles[name].outliers["count"] = row.outside
+            if name in edges:
+                above = [row.n, *row.above, 0]
+                profiles[name].stats["histogram"] = {
+                    "counts": [a - b for a, b in zip(above, above[1:])],
+                    "edges": [round(e, 4) for e in edges[name]]}
     if fences:
         _numeric_sentinels(df, {n: chosen[n] for n in fences}, fences, profiles)
 
 
+def _fence_counts(
+    df: DataFrame, chosen: dict[str, _Cells], bounds: dict[str, tuple[float, float]], edges: dict[str, list[float]]
+) -> dict:
+    """slot -> cells, cells outside the fences, and cells at or above each inner histogram edge.
+
+    The bounds of all columns are looked up by position, so the aggregates do not grow with them.
+    """
+    names = [n for n in chosen if n in bounds or n in edges]
+    inner = K.HISTOGRAM_BINS - 1
+
+    def lookup(values: list[float]) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])[F.col("slot")]
+
+    lows = lookup([bounds.get(n, (-math.inf, math.inf))[0] for n in names])
+    highs = lookup([bounds.get(n, (-math.inf, math.inf))[1] for n in names])
+    v = F.col("value")
+    steps = [lookup([edges[n][i] if n in edges else math.inf for n in names]) for i in range(1, inner + 1)]
+    rows = unpivot_cells(df, {i: chosen[n].number for i, n in enumerate(names)}).groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((v < lows) | (v > highs)).alias("outside"),
+        *[F.count_if(v >= e).alias(f"above{i}") for i, e in enumerate(steps)])
+    found = rows.select("slot", "n", "outside", F.array(*[F.col(f"above{i}") for i in range(inner)]).alias("above"))
+    return {chosen[names[r.slot]].slot: r for r in found.collect()}
+
+
 def _numeric_sentinels(
     df: DataFrame, chosen: dict[str, _Cells], fences: dict[str, tuple[float, float]],
     profiles: dict[str, ColumnProfile],
@@ -405,44 +420,59 @@ def _text_samples(df: DataFrame, cells: list[_Cells], profiles: dict[str, Column
             profiles[mixed[slot].name].non_castable_sample = sample
 
 
+# Numeric columns whose means are taken in one job of the missing-at-random test.
+_MEANS_PER_JOB = 50
+
+
 def _association_tests(
-    df: DataFrame, cells: list[_Cells], base: dict, rows: int, summaries: dict[int, SlotSummary]
+    df: DataFrame, cells: list[_Cells], nulls: dict[int, int], rows: int, moments: dict,
+    summaries: dict[int, SlotSummary],
 ) -> dict[tuple[str, str], tuple[str, float, float]]:
     """(test, statistic, p) of every column with enough nulls against every other column."""
     if rows < K.MISSINGNESS_MIN_ROWS:
         return {}
-    nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
     gappy = [c for c in cells if nulls[c.slot] >= K.MISSINGNESS_MIN_NULLS]
-    others = [c for c in cells if base[f"n{c.slot}"] >= K.MISSINGNESS_MIN_ROWS]
+    others = [c for c in cells if rows - nulls[c.slot] >= K.MISSINGNESS_MIN_ROWS]
+    numeric = [o for o in others if _is_numeric_storage(o) or o.storage == "bool" and not nulls[o.slot]]
+    by_mean = {o.slot for o in numeric}
+    means = _means_where_missing(df, gappy, numeric)
     tests: dict[tuple[str, str], tuple[str, float, float]] = {}
-
-    def numeric(c: _Cells) -> bool:
-        return _is_numeric_storage(c) or c.storage == "bool" and not nulls[c.slot]
-
-    wanted = {}
-    for g in gappy:
-        for o in others:
-            if o.slot != g.slot and numeric(o):
-                hit = F.when(g.raw.isNull(), o.number)
-                wanted[f"n{g.slot}_{o.slot}"] = F.count(hit)
-                wanted[f"a{g.slot}_{o.slot}"] = F.avg(hit)
-    sums = aggregate_in_groups(df, wanted)
     for g in gappy:
         for o in others:
             if o.slot == g.slot:
                 continue
-            if numeric(o):
-                n = base[f"num{o.slot}"]
-                std = base[f"std{o.slot}"]
-                std_pop = std * math.sqrt((n - 1) / n) if std is not None and n > 1 else 0.0
-                found = point_biserial(n, base[f"avg{o.slot}"], std_pop,
-                                       sums[f"n{g.slot}_{o.slot}"], sums[f"a{g.slot}_{o.slot}"])
-                tests[g.name, o.name] = ("point_biserial", *found)
+            if o.slot in by_mean:
+                m = moments[o.slot]
+                tests[g.name, o.name] = ("point_biserial", *point_biserial(
+                    m.n, m.mean, m.std_pop, *means.get((g.slot, o.slot), (0, None))))
             elif o.slot in summaries:
                 tests[g.name, o.name] = ("chi2", *chi_square(summaries[o.slot], f"m{g.slot}"))
     return tests
 
 
+def _means_where_missing(
+    df: DataFrame, gappy: list[_Cells], numeric: list[_Cells]
+) -> dict[tuple[int, int], tuple[int, float | None]]:
+    """(gappy slot, numeric slot) -> count and mean of the number over rows where the first is missing.
+
+    A row is repeated once per gap it has, and grouped by the column of the gap.
+    """
+    out: dict[tuple[int, int], tuple[int, float | None]] = {}
+    if not gappy:
+        return out
+    flags = [x for g in gappy for x in (F.lit(g.slot), g.raw.isNull())]
+    for start in range(0, len(numeric), _MEANS_PER_JOB):
+        part = numeric[start:start + _MEANS_PER_JOB]
+        per_gap = (
+            df.select(*[o.number.alias(f"x{o.slot}") for o in part], F.stack(F.lit(len(gappy)), *flags).alias("gap", "missing"))
+            .filter(F.col("missing")).groupBy("gap")
+            .agg(*[x for o in part for x in (F.count(f"x{o.slot}").alias(f"n{o.slot}"), F.avg(f"x{o.slot}").alias(f"a{o.slot}"))]))
+        for row in per_gap.collect():
+            for o in part:
+                out[row.gap, o.slot] = (row[f"n{o.slot}"], row[f"a{o.slot}"])
+    return out
+
+
 def detect_missingness(df: DataFrame, row_id: str | None = ROW_ID) -> list[Association]:
     """Columns whose nulls depend on another column, first hit in column order."""
     return profile_table(df, row_id=row_id, missingness=True).associations or []

@@ -17,8 +17,8 @@ from limpid.functions.coerce import (
 )
 from limpid.functions.constants import CAST_LOSS_LIMIT
 from limpid.functions.quantiles import exact_quantiles
-from limpid.operators.values import modes
-from limpid.session import aggregate_in_groups
+from limpid.operators.values import modes, number_moments
+from limpid.session import count_rows
 from limpid.sources.tables import ROW_ID
 
 
@@ -88,24 +88,23 @@ def cast_expression(c: Column, kind: str, target: str, exact_integers: bool = Fa
 def fill_statistics(df: DataFrame, strategies: dict[str, str]) -> dict[str, dict]:
     """Mean, median or mode of the columns to fill, with their null counts.
 
-    One wide aggregate serves all columns; medians add the bounded-memory quantile search and modes
+    One scan serves all columns; medians add the bounded-memory quantile search and modes
     one count of values. ``nulls`` counts cells that are null after coercion to a number.
     """
     numeric = {n: s for n, s in strategies.items() if s in ("median", "mean")}
-    wanted = {"rows": F.count(F.lit(1))}
-    for i, name in enumerate(numeric):
-        x = to_number(col(name), storage(df, name))
-        wanted |= {f"n{i}": F.count(x), f"min{i}": F.min(x), f"max{i}": F.max(x), f"avg{i}": F.avg(x)}
-    found = aggregate_in_groups(df, wanted) if numeric else {}
+    expressions = {n: to_number(col(n), storage(df, n)) for n in numeric}
+    found = number_moments(df, dict(enumerate(expressions.values())))
+    rows = count_rows(df) if numeric else 0
     out: dict[str, dict] = {}
     ranges = {}
     for i, name in enumerate(numeric):
-        out[name] = {"nulls": found["rows"] - found[f"n{i}"], "value": found[f"avg{i}"]}
-        if numeric[name] == "median":
-            ranges[name] = (found[f"n{i}"], found[f"min{i}"], found[f"max{i}"])
+        m = found.get(i)
+        out[name] = {"nulls": rows - (m.n if m else 0), "value": m.mean if m else None}
+        if numeric[name] == "median" and m:
+            ranges[name] = (m.n, m.low, m.high)
     # a median is only needed where a cell is empty
     ranges = {n: r for n, r in ranges.items() if out[n]["nulls"]}
-    medians = exact_quantiles(df, {n: to_number(col(n), storage(df, n)) for n in ranges}, ranges, [0.5])
+    medians = exact_quantiles(df, {n: expressions[n] for n in ranges}, ranges, [0.5])
     for name in ranges:
         out[name]["value"] = medians.get(name, {}).get(0.5)
 
@@ -180,21 +179,16 @@ def remove_outliers(df: DataFrame, fences: dict[str, tuple[float, float]]) -> Da
 
 def scale_statistics(df: DataFrame, kinds: dict[str, str]) -> dict[str, tuple[float, float]]:
     """(offset, divisor) per column to scale; constant columns are left out."""
-    wanted = {}
-    for i, (name, kind) in enumerate(kinds.items()):
-        x = col(name).cast("double")
-        wanted |= ({f"a{i}": F.min(x), f"b{i}": F.max(x)} if kind == "min_max"
-                   else {f"a{i}": F.avg(x), f"b{i}": F.stddev_pop(x)})
-    found = aggregate_in_groups(df, wanted)
+    found = number_moments(df, {i: col(n).cast("double") for i, n in enumerate(kinds)})
     out = {}
     for i, (name, kind) in enumerate(kinds.items()):
-        a, b = found[f"a{i}"], found[f"b{i}"]
-        if a is None or b is None:
+        m = found.get(i)
+        if m is None:
             continue
-        if kind == "min_max" and b != a:
-            out[name] = (a, b - a)
-        elif kind == "z_score" and b > 0:
-            out[name] = (a, b)
+        if kind == "min_max" and m.high != m.low:
+            out[name] = (m.low, m.high - m.low)
+        elif kind == "z_score" and m.std_pop > 0:
+            out[name] = (m.mean, m.std_pop)
     return out
 
 

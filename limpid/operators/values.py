@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from limpid.functions.coerce import col, is_bool_like, is_sentinel_word, matches, to_date, to_number
@@ -29,6 +29,21 @@ def unpivot_cells(df: DataFrame, cells: dict[int, Column], extra: list[Column] |
     )
 
 
+def number_moments(df: DataFrame, numbers: dict[int, Column]) -> dict[int, Row]:
+    """slot -> (n, low, high, mean, std, std_pop) of double expressions, in one scan.
+
+    The cells are unpivoted and grouped by slot: one small set of aggregates for any number of
+    columns, and one row per slot and task in the shuffle. Slots without a number are absent.
+    """
+    if not numbers:
+        return {}
+    v = F.col("value")
+    rows = unpivot_cells(df, numbers).groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop"))
+    return {r.slot: r for r in rows.collect()}
+
+
 def value_counts(df: DataFrame, cells: dict[int, Column]) -> DataFrame:
     """(slot, value, n): one row per distinct cell value of each slot.
 
