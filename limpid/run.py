@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from limpid.operators.apply import Applied, apply_plan
 from limpid.operators.impact import drop_flags
@@ -14,7 +15,7 @@ from limpid.operators.score import score_report
 from limpid.plans.model import Plan
 from limpid.plans.rules import build_plan
 from limpid.session import fresh_path, stage
-from limpid.sources.csv import read_csv
+from limpid.sources.csv import preview_csv, read_csv
 from limpid.sources.ledger import Ledger
 from limpid.sources.tables import ROW_ID, write_cleaned
 
@@ -82,7 +83,7 @@ def clean_file(spark: SparkSession, ledger: Ledger, run_id: str, zone: str, appr
     plan = approved or Plan.from_json(run["plan_generated"])
     ledger.advance(run_id, "TRANSFORMING", plan_approved=plan.to_json())
     try:
-        source = ledger.files().filter(f"file_id = '{run['file_id']}'").first()
+        source = ledger.files().filter(F.col("file_id") == run["file_id"]).first()
         table = read_csv(spark, source.raw_path, source.has_header)
         done = clean(table.df, ledger.approved_plan(run_id), zone, run["file_id"], run_id)
         ledger.advance(run_id, "COMPLETED", scores_after=json.dumps(done.scores), curated_path=done.path)
@@ -90,3 +91,16 @@ def clean_file(spark: SparkSession, ledger: Ledger, run_id: str, zone: str, appr
         ledger.advance(run_id, "FAILED", error_message=str(e)[:2000])
         raise
     return done
+
+
+def preview_run(spark: SparkSession, ledger: Ledger, run_id: str, part: str = "raw") -> DataFrame:
+    """First rows of a run's source (``raw``) or, once it is completed, of its result (``cleaned``)."""
+    run = ledger.run(run_id)
+    if part == "cleaned":
+        if run["status"] != "COMPLETED" or not run["curated_path"]:
+            raise ValueError("the cleaned table is not available yet")
+        return preview_csv(spark, run["curated_path"])
+    if part != "raw":
+        raise ValueError(f"part must be 'raw' or 'cleaned', not {part!r}")
+    source = ledger.files().filter(F.col("file_id") == run["file_id"]).first()
+    return preview_csv(spark, source.raw_path, source.has_header)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.functions.coerce import INTEGER_RE, NUMBER_RE, col, fold_null_tokens
-from limpid.functions.constants import CSV_BOOL_WORDS
+from limpid.functions.constants import CSV_BOOL_WORDS, PREVIEW_ROWS
 from limpid.session import aggregate_in_groups, stage
-from limpid.sources.tables import ROW_ID, data_columns, with_file_row_id
+from limpid.sources.tables import ROW_ID, data_columns, preview, with_file_row_id
 
 _BAD = "__record"
 _BAD_FLAG = "__malformed"
@@ -132,3 +132,12 @@ def read_csv(
     good = staged.filter(~F.col(_BAD_FLAG)).drop(_BAD_FLAG)
     malformed = staged.filter(F.col(_BAD_FLAG)).count()
     return CsvTable(apply_storage(good, infer_storage(good)), malformed)
+
+
+def preview_csv(spark: SparkSession, path: str, has_header: bool = True, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """First records of a CSV file or folder, typed by themselves. Only its first file is read."""
+    first = sorted(spark.read.text(path).inputFiles())[0]
+    scan = scan_csv(spark, first, has_header)
+    top = preview(scan.filter(~F.col(_BAD_FLAG)).drop(_BAD_FLAG), rows)
+    head = spark.createDataFrame(top.collect(), top.schema)     # at most ``rows`` rows
+    return apply_storage(head, infer_storage(head))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from limpid.operators.apply import apply_plan
 from limpid.plans.model import Plan
-from limpid.run import analyse_file, clean_file
+from limpid.run import analyse_file, clean_file, preview_run
 from limpid.sources import ledger as L
 from limpid.sources.csv import read_csv, unique_names
 from limpid.sources.tables import ROW_ID, preview, read_parquet, write_cleaned
@@ -106,7 +106,12 @@ def test_ledger_life_of_a_run(spark, tmp_path):
         ledger.restart(run_id)
     with pytest.raises(LookupError):
         ledger.approved_plan(run_id)
+    with pytest.raises(ValueError):
+        preview_run(spark, ledger, run_id, "cleaned")
+    raw = preview_run(spark, ledger, run_id).collect()
+    assert [r.k for r in raw] == list(range(20)) and raw[0].v is None and raw[1].v == 1.0
     done = clean_file(spark, ledger, run_id, str(tmp_path / "curated"))
+    assert preview_run(spark, ledger, run_id, "cleaned").count() <= 20
     run = ledger.run(run_id)
     assert run["status"] == "COMPLETED" and run["completed_at"] is not None and run["curated_path"] == done.path
     assert json.loads(run["scores_after"])["completeness"] == 100.0
