@@ -29,17 +29,24 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+# Folders made for local sessions without the setting, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a folder of this process is used instead.
+    Only in a local session without that setting (tests) a folder of this process is used instead;
+    a cluster without the setting is refused, since executors do not see each other's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="limpid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="limpid-")
+        folder = _LOCAL_FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 
