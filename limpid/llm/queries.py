@@ -1,8 +1,8 @@
 """Named queries of this package and their equivalent SQL."""
 
-from limpid.llm import simhash, substrings
+from limpid.llm import sharding, simhash, substrings
 
-_PARTS = (simhash, substrings)
+_PARTS = (sharding, simhash, substrings)
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in getattr(part, "SQL", {}).items()}
