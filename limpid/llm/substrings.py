@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -115,37 +114,65 @@ def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             .mapInArrow(cut, "minimiser bigint, part int, parts int, doc_id bigint, digest bigint, first int, packed binary"))
 
 
-def _sorted_windows(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Sort the windows of one bucket; one row per repeated window, or per distinct one if the
-    minimiser has further buckets: the smallest document and all places."""
-    places, cut = [], []
-    columns = (group[c].tolist() for c in ("doc_id", "digest", "first", "packed"))
-    for doc_id, digest, first, packed in zip(*columns):
+def _sorted_windows(several: bool, rows: list[tuple], window: int) -> Iterator[tuple]:
+    """Sort the windows of one bucket; (window, least document, documents, digests, places) per
+    repeated window, or per distinct one if the minimiser has ``several`` buckets."""
+    cut = []
+    for doc_id, digest, first, packed in rows:
         starts = [0]
         at = packed.find(b" ")
         while at >= 0:
             starts.append(at + 1)
             at = packed.find(b" ", at + 1)
         starts.append(len(packed) + 1)
-        for k in range(len(starts) - window):
-            cut.append(packed[starts[k]:starts[k + window] - 1])
-            places.append((doc_id, digest, first + k))
-    order = sorted(range(len(cut)), key=cut.__getitem__)
-    several = bool(group["parts"].iloc[0] > 1)
-    found = []
+        cut += [(packed[starts[k]:starts[k + window] - 1], doc_id, digest, first + k) for k in range(len(starts) - window)]
+    cut.sort()
     k = 0
-    while k < len(order):
-        end = k + 1
-        while end < len(order) and cut[order[end]] == cut[order[k]]:
+    while k < len(cut):
+        end, (same, least, *_) = k + 1, cut[k]
+        while end < len(cut) and cut[end][0] == same:
             end += 1
-        here = [places[i] for i in order[k:end]]
-        least = min(place[0] for place in here)
-        later = [place for place in here if several or place[0] > least]
+        # the first of equal windows has the smallest document
+        later = [c[1:] for c in cut[k:end] if several or c[1] > least]
         if later:
-            later.sort()
-            found.append((cut[order[k]] if several else None, least, *map(list, zip(*later))))
+            yield (same if several else None, least, *map(list, zip(*later)))
         k = end
-    return pd.DataFrame(found, columns=["window", "least", "docs", "digests", "firsts"])
+
+
+def _counted(packed: DataFrame, window: int) -> DataFrame:
+    """Bring the packed strings to their buckets and sort the windows of each.
+
+    A task reads its buckets one after the other and holds one of them at a time.
+    """
+    target = pa.schema([("window", pa.binary()), ("least", pa.int64()), ("docs", pa.list_(pa.int64())),
+                        ("digests", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, rows = None, []
+        for batch in batches:
+            columns = batch.to_pydict()
+            for minimiser, part, parts, *row in zip(*(columns[c] for c in batch.schema.names)):
+                if (minimiser, part, parts) != key:
+                    if rows:
+                        yield key[2] > 1, rows
+                    key, rows = (minimiser, part, parts), []
+                rows.append(row)
+        if rows:
+            yield key[2] > 1, rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for several, rows in buckets(batches):
+            for row in _sorted_windows(several, rows, window):
+                found.append(row)
+                if len(found) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), target)], schema=target)
+                    found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), target)], schema=target)
+
+    ordered = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part")
+    return ordered.mapInArrow(run, _FOUND)
 
 
 _FOUND = "window binary, least bigint, docs array<bigint>, digests array<bigint>, firsts array<int>"
@@ -164,8 +191,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
               .select("minimiser", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")))
     wanted = listed.join(shared, "minimiser").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     packed = _packed(docs, wanted, window)
-    found = packed.groupBy("minimiser", "part").applyInPandas(lambda g: _sorted_windows(g, window), _FOUND)
-    found = stage(found, "window-counts")
+    found = stage(_counted(packed, window), "window-counts")
     places = F.explode(F.arrays_zip("docs", "digests", "firsts")).alias("at")
     alone = found.where("window is null").select("least", places)
     met = found.where("window is not null")
