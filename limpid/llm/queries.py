@@ -1,8 +1,8 @@
 """Named queries of this package and their equivalent SQL."""
 
-from limpid.llm import decontaminate, sharding, simhash, substrings, url_lists
+from limpid.llm import decontaminate, packing, sharding, simhash, substrings, url_lists
 
-_PARTS = (decontaminate, sharding, simhash, substrings, url_lists)
+_PARTS = (decontaminate, packing, sharding, simhash, substrings, url_lists)
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in getattr(part, "SQL", {}).items()}
