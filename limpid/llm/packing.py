@@ -223,7 +223,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_
     full = (pieces.where(F.col("length") == sequence)
             .withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint")))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         number, offset = best_two_fit(group["length"].to_numpy(), sequence)
         return group[names].assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
