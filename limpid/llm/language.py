@@ -250,7 +250,7 @@ def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def with_language(docs: DataFrame, model: Model, to: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """``docs`` (text, ...) with the predicted language and its probability; all rows and columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.recurrent, model.out, model.bias))
 
     @F.pandas_udf("lang string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
@@ -261,7 +261,7 @@ def with_language(docs: DataFrame, model: Model, to: str = "lang_pred", score: s
             part.append(text)
             held += len(text or "")
             if held > 4_000_000 or k == len(listed) - 1:
-                found, share = predict(shared.value, part)
+                found, share = predict(Model(*shared.value), part)
                 names += found
                 scores += share.tolist()
                 part, held = [], 0

@@ -10,7 +10,7 @@ lie side by side. Hashes only choose buckets; windows are compared as text.
 A minimiser with very many occurrences is dealt over several buckets by document. Each bucket then
 reduces its windows to one row per distinct window with the smallest document; these rows meet once
 more under the window itself, so a passage that a third of all documents share arrives there as one
-row per bucket, not per document.
+row per bucket, not per document. What is found goes back as runs of consecutive windows.
 """
 
 from __future__ import annotations
@@ -114,9 +114,8 @@ def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             .mapInArrow(cut, "minimiser bigint, part int, parts int, doc_id bigint, digest bigint, first int, packed binary"))
 
 
-def _sorted_windows(several: bool, rows: list[tuple], window: int) -> Iterator[tuple]:
-    """Sort the windows of one bucket; (window, least document, documents, digests, places) per
-    repeated window, or per distinct one if the minimiser has ``several`` buckets."""
+def _cut_windows(rows: list[tuple], window: int) -> list[tuple]:
+    """(window, doc_id, digest, place) of the packed strings of one bucket, sorted."""
     cut = []
     for doc_id, digest, first, packed in rows:
         starts = [0]
@@ -127,83 +126,130 @@ def _sorted_windows(several: bool, rows: list[tuple], window: int) -> Iterator[t
         starts.append(len(packed) + 1)
         cut += [(packed[starts[k]:starts[k + window] - 1], doc_id, digest, first + k) for k in range(len(starts) - window)]
     cut.sort()
+    return cut
+
+
+def _runs(places: list[tuple]) -> Iterator[tuple]:
+    """(doc_id, digest, first, windows) of consecutive places (doc_id, digest, place)."""
+    begun, last = None, None
+    for place in sorted(places):
+        if last is not None and place[:2] == last[:2] and place[2] <= last[2] + 1:
+            last = place
+            continue
+        if begun is not None:
+            yield *begun, last[2] - begun[2] + 1
+        begun = last = place
+    if begun is not None:
+        yield *begun, last[2] - begun[2] + 1
+
+
+def _equal_windows(cut: list[tuple]) -> Iterator[list[tuple]]:
     k = 0
     while k < len(cut):
-        end, (same, least, *_) = k + 1, cut[k]
-        while end < len(cut) and cut[end][0] == same:
+        end = k + 1
+        while end < len(cut) and cut[end][0] == cut[k][0]:
             end += 1
-        # the first of equal windows has the smallest document
-        later = [c[1:] for c in cut[k:end] if several or c[1] > least]
-        if later:
-            yield (same if several else None, least, *map(list, zip(*later)))
+        yield cut[k:end]
         k = end
 
 
+_FOUND = "minimiser bigint, part int, window binary, least bigint, docs array<bigint>, digests array<bigint>, firsts array<int>, counts array<int>"
+_RUNS = "docs array<bigint>, digests array<bigint>, firsts array<int>, counts array<int>"
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 5_000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, other columns) of consecutive rows with one key; the first ``width`` columns are the key."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield key, rows
+
+
+_LISTS = [("docs", pa.list_(pa.int64())), ("digests", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
+
+
 def _counted(packed: DataFrame, window: int) -> DataFrame:
     """Bring the packed strings to their buckets and sort the windows of each.
 
+    A minimiser with one bucket is settled there: one row with the runs to remove. Of a minimiser
+    with several, each bucket gives one row per distinct window: its smallest document and all places.
     A task reads its buckets one after the other and holds one of them at a time.
     """
-    target = pa.schema([("window", pa.binary()), ("least", pa.int64()), ("docs", pa.list_(pa.int64())),
-                        ("digests", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
+    target = pa.schema([("minimiser", pa.int64()), ("part", pa.int32()), ("window", pa.binary()), ("least", pa.int64()), *_LISTS])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (minimiser, part, parts), rows in _buckets(batches, 3):
+            groups = _equal_windows(_cut_windows(rows, window))
+            if parts > 1:
+                for same in groups:
+                    _, docs, digests, firsts = map(list, zip(*same))
+                    yield minimiser, part, same[0][0], docs[0], docs, digests, firsts, None
+            else:
+                # the first of equal windows has the smallest document
+                later = [c[1:] for same in groups if len(same) > 1 for c in same if c[1] > same[0][1]]
+                if later:
+                    yield minimiser, part, None, None, *map(list, zip(*_runs(later)))
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, rows = None, []
-        for batch in batches:
-            columns = batch.to_pydict()
-            for minimiser, part, parts, *row in zip(*(columns[c] for c in batch.schema.names)):
-                if (minimiser, part, parts) != key:
-                    if rows:
-                        yield key[2] > 1, rows
-                    key, rows = (minimiser, part, parts), []
-                rows.append(row)
-        if rows:
-            yield key[2] > 1, rows
+    ordered = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part")
+    return ordered.mapInArrow(lambda batches: _batches(found(batches), target), _FOUND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for several, rows in buckets(batches):
-            for row in _sorted_windows(several, rows, window):
-                found.append(row)
-                if len(found) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), target)], schema=target)
-                    found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), target)], schema=target)
 
-    ordered = packed.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part")
-    return ordered.mapInArrow(run, _FOUND)
+def _settled(met: DataFrame) -> DataFrame:
+    """Runs to remove, per bucket of a minimiser with several, once the smallest document is known."""
+    target = pa.schema(_LISTS)
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, rows in _buckets(batches, 2):
+            later = [place for least, *lists in rows for place in zip(*lists) if place[0] > least]
+            if later:
+                yield tuple(map(list, zip(*_runs(later))))
 
-_FOUND = "window binary, least bigint, docs array<bigint>, digests array<bigint>, firsts array<int>"
+    ordered = (met.select("minimiser", "part", "overall", "docs", "digests", "firsts")
+               .repartition("minimiser", "part").sortWithinPartitions("minimiser", "part"))
+    return ordered.mapInArrow(lambda batches: _batches(found(batches), target, 50), _RUNS)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """(doc_id, digest, first): windows whose words also start in a document with a smaller doc_id.
+    """(doc_id, digest, first, windows): runs of windows whose words also start in a document with a smaller doc_id.
 
-    digest is the hash of the whole text; with doc_id it names a row, also where ids repeat.
+    digest is the hash of the whole text; with doc_id it names a row, also where ids repeat. A run
+    has ``windows`` windows, the first of them at word ``first``.
     """
-    docs = (docs.where("doc_id is not null and text is not null")
-            .select("doc_id", F.xxhash64("text").alias("digest"), "text").repartition("doc_id", "digest"))
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), "text")
     listed = stage(_listed(docs, window, minimiser), "super-kmers")
-    shared = (listed.groupBy("minimiser").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-              .where("least < most")
-              .select("minimiser", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")))
+    # staged, so that the join below has two plain inputs and Spark can split a hot minimiser
+    shared = stage(listed.groupBy("minimiser").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                   .where("least < most")
+                   .select("minimiser", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "minimisers")
     wanted = listed.join(shared, "minimiser").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    packed = _packed(docs, wanted, window)
-    found = stage(_counted(packed, window), "window-counts")
-    places = F.explode(F.arrays_zip("docs", "digests", "firsts")).alias("at")
-    alone = found.where("window is null").select("least", places)
+    found = stage(_counted(_packed(docs, wanted, window), window), "window-counts")
     met = found.where("window is not null")
     least = met.groupBy("window").agg(F.min("least").alias("overall"))
-    spread = met.join(least, "window").select(F.col("overall").alias("least"), places)
-    return alone.union(spread).where("at.docs > least").select(
-        F.col("at.docs").alias("doc_id"), F.col("at.digests").alias("digest"), F.col("at.firsts").alias("first"))
+    runs = found.where("window is null").select("docs", "digests", "firsts", "counts").union(_settled(met.join(least, "window")))
+    return runs.select(F.explode(F.arrays_zip("docs", "digests", "firsts", "counts")).alias("at")).select(
+        F.col("at.docs").alias("doc_id"), F.col("at.digests").alias("digest"), F.col("at.firsts").alias("first"), F.col("at.counts").alias("windows"))
 
 
 def _rest(docs: DataFrame, repeated: DataFrame, window: int, schema: str, finish) -> DataFrame:
     """Apply ``finish(words, keep mask, text)`` to each document; its columns follow those of ``docs``."""
-    lists = (repeated.groupBy("doc_id", "digest").agg(F.collect_set("first").alias("__firsts"))
+    lists = (repeated.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "windows")).alias("__runs"))
              .withColumnsRenamed({"doc_id": "__of", "digest": "__digest"}))
     same = (docs["doc_id"] == F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__digest"))
     joined = docs.join(lists, same, "left").drop("__of", "__digest")
@@ -213,13 +259,12 @@ def _rest(docs: DataFrame, repeated: DataFrame, window: int, schema: str, finish
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text, firsts in zip(batch.column(place), batch.column(len(names))):
+            for text, runs in zip(batch.column(place), batch.column(len(names))):
                 words = words_of(text.as_py())
                 step = np.zeros(len(words) + 1, np.int64)
-                if firsts.is_valid:
-                    starts = np.asarray(firsts.values, np.int64)
-                    np.add.at(step, starts, 1)
-                    np.add.at(step, starts + window, -1)
+                for run in runs.as_py() or ():
+                    step[run["first"]] += 1
+                    step[run["first"] + run["windows"] + window - 1] -= 1
                 made.append(finish(words, np.cumsum(step[:-1]) == 0, text.as_py()))
             yield finish.batch(batch, made, place, len(names))
 
