@@ -217,9 +217,9 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = NEAREST, beam: int =
     asked = usable(queries).select("vec_id", "embedding").distinct().withColumn("dims", F.size("embedding"))
     asked = stage(asked, "queries")
     blocks = max(1, -(-asked.count() // block))
-    where = index.select("dims", "shard")
-    spread = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(where, "dims")
-              .select("dims", "shard", "block", F.col("vec_id").alias("query_id"), "embedding"))
+    where = index.select(F.col("dims").alias("to_dims"), F.col("shard").alias("to_shard"))
+    spread = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(where, F.col("dims") == F.col("to_dims"))
+              .select("to_dims", "to_shard", "block", F.col("vec_id").alias("query_id"), "embedding"))
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(key: tuple, part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +244,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = NEAREST, beam: int =
                 found += [(int(query), m, -s) for s, m in sorted(pairs)[:k]]
         return pd.DataFrame(found, columns=names)
 
-    hits = (copies.groupBy("dims", "shard", "block").cogroup(spread.groupBy("dims", "shard", "block"))
+    hits = (copies.groupBy("dims", "shard", "block").cogroup(spread.groupBy("to_dims", "to_shard", "block"))
             .applyInPandas(search, "query_id bigint, vec_id bigint, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
