@@ -1,8 +1,8 @@
 """Named queries of this package and their equivalent SQL."""
 
-from limpid.llm import decontaminate, graph_search, language, packing, sharding, simhash, substrings, toxicity, url_lists
+from limpid.llm import decontaminate, graph_search, language, packing, pitman_yor, sharding, simhash, substrings, toxicity, url_lists
 
-_PARTS = (decontaminate, graph_search, language, packing, sharding, simhash, substrings, toxicity, url_lists)
+_PARTS = (decontaminate, graph_search, language, packing, pitman_yor, sharding, simhash, substrings, toxicity, url_lists)
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in getattr(part, "SQL", {}).items()}
