@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from types import ModuleType
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,20 +215,20 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_
     """
     short = pieces.where(F.col("length") < sequence).count()
     groups = max(1, -(-short // group_pieces))
-    names = pieces.columns
     mixed = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id bigint, offset bigint"
     # groups use the upper part of the number, full pieces a number of their own below zero
     full = (pieces.where(F.col("length") == sequence)
             .withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint")))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.drop_columns(["__group"]).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         number, offset = best_two_fit(group["length"].to_numpy(), sequence)
-        return group[names].assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
+        return (group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + number))
+                .append_column("offset", pa.array(offset)))
 
     dealt = pieces.where(F.col("length") < sequence).withColumn("__group", F.pmod(mixed, F.lit(groups)))
-    return full.unionByName(dealt.groupBy("__group").applyInPandas(run, schema))
+    return full.unionByName(dealt.groupBy("__group").applyInArrow(run, schema))
 
 
 def packed_documents(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
