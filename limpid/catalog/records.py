@@ -4,15 +4,17 @@ from __future__ import annotations
 
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from limpid.catalog.views import sql_union, table, view, with_views
 from limpid.functions.coerce import col
 from limpid.operators.apply import apply_plan
+from limpid.operators.duplicates import drop_duplicates
 from limpid.plans.model import Plan
 from limpid.session import fresh_path
 from limpid.sources import ledger
-from limpid.sources.csv import read_csv
-from limpid.sources.tables import ROW_ID, read_parquet, write_cleaned
+from limpid.sources.csv import preview_csv, read_csv
+from limpid.sources.tables import ROW_ID, read_parquet, write_cleaned, write_raw
 from limpid.streaming.arrivals import analyse_arrivals
 
 QUERIES: dict = {}
@@ -146,6 +148,33 @@ def cleaned_csv(spark, folder):
     return read_csv(spark, path).df.drop(ROW_ID).withColumn("p_size", F.col("p_size").cast("int"))
 
 
+@query("csv_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_documents(spark, folder):
+    """Texts with line breaks, quotes and commas, written as CSV and read back."""
+    path = write_raw(table(spark, folder, "documents"), fresh_path(spark, "raw"), "documents", "documents.csv")
+    return read_csv(spark, path).df.drop(ROW_ID)
+
+
+@query("preview_folder", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20")
+def preview_folder(spark, folder):
+    """First rows of a folder of many small files, the first of which has a header only."""
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name")
+    path = fresh_path(spark, "small-files")
+    files = rows.repartitionByRange(200, "c_custkey").sortWithinPartitions("c_custkey")
+    spark.createDataFrame([], rows.schema).coalesce(1).union(files).write.option("header", True).csv(path)
+    return preview_csv(spark, path)
+
+
+@query("cleaned_row_order", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
+def cleaned_row_order(spark, folder):
+    """A cleaned table keeps the order of its rows, whatever shuffled them on the way."""
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias(ROW_ID), "c_custkey", "c_name")
+    path = write_cleaned(drop_duplicates(rows, row_id=ROW_ID), fresh_path(spark, "curated"), "customer", "run")
+    back = read_csv(spark, path).df
+    return back.select("c_custkey", "c_name", F.row_number().over(Window.orderBy(ROW_ID)).cast("long").alias("n")).select(
+        "c_custkey", "c_name", (F.col("n") - 1).alias("position"))
+
+
 @query("parquet_row_order", "SELECT p_partkey, row_number() OVER () - 1 AS position FROM part")
 def parquet_row_order(spark, folder):
     return read_parquet(spark, f"{folder}/part.parquet").select("p_partkey", F.col(ROW_ID).alias("position"))

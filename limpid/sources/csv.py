@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,37 +41,49 @@ def unique_names(header: list[str]) -> list[str]:
     return names
 
 
-def _first_record(spark: SparkSession, path: str) -> list[str]:
-    line = spark.read.text(path).filter(F.trim("value") != "").first()
-    if line is None:
-        raise ValueError(f"no columns to read in {path}")
-    return next(csv.reader(io.StringIO(line[0].lstrip("﻿"))))
+def _reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("emptyValue", "").option("nullValue", ""))
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def _first_record(spark: SparkSession, files: list[str], multi_line: bool) -> tuple[int, list[str]]:
+    """(number of its file, cells) of the first record; files without any record come before it."""
+    for k, file in enumerate(files):
+        row = _reader(spark, multi_line).option("header", False).csv(file).first()
+        if row is not None and any(cell is not None for cell in row):
+            cells = ["" if cell is None else cell for cell in row]
+            return k, [cells[0].lstrip("\ufeff"), *cells[1:]]
+    raise ValueError(f"no columns to read in {files}")
 
 
 def scan_csv(
-    spark: SparkSession, path: str, has_header: bool = True, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], has_header: bool = True, multi_line: bool = True
 ) -> DataFrame:
     """All cells as text, null tokens folded, with a row id and a malformed flag per row.
 
     Spark marks records that are too long and too short alike. Only the long ones are malformed;
     short ones are padded with nulls. Commas inside quotes are removed before fields are counted.
-    ``multi_line`` accepts line breaks inside quotes at the price of one task per file.
+    Line breaks inside quotes belong to the cell; then a file is read by one task, so a large table
+    should come in several files. ``multi_line=False`` splits files, for data known to have none.
+    A file whose header differs from that of the first file is refused.
     """
-    header = _first_record(spark, path)
+    files = _files(spark, path)
+    _, header = _first_record(spark, files, multi_line)
     names = unique_names(header) if has_header else [f"col_{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_BAD, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", has_header).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD)
-        .option("escape", '"').option("multiLine", multi_line).option("columnPruning", False)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "").option("nullValue", "")
-        .csv(path)
-    )
+    # Spark compares the names of every file with the schema, unless names had to be made up
+    raw = (_reader(spark, multi_line).schema(schema).option("header", has_header)
+           .option("enforceSchema", not has_header or names != header)
+           .option("columnNameOfCorruptRecord", _BAD).option("columnPruning", False).csv(path))
     in_file = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_TASK_ROWS))
     raw = with_file_row_id(raw, in_file)
-    unquoted = F.regexp_replace(col(_BAD), '"(?:[^"]|"")*"', "")
+    # possessive: a quoted cell of any length is passed in one step, without a stack frame per character
+    unquoted = F.regexp_replace(col(_BAD), '"(?:[^"]++|"")*+"', "")
     fields = 1 + F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
     return raw.select(
         col(ROW_ID),
@@ -121,7 +131,7 @@ def apply_storage(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, has_header: bool = True, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], has_header: bool = True, multi_line: bool = True
 ) -> CsvTable:
     """Parse a CSV file or folder into a typed table.
 
@@ -134,10 +144,20 @@ def read_csv(
     return CsvTable(apply_storage(good, infer_storage(good)), malformed)
 
 
-def preview_csv(spark: SparkSession, path: str, has_header: bool = True, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """First records of a CSV file or folder, typed by themselves. Only its first file is read."""
-    first = sorted(spark.read.text(path).inputFiles())[0]
-    scan = scan_csv(spark, first, has_header)
-    top = preview(scan.filter(~F.col(_BAD_FLAG)).drop(_BAD_FLAG), rows)
-    head = spark.createDataFrame(top.collect(), top.schema)     # at most ``rows`` rows
-    return apply_storage(head, infer_storage(head))
+def preview_csv(spark: SparkSession, path: str, has_header: bool = True, rows: int = PREVIEW_ROWS,
+                multi_line: bool = True) -> DataFrame:
+    """First records of a CSV file or folder, typed by themselves.
+
+    Files are read in their order, four times as many in each step, until there are enough rows.
+    """
+    files = _files(spark, path)
+    start, _ = _first_record(spark, files, multi_line)
+    count = 1
+    while True:
+        scan = scan_csv(spark, files[start:start + count], has_header, multi_line)
+        top = preview(scan.filter(~F.col(_BAD_FLAG)).drop(_BAD_FLAG), rows)
+        found = top.collect()                                   # at most ``rows`` rows
+        if len(found) == rows or start + count >= len(files):
+            head = spark.createDataFrame(found, top.schema)
+            return apply_storage(head, infer_storage(head))
+        count *= 4

@@ -67,8 +67,13 @@ def write_raw(df: DataFrame, zone: str, file_id: str, filename: str) -> str:
 
 
 def write_cleaned(df: DataFrame, zone: str, file_id: str, run_id: str, fmt: str = "csv") -> str:
-    """Write a cleaned table without its row id; returns the folder written."""
+    """Write a cleaned table in row order, without its row id; returns the folder written.
+
+    Rows are dealt to the files by ranges of the row id, so the files follow each other in row order.
+    """
     path = cleaned_path(zone, file_id, run_id) + ("" if fmt == "csv" else f".{fmt}")
+    if ROW_ID in df.columns:
+        df = df.orderBy(ROW_ID)
     if fmt == "csv":
         _write_csv(df, path)
     else:

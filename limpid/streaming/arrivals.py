@@ -34,7 +34,7 @@ def run_key(path: str) -> str:
 
 def analyse_arrivals(
     spark: SparkSession, folder: str, ledger_folder: str, checkpoint: str, user_id: str = "",
-    has_header: bool = True, flags: bool = False,
+    has_header: bool = True, flags: bool = True,
 ) -> StreamingQuery:
     """Analyse every new file once and stop when there is none left.
 

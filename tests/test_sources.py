@@ -7,7 +7,7 @@ from limpid.operators.apply import apply_plan
 from limpid.plans.model import Plan
 from limpid.run import analyse_file, clean_file, preview_run
 from limpid.sources import ledger as L
-from limpid.sources.csv import read_csv, unique_names
+from limpid.sources.csv import preview_csv, read_csv, unique_names
 from limpid.sources.tables import ROW_ID, preview, read_parquet, write_cleaned
 from limpid.streaming.arrivals import analyse_arrivals
 
@@ -172,3 +172,36 @@ def test_arrivals_are_analysed_once(spark, tmp_path):
     # a new checkpoint offers all files again; those with a result are left alone
     analyse_arrivals(spark, landing, books, checkpoint + "-2").awaitTermination()
     assert ledger.runs().count() == 4 and ledger.files().count() == 4
+
+
+def test_long_cells_and_line_breaks(spark, tmp_path):
+    long = "x,\n" * 250_000
+    text = 'id,a,b\n1,"' + long + '",2\n2,"' + long + '"\n3,"' + long + '",4,5\n4,"line one\nline ""two""",6\n'
+    (tmp_path / "in.csv").write_text(text)
+    table = read_csv(spark, str(tmp_path / "in.csv"))
+    rows = {r.id: r for r in table.df.collect()}
+    assert table.malformed_rows == 1 and sorted(rows) == [1, 2, 4]
+    assert len(rows[1].a) == len(long.rstrip("\n")) or rows[1].a == long
+    assert rows[2].b is None and rows[4].a == 'line one\nline "two"' and rows[4].b == 6
+
+
+def test_header_of_every_file_is_checked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_preview_reads_on(spark, tmp_path):
+    (tmp_path / "f00.csv").write_text("")
+    (tmp_path / "f01.csv").write_text("k,v\n")
+    for i in range(30):
+        (tmp_path / f"g{i:02}.csv").write_text(f"k,v\n{i},a\n")
+    assert [r.k for r in preview_csv(spark, str(tmp_path)).collect()] == list(range(20))
+    assert preview_csv(spark, str(tmp_path / "f01.csv")).count() == 0
+
+
+def test_cleaned_rows_keep_their_order(spark, tmp_path, frame):
+    df = frame(a=list(range(500))).repartition(7)
+    path = write_cleaned(df, str(tmp_path), "f", "r")
+    assert [r.a for r in read_csv(spark, path).df.orderBy(ROW_ID).collect()] == list(range(500))
