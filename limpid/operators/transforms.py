@@ -70,9 +70,9 @@ def damage_reason(counts: dict, prefix: str = "", invented_counts: bool = True)
     filled, after = counts[prefix + "filled"], counts[prefix + "filled_after"]
     lost = (filled - after) / max(filled, 1)
     if lost > CAST_LOSS_LIMIT:
-        return f"Excess new nulls: {lost:.2%} of non-null values became null"
+        return f"the transform loses {lost:.2%} of the filled cells"
     if invented_counts and counts[prefix + "invented"]:
-        return f"Transform filled {counts[prefix + 'invented']} original null(s)"
+        return f"the transform invents a value for {counts[prefix + 'invented']} empty cell(s)"
     return ""
 
 

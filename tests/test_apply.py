@@ -159,7 +159,7 @@ def test_unsafe_transforms(spark, code):
 def test_trials(frame):
     df = frame(x=["1%", "2%", None], y=["a", "b", "c"])
     assert trial_transform(df, "x", "replace(col, '%', '')") == (True, "")
-    assert "original null" in trial_transform(df, "x", "coalesce(col, 'None')")[1]
+    assert "empty cell" in trial_transform(df, "x", "coalesce(col, 'None')")[1]
     assert "new nulls" in trial_transform(df, "y", "try_cast(col as int)")[1]
     assert check_transform(df.sparkSession, "'select ' || col")[0]
 
