@@ -56,7 +56,7 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID, coerce_se
         coerce_sentinels)
     for name, rule in rules.items():
         if rule.sentinel_table and rule.replace_sentinels:
-            df = steps.replace_sentinels_from(df, name, rule.sentinel_table)
+            df = steps.replace_sentinels_from(df, name, rule.sentinel_table, coerce_sentinels)
 
     # 3
     df = _transform(df, rules, out)

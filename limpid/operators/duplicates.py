@@ -7,52 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.functions.coerce import col
-from limpid.session import count_rows, stage
 from limpid.sources.tables import ROW_ID, data_columns
 
 
-# Up to this many rows a table is grouped on its whole rows at once.
-DIRECT_ROWS = 5_000_000
-# Hashes that may be broadcast (8 bytes each); with more of them the whole rows are grouped.
-BROADCAST_HASHES = 1_000_000
+def row_key(df: DataFrame, columns: list[str]) -> Column:
+    """128-bit key of a row: equal rows have equal keys, and -0.0 counts as 0.0.
 
-
-def row_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct rows with their number of copies ``__n``.
-
-    Grouping treats null as equal to null and combines copies before the shuffle, so a row that
-    repeats a billion times travels once per task.
+    Counting and flagging shuffle this key instead of whole rows. Two unequal rows would have to
+    agree in two independent 64-bit hashes; among 10^12 rows the chance of any such pair is below 10^-14.
+    The gaps are hashed as well, because a hash alone passes over nulls.
     """
-    return df.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
-
-
-def _row_hash(df: DataFrame, columns: list[str]) -> Column:
-    """64-bit hash of a row, equal for rows that group together (-0.0 groups with 0.0)."""
     def plain(c: str) -> Column:
         return col(c) + 0.0 if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else col(c)
 
-    return F.xxhash64(*[plain(c) for c in columns])
-
-
-def split_repeats(df: DataFrame, columns: list[str], rows: int | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """(rows that certainly have no copy, rows that may have one).
-
-    Of a large table only 8-byte hashes are shuffled; a row whose hash is unique has no copy. Rows
-    with a repeated hash, copies or not, are left for the exact comparison, so a hash collision
-    costs time but never a wrong result. A small table, or one with so many repeated hashes that
-    they cannot be broadcast, is left whole.
-    """
-    rows = count_rows(df) if rows is None else rows
-    if rows <= DIRECT_ROWS:
-        return None, df
-    hashed = df.withColumn("__hash", _row_hash(df, columns))
-    repeated = stage(
-        hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("__hash"),
-        "repeated-hashes")
-    if count_rows(repeated) > BROADCAST_HASHES:
-        return None, df
-    keys = F.broadcast(repeated)
-    return hashed.join(keys, "__hash", "left_anti").drop("__hash"), hashed.join(keys, "__hash", "left_semi").drop("__hash")
+    cells = [x for c in columns for x in (plain(c), col(c).isNull())]
+    return F.struct(F.xxhash64(*cells).alias("h"), F.xxhash64(F.lit("second"), *cells).alias("k"))
 
 
 def count_duplicates(df: DataFrame, row_id: str | None = ROW_ID, rows: int | None = None) -> int:
@@ -60,8 +29,8 @@ def count_duplicates(df: DataFrame, row_id: str | None = ROW_ID, rows: int | Non
     columns = data_columns(df, row_id)
     if not columns:
         return 0
-    _, maybe = split_repeats(df.select(*[col(c) for c in columns]), columns, rows)
-    return row_groups(maybe, columns).agg(F.sum(F.col("__n") - 1)).first()[0] or 0
+    copies = df.select(row_key(df, columns).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    return copies.agg(F.sum(F.col("__n") - 1)).first()[0] or 0
 
 
 def drop_duplicates(
@@ -70,7 +39,7 @@ def drop_duplicates(
     """Keep one row per group of equal rows.
 
     Over all columns the copies are interchangeable, so one grouping with map-side combine does
-    it, and of a large table only rows that may have a copy are grouped. Over a subset the kept row is chosen by ``row_id``; every task first reduces its rows to
+    it. Over a subset the kept row is chosen by ``row_id``; every task first reduces its rows to
     one per key (group limit), so a hot key sends one row per task.
     """
     if keep not in ("first", "last"):
@@ -78,14 +47,11 @@ def drop_duplicates(
     has_id = row_id is not None and row_id in df.columns
     if not subset:
         columns = data_columns(df, row_id)
-        alone, maybe = split_repeats(df, columns)
-        if has_id:
-            pick = F.min if keep == "first" else F.max
-            kept = maybe.groupBy(*[col(c) for c in columns]).agg(pick(col(row_id)).alias(row_id))
-        else:
-            kept = maybe.dropDuplicates()
-        kept = kept.select(*[col(c) for c in df.columns])
-        return kept if alone is None else alone.unionByName(kept)
+        if not has_id:
+            return df.dropDuplicates()
+        pick = F.min if keep == "first" else F.max
+        kept = df.groupBy(*[col(c) for c in columns]).agg(pick(col(row_id)).alias(row_id))
+        return kept.select(*[col(c) for c in df.columns])
     missing = [c for c in subset if c not in df.columns]
     if missing:
         raise ValueError(f"duplicate subset names unknown columns {missing}")
@@ -99,18 +65,14 @@ def drop_duplicates(
     return ranked.filter(F.col("__rank") <= 1).drop("__rank")
 
 
-def mark_duplicates(df: DataFrame, flag: str, row_id: str = ROW_ID) -> DataFrame:
-    """Add ``flag``: true for every full-row copy but the first.
+def mark_copies(keyed: DataFrame, flag: str, row_id: str = ROW_ID) -> DataFrame:
+    """Replace ``__key`` (see ``row_key``) by ``flag``: true for every row of a key but the first.
 
-    The first row id per distinct row comes from a combined aggregate; marking is a join on the
-    row id, which is unique and therefore even, instead of a window over groups of any size.
+    The first row id per key comes from a combined aggregate; marking is a join on the row id, which
+    is unique and therefore even, instead of a window over groups of any size. Only what the caller
+    selected beside the key travels.
     """
-    columns = data_columns(df, row_id)
-    alone, maybe = split_repeats(df, columns)
-    firsts = (
-        maybe.groupBy(*[col(c) for c in columns]).agg(F.min(col(row_id)).alias("__first"))
-        .select("__first", F.lit(False).alias("__copy"))
-    )
-    marked = maybe.join(firsts, col(row_id) == F.col("__first"), "left").select(
-        *[col(c) for c in df.columns], F.coalesce(F.col("__copy"), F.lit(True)).alias(flag))
-    return marked if alone is None else alone.withColumn(flag, F.lit(False)).unionByName(marked)
+    firsts = (keyed.groupBy("__key").agg(F.min(col(row_id)).alias("__first"))
+              .select("__first", F.lit(False).alias("__copy")))
+    return keyed.join(firsts, col(row_id) == F.col("__first"), "left").select(
+        *[col(c) for c in keyed.columns if c != "__key"], F.coalesce(F.col("__copy"), F.lit(True)).alias(flag))

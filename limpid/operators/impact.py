@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpid.functions.coerce import any_of, col, equals_any, nan_to_null, storage_of, to_number
-from limpid.operators.duplicates import mark_duplicates, row_groups, split_repeats
+from limpid.operators.duplicates import mark_copies, row_key
+from limpid.operators.steps import mark_sentinels_from
 from limpid.plans.model import Plan
 from limpid.sources.tables import ROW_ID, data_columns
 
 DUPLICATE = "duplicate"
+_LISTED = "__listed_"
 
 
 @dataclass
@@ -46,6 +48,8 @@ def row_flags(df: DataFrame, plan: Plan, count_uncastable: bool = False) -> dict
         flag = c.isNull()
         if rule.sentinel_values:
             flag = flag | equals_any(c, rule.sentinel_values, storage)
+        if _LISTED + name in df.columns:
+            flag = flag | col(_LISTED + name)
         if count_uncastable and rule.type in ("int", "float"):
             flag = flag | to_number(c, storage).isNull()
         flags[f"null_{name}"] = flag
@@ -56,39 +60,45 @@ def row_flags(df: DataFrame, plan: Plan, count_uncastable: bool = False) -> dict
     return flags
 
 
+def _with_listed(df: DataFrame, plan: Plan) -> DataFrame:
+    """Add a mark per column whose sentinel set is kept as a table."""
+    for name, rule in plan.columns.items():
+        if name in df.columns and rule.sentinel_table and rule.missing_values is not None:
+            df = mark_sentinels_from(df, name, rule.sentinel_table, _LISTED + name)
+    return df
+
+
+def _flagged(df: DataFrame, plan: Plan, row_id: str | None) -> tuple[DataFrame, list[str]]:
+    """(booleans per operation, key of the whole row and the row id, names of the booleans).
+
+    Raw cells end here: everything that is shuffled afterwards is this narrow table.
+    """
+    columns = data_columns(df, row_id)
+    marked = _with_listed(df, plan)
+    flags = row_flags(marked, plan)
+    kept = [col(row_id)] if row_id else []
+    return marked.select(*kept, *[f.alias(n) for n, f in flags.items()], row_key(marked, columns).alias("__key")), list(flags)
+
+
 def drop_flags(df: DataFrame, plan: Plan, row_id: str = ROW_ID) -> DataFrame:
     """One row per table row: its id and one boolean per operation. Written next to the raw table."""
-    marked = mark_duplicates(df, "__" + DUPLICATE, row_id)
-    return marked.select(
-        col(row_id), *[flag.alias(n) for n, flag in row_flags(df, plan).items()],
-        F.col("__" + DUPLICATE).alias(DUPLICATE))
+    return mark_copies(_flagged(df, plan, row_id)[0], DUPLICATE, row_id)
 
 
 def flag_patterns(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID) -> DataFrame:
     """Rows per combination of flags: a small table that answers any choice of strategies.
 
     Full-row copies have equal flags, so the duplicate flag follows from the size of each group of
-    copies: one of n is kept, n - 1 are flagged. No row ids are needed, and rows of a large table
-    that certainly have no copy go straight into the counts.
+    copies: one of n is kept, n - 1 are flagged. No row ids are needed, and only flags and row keys
+    are shuffled, combined before the shuffle.
     """
     row_id = row_id if row_id in df.columns else None
-    columns = data_columns(df, row_id)
-    alone, maybe = split_repeats(df.select(*[col(c) for c in columns]), columns)
-    groups = row_groups(maybe, columns)
-    names = list(row_flags(groups, plan))
-
-    def counted(part: DataFrame, copies: Column) -> DataFrame:
-        return (
-            part.select(
-                *[flag.alias(n) for n, flag in row_flags(part, plan).items()],
-                F.stack(F.lit(2), F.lit(False), F.lit(1).cast("long"), F.lit(True), copies - 1)
-                .alias(DUPLICATE, "rows"))
-            .filter(F.col("rows") > 0))
-
-    flagged = counted(groups, F.col("__n"))
-    if alone is not None:
-        flagged = flagged.unionByName(counted(alone, F.lit(1).cast("long")))
-    return flagged.groupBy(*[col(n) for n in names], DUPLICATE).agg(F.sum("rows").alias("rows"))
+    narrow, names = _flagged(df, plan, row_id)
+    flags = [col(n) for n in names]
+    groups = narrow.groupBy("__key", *flags).agg(F.count(F.lit(1)).alias("__n"))
+    counted = groups.select(*flags, F.stack(F.lit(2), F.lit(False), F.lit(1).cast("long"), F.lit(True), F.col("__n") - 1)
+                            .alias(DUPLICATE, "rows")).filter(F.col("rows") > 0)
+    return counted.groupBy(*flags, DUPLICATE).agg(F.sum("rows").alias("rows"))
 
 
 def patterns_of_flags(flags: DataFrame, row_id: str = ROW_ID) -> DataFrame:

@@ -50,12 +50,25 @@ def replace_sentinels(df: DataFrame, values: dict[str, list], coerce: bool = Fal
         for name, listed in values.items() if name in df.columns and listed})
 
 
-def replace_sentinels_from(df: DataFrame, name: str, path: str) -> DataFrame:
-    """As above for a sentinel set too long for a literal list, kept as a table of doubles."""
-    values = df.sparkSession.read.parquet(path).select(F.col("value").alias("__sentinel"))
-    joined = df.join(values, to_number(col(name), storage(df, name)) == F.col("__sentinel"), "left")
-    return joined.select(*[
-        (F.when(F.col("__sentinel").isNull(), col(c)).alias(c) if c == name else col(c)) for c in df.columns])
+def mark_sentinels_from(df: DataFrame, name: str, path: str, flag: str, coerce: bool = False) -> DataFrame:
+    """Add ``flag``: the cell equals a value of a sentinel set that is kept as a table of doubles.
+
+    The rule for text cells is that of a listed set: they match numbers only if ``coerce`` is set.
+    Empty cells are spread over the join by salt, so they do not meet in one task.
+    """
+    if storage(df, name) == "object" and not coerce:
+        return df.withColumn(flag, F.lit(False))
+    values = df.sparkSession.read.parquet(path).select(F.col("value").alias("__sentinel"), F.lit(0).alias("__zero"))
+    number = to_number(col(name), storage(df, name))
+    salt = F.when(number.isNull(), F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1_000)).cast("int")).otherwise(0)
+    joined = df.join(values, (number == F.col("__sentinel")) & (salt == F.col("__zero")), "left")
+    return joined.select(*[col(c) for c in df.columns], F.col("__sentinel").isNotNull().alias(flag))
+
+
+def replace_sentinels_from(df: DataFrame, name: str, path: str, coerce: bool = False) -> DataFrame:
+    """As ``replace_sentinels`` for a sentinel set too long for a literal list."""
+    marked = mark_sentinels_from(df, name, path, "__listed", coerce)
+    return replace_columns(marked, {name: F.when(~F.col("__listed"), col(name))}).drop("__listed")
 
 
 def cast_counts(c: Column, kind: str) -> dict[str, Column]:

@@ -202,31 +202,46 @@ def test_flags_and_patterns_agree(messy):
     assert drop_impact(patterns_of_flags(flags), chosen).collect() == drop_impact(flag_patterns(messy, PLAN), chosen).collect()
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
-def test_large_table_paths_give_the_same(messy, monkeypatch, broadcast):
-    """Hash split, and the way beyond the broadcast bound."""
+def test_duplicates_are_found_by_key_alone(messy):
+    """Counts and flags shuffle keys and booleans, never the cells."""
     from limpid.operators import duplicates as D
 
-    def results():
-        chosen = strategies_of(PLAN)
-        return (D.count_duplicates(messy), column(drop_duplicates(messy), "__row_id"),
-                column(drop_duplicates(messy, keep="last"), "__row_id"),
-                sorted(map(tuple, drop_flags(messy, PLAN).collect())), drop_impact(flag_patterns(messy, PLAN), chosen).collect(),
-                sorted(map(tuple, flag_patterns(messy, PLAN).collect())))
+    assert D.count_duplicates(messy) == 2
+    assert column(drop_duplicates(messy), "__row_id") == [0, 1, 2, 3, 4, 7]
+    assert column(drop_duplicates(messy, keep="last"), "__row_id") == [1, 2, 3, 5, 6, 7]
+    for frame_ in (drop_flags(messy, PLAN), flag_patterns(messy, PLAN)):
+        text = frame_._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and not any("(a#" in line or "(s#" in line for line in exchanges)
 
-    small = results()
-    monkeypatch.setattr(D, "DIRECT_ROWS", 0)
-    monkeypatch.setattr(D, "BROADCAST_HASHES", broadcast)
-    assert results() == small
 
-
-def test_signed_zero_is_one_value(spark, monkeypatch):
+def test_keys_tell_nulls_and_zeros(spark):
     from limpid.operators import duplicates as D
 
     df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (None,), (None,)], "x double")
     assert D.count_duplicates(df) == 3
-    monkeypatch.setattr(D, "DIRECT_ROWS", 0)
-    assert D.count_duplicates(df) == 3
+    moved = spark.createDataFrame([(None, "x"), ("x", None), (None, None), ("x", "x")], "a string, b string")
+    assert D.count_duplicates(moved) == 0
+
+
+def test_long_sentinel_sets_work_like_lists(spark, frame, tmp_path):
+    df = frame(a=[None, -9.0, 1.0, -9.0, 7.0, None], s=["-9", "1", "-9", "7", None, "x"])
+    path = str(tmp_path / "codes")
+    spark.createDataFrame([(-9.0,), (7.0,)], "value double").write.parquet(path)
+
+    def plan(listed):
+        source = {"sentinel_values": [-9.0, 7.0]} if listed else {"sentinel_table": path}
+        return Plan({"a": ColumnRule("float", missing_values=MissingRule("drop_row"), **source),
+                     "s": ColumnRule("string", missing_values=MissingRule("drop_row"), **source)})
+
+    both = [plan(True), plan(False)]
+    impacts = [drop_impact(flag_patterns(df, p), strategies_of(p)).collect() for p in both]
+    assert impacts[0] == impacts[1] and impacts[0][0].null_drops == 6
+    flags = [sorted(map(tuple, drop_flags(df, p).collect())) for p in both]
+    assert flags[0] == flags[1]
+    for coerce in (False, True):
+        cells = [sorted(map(tuple, apply_plan(df, p, coerce_sentinels=coerce).df.collect())) for p in both]
+        assert cells[0] == cells[1]
 
 
 def test_impact_of_an_empty_table(spark):
