@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from limpid.catalog.profiling import (
     _CASTABLE, _DETECTED, _DOMINANT, _MATCHED, _OVERALL, COLUMNS, NATIVE, TEXTS, _numeric_sql, _repeats_sql,
-    profile_of, score_sql, text_facts,
+    mar_sql, profile_of, score_sql, text_facts,
 )
 from limpid.catalog.views import sql_date, sql_number, sql_round, sql_sentinel, sql_union, table, view, with_views
 from limpid.functions.coerce import col
@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
 
 
 def plan_of(spark: SparkSession, folder: str, name: str) -> Plan:
-    return build_plan(profile_of(spark, folder, name))
+    return build_plan(profile_of(spark, folder, name, missingness=True))
 
 
 # --- the plan ---------------------------------------------------------------------------------
@@ -72,10 +72,11 @@ def _plan_sql(v: str) -> str:
     dates = [] if v == "d_customer" else [
         "SELECT 'o_orderdate', 'date', false, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), "
         "CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM (SELECT 1)"]
-    return f"""WITH facts AS ({text_facts(v)}), nums AS ({_number_facts(v)})
+    kept = f"""CASE WHEN {{0}} IN (SELECT "column" FROM mar) THEN 'leave_null'"""
+    return f"""WITH facts AS ({text_facts(v)}), nums AS ({_number_facts(v)}), mar AS ({mar_sql(v)})
 SELECT "column", CASE WHEN storage = 'float' OR min <> floor(min) OR max <> floor(max) THEN 'float' ELSE 'int' END AS type,
   {needs} AS nullable,
-  CASE WHEN {needs} THEN CASE WHEN {pct} >= 50 THEN 'drop_column' WHEN outlier_count > 0
+  CASE WHEN {needs} THEN {kept.format('"column"')} WHEN {pct} >= 50 THEN 'drop_column' WHEN outlier_count > 0
     OR abs(mean - median) / CASE WHEN std = 0 THEN 1 ELSE std END > 0.15 THEN 'median' ELSE 'mean' END END AS strategy,
   CAST(CASE WHEN {needs} THEN nulls + invalid + sentinel_count END AS BIGINT) AS null_count,
   CASE WHEN max > min AND greatest(abs(min), abs(max)) > 100 THEN
@@ -85,7 +86,7 @@ SELECT "column", CASE WHEN storage = 'float' OR min <> floor(min) OR max <> floo
   CASE WHEN outlier_count > 0 THEN outlier_count END AS outlier_count FROM nums
 UNION ALL
 SELECT col, CASE WHEN {_DETECTED} IN ('bool', 'date') THEN {_DETECTED} WHEN {_DOMINANT} = 'date_iso' THEN 'date' ELSE 'string' END,
-  {text_needs}, CASE WHEN {text_needs} THEN CASE WHEN {sql_round(f'{text_nulls} / total * 100', 1)} >= 50 THEN 'drop_column'
+  {text_needs}, CASE WHEN {text_needs} THEN {kept.format('col')} WHEN {sql_round(f'{text_nulls} / total * 100', 1)} >= 50 THEN 'drop_column'
     WHEN {_DETECTED} = 'bool' THEN 'mode' WHEN {_DETECTED} = 'date' OR {_DOMINANT} IS NOT NULL THEN 'drop_row'
     WHEN {sql_round('uniq / filled * 100', 1)} < 10 THEN 'mode' ELSE 'drop_row' END END,
   CAST(CASE WHEN {text_needs} THEN {text_nulls} + {text_invalid} + {text_words} END AS BIGINT), NULL, NULL, NULL
@@ -113,10 +114,11 @@ _MIXED_SAMPLE = ("(SELECT string_agg('''' || v || '''', ', ' ORDER BY row_no) FR
 
 
 @query("plan_warnings", with_views("d_customer", f"""WITH facts AS ({text_facts('d_customer')}),
+mar AS ({mar_sql('d_customer')}),
 t AS (SELECT *, filled - {_MATCHED} AS misfits, {_DETECTED} AS kind, {_CASTABLE} AS castable FROM facts)
 SELECT col AS "column", 'drop_row will remove up to ' || (total - filled + misfits) || ' rows (' ||
   format('{{:.1f}}', (total - filled + misfits) / total * 100) || '% of dataset) where ''' || col || ''' is null or invalid.' AS warning
-FROM t WHERE kind = 'string' AND (total > filled OR misfits > 0 OR sentinels > 0)
+FROM t WHERE kind = 'string' AND (total > filled OR misfits > 0 OR sentinels > 0) AND col NOT IN (SELECT "column" FROM mar)
   AND ({_DOMINANT} IS NOT NULL OR {sql_round('uniq / filled * 100', 1)} >= 10)
 UNION ALL SELECT col, '''' || col || ''' contains ' || sentinels || ' sentinel-like value(s) — will be replaced with null before imputation.'
 FROM t WHERE kind IN ('string', 'bool') AND sentinels > 0
@@ -329,15 +331,18 @@ def transform_rollback(spark, folder):
 
 # --- the whole plan ---------------------------------------------------------------------------
 
-_APPLIED = f"""cleaned0 AS (SELECT o_orderkey, o_custkey, trim(o_orderstatus) AS o_orderstatus, {_PRICE} AS o_totalprice,
+# gaps that depend on another column stay; others get the median
+_FILLED_PRICE = ("coalesce(o_totalprice, CASE WHEN NOT EXISTS (SELECT 1 FROM mar WHERE \"column\" = 'o_totalprice') "
+                 "THEN (SELECT quantile_cont(o_totalprice, 0.5) FROM cleaned0) END)")
+_APPLIED = f"""mar AS ({mar_sql('d_orders')}), cleaned0 AS (SELECT o_orderkey, o_custkey, trim(o_orderstatus) AS o_orderstatus, {_PRICE} AS o_totalprice,
     strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, strftime({sql_date('order_day')}, '%Y-%m-%d') AS order_day,
     CASE WHEN trim(o_orderpriority) NOT IN ('N/A', 'unknown') THEN trim(o_orderpriority) END AS o_orderpriority FROM d_orders),
 fences AS (SELECT lower, upper FROM ({_numeric_sql('d_orders', 'o_totalprice')})),
 cleaned1 AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus,
-    coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM cleaned0)) AS o_totalprice, o_orderdate, order_day,
+    {_FILLED_PRICE} AS o_totalprice, o_orderdate, order_day,
     coalesce(o_orderpriority, (SELECT o_orderpriority FROM cleaned0 WHERE o_orderpriority IS NOT NULL
       GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority FROM cleaned0, fences WHERE order_day IS NOT NULL
-    AND coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM cleaned0)) BETWEEN lower AND upper),
+    AND ({_FILLED_PRICE} IS NULL OR {_FILLED_PRICE} BETWEEN lower AND upper)),
 cleaned AS (SELECT (o_orderkey - (SELECT min(o_orderkey) FROM cleaned1)) / (SELECT max(o_orderkey) - min(o_orderkey) FROM cleaned1) AS o_orderkey,
     (o_custkey - (SELECT min(o_custkey) FROM cleaned1)) / (SELECT max(o_custkey) - min(o_custkey) FROM cleaned1) AS o_custkey,
     o_orderstatus, (o_totalprice - (SELECT avg(o_totalprice) FROM cleaned1)) / (SELECT stddev_pop(o_totalprice) FROM cleaned1) AS price_scaled,
@@ -385,7 +390,7 @@ def _before_after_ctes() -> str:
 
 def _reports(spark, folder):
     df = view(spark, folder, "d_orders")
-    before = profile_table(df, row_id="row_no")
+    before = profile_table(df, row_id="row_no", missingness=True)
     plan = apply_renames(build_plan(before), {"o_totalprice": "price_scaled"})
     after = profile_table(apply_plan(df, plan, "row_no").df, row_id="row_no")
     approved = plan.to_dict()["outliers"]
@@ -478,7 +483,7 @@ def _edited(plan: Plan) -> Plan:
 _CHANGES = f"""WITH p AS ({_plan_sql('d_orders')})
 SELECT 'columns' AS section, "column" AS name, 'type' AS field, type AS "from", 'string' AS "to" FROM p WHERE "column" = 'o_orderkey'
 UNION ALL SELECT 'columns', "column", 'normalize', normalize, 'none' FROM p WHERE "column" = 'o_orderkey'
-UNION ALL SELECT 'columns', "column", 'fill', strategy, 'mean' FROM p WHERE "column" = 'o_totalprice'
+UNION ALL SELECT 'columns', "column", 'fill', strategy, 'mean' FROM p WHERE "column" = 'o_totalprice' AND strategy <> 'leave_null'
 UNION ALL SELECT 'columns', "column", 'fill', strategy, 'fill: NONE' FROM p WHERE "column" = 'o_orderpriority'
 UNION ALL SELECT 'columns', "column", 'rename_to', '—', 'day' FROM p WHERE "column" = 'order_day'
 UNION ALL SELECT 'duplicates', '', 'keep', 'first', 'last' FROM p WHERE "column" = 'order_day'
@@ -500,7 +505,7 @@ def plan_change_count(spark, folder):
 
 @query("impact_labels", with_views("d_customer", f"""WITH p AS ({_plan_sql('d_customer')})
 SELECT "column", CASE WHEN null_count > 0 THEN CASE strategy WHEN 'drop_row' THEN null_count || ' nulls → drop row'
-  WHEN 'drop_column' THEN '→ column removed' ELSE null_count || ' nulls → fill with ' || strategy END END AS fill_impact,
+  WHEN 'drop_column' THEN '→ column removed' WHEN 'leave_null' THEN null_count || ' nulls kept' ELSE null_count || ' nulls → fill with ' || strategy END END AS fill_impact,
   CASE WHEN outlier_count > 0 THEN outlier_count || ' outliers' END AS outlier_impact FROM p"""))
 def impact_labels_query(spark, folder):
     return impact_labels(plan_frame(spark, plan_of(spark, folder, "d_customer")))
