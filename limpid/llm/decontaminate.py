@@ -66,7 +66,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = SHINGLE
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are not read. Null and
     empty texts contain nothing and are contained in nothing; a text shorter than a shingle is one
     shingle. Rows that share a doc_id are searched one by one, and the best of them counts; so does
-    the best of several items with one item_id.
+    the best of several items with one item_id. Null ids are ids like any other.
     """
     sketches = stage(item_sketches(items, shingle_words, threshold).distinct(), "item-sketches")
     sketch = sketches.select("item_id", F.explode("sketch").alias("hash")).distinct()
@@ -75,14 +75,14 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = SHINGLE
     probes = (docs.select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("w"))
               .select("doc_id", "digest", F.explode(F.transform(_starts(w, shingle_words), lambda i: _hash(w, i, shingle_words))).alias("hash")))
     candidates = stage(probes.join(sketch, "hash").select("doc_id", "digest", "item_id").distinct(), "candidates")
-    named = (candidates.groupBy("doc_id", "digest").agg(F.collect_set("item_id").alias("item_ids"))
+    named = (candidates.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("item_id")).alias("item_ids"))
              .withColumnsRenamed({"doc_id": "__id", "digest": "__digest"}))
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__digest"))
     read = docs.join(named, same).select("doc_id", words_of(F.col("text")).alias("w"), "item_ids")
     cut = F.array_distinct(F.transform(_starts(w, shingle_words), lambda i: _shingle(w, i, shingle_words)))
-    pairs = read.select("doc_id", cut.alias("doc_shingles"), "item_ids").withColumn("item_id", F.explode("item_ids"))
+    pairs = read.select("doc_id", cut.alias("doc_shingles"), F.explode("item_ids").alias("asked"))
     shared = F.size(F.array_intersect("doc_shingles", "item_shingles"))
-    found = (pairs.join(sketches.select("item_id", "item_shingles"), "item_id")
+    found = (pairs.join(sketches.select("item_id", "item_shingles"), F.col("asked.item_id").eqNullSafe(F.col("item_id")))
              .select("doc_id", "item_id", shared.alias("n_shared"), F.size("item_shingles").alias("n_item"))
              .where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9)))
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item"))
