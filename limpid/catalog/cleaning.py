@@ -14,7 +14,7 @@ from limpid.functions.coerce import col
 from limpid.operators import eda, steps
 from limpid.operators.apply import apply_plan, change_report
 from limpid.operators.duplicates import drop_duplicates
-from limpid.operators.impact import Strategies, drop_flags, drop_impact, flag_patterns, patterns_of_flags
+from limpid.operators.impact import Strategies, drop_flags, drop_impact, flag_patterns, patterns_of_flags, strategies_of
 from limpid.operators.profile import profile_table
 from limpid.operators.sampling import column_samples, sample_rows
 from limpid.operators.score import score_frame, score_report
@@ -236,6 +236,18 @@ def int_recast(spark, folder):
     return apply_plan(view(spark, folder, "d_customer").select("row_no", "acct_text"), plan, "row_no").df
 
 
+@query("drop_column", with_views("d_customer", "SELECT row_no, c_name FROM d_customer"))
+def drop_column(spark, folder):
+    plan = Plan({"c_mktsegment": ColumnRule(missing_values=MissingRule("drop_column"))})
+    return apply_plan(view(spark, folder, "d_customer").select("row_no", "c_name", "c_mktsegment"), plan, "row_no").df
+
+
+@query("leave_null", with_views("d_customer", "SELECT row_no, c_mktsegment FROM d_customer"))
+def leave_null(spark, folder):
+    plan = Plan({"c_mktsegment": ColumnRule(missing_values=MissingRule("leave_null"))})
+    return apply_plan(view(spark, folder, "d_customer").select("row_no", "c_mktsegment"), plan, "row_no").df
+
+
 _FENCES = ("(SELECT {lo} AS lower, {hi} AS upper FROM (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events))"
            .format(lo=sql_round("q1 - 1.5 * (q3 - q1)", 4), hi=sql_round("q3 + 1.5 * (q3 - q1)", 4)))
 
@@ -460,6 +472,17 @@ def drop_impact_query(spark, folder):
     return drop_impact(flag_patterns_query(spark, folder), _CHOSEN)
 
 
+@query("impact_request", with_views("d_orders", f"""WITH p AS ({_plan_sql('d_orders')})
+SELECT 'null' AS kind, "column", strategy FROM p WHERE strategy IS NOT NULL
+UNION ALL SELECT 'outlier', "column", outlier_strategy FROM p WHERE outlier_strategy IS NOT NULL
+UNION ALL SELECT 'duplicate', '', 'drop' FROM (SELECT 1)"""))
+def impact_request(spark, folder):
+    """The choices that a plan makes, as drop impact takes them."""
+    chosen = strategies_of(plan_of(spark, folder, "d_orders"))
+    rows = [("null", c, s) for c, s in chosen.nulls.items()] + [("outlier", c, s) for c, s in chosen.outliers.items()]
+    return spark.createDataFrame([*rows, ("duplicate", "", chosen.duplicates)], "kind string, column string, strategy string")
+
+
 @query("drop_impact_from_flags", _impact_sql("null_o_orderpriority", "", "duplicate"))
 def drop_impact_from_flags(spark, folder):
     patterns = patterns_of_flags(drop_flags_query(spark, folder), "row_no")
@@ -503,12 +526,13 @@ def plan_change_count(spark, folder):
     return total_changes(plan_compare(spark, folder))
 
 
-@query("impact_labels", with_views("d_customer", f"""WITH p AS ({_plan_sql('d_customer')})
+@query("impact_labels", with_views("d_orders", f"""WITH p AS ({_plan_sql('d_orders')})
 SELECT "column", CASE WHEN null_count > 0 THEN CASE strategy WHEN 'drop_row' THEN null_count || ' nulls → drop row'
   WHEN 'drop_column' THEN '→ column removed' WHEN 'leave_null' THEN null_count || ' nulls kept' ELSE null_count || ' nulls → fill with ' || strategy END END AS fill_impact,
-  CASE WHEN outlier_count > 0 THEN outlier_count || ' outliers' END AS outlier_impact FROM p"""))
+  CASE outlier_strategy WHEN 'remove' THEN outlier_count || ' → remove rows' WHEN 'keep' THEN outlier_count || ' outliers kept' END
+    AS outlier_impact FROM p"""))
 def impact_labels_query(spark, folder):
-    return impact_labels(plan_frame(spark, plan_of(spark, folder, "d_customer")))
+    return impact_labels(plan_frame(spark, plan_of(spark, folder, "d_orders")))
 
 
 @query("sample_rows", with_views("d_customer", """WITH t AS (SELECT row_no, c_mktsegment IS NULL OR c_acctbal IS NULL AS gap FROM d_customer),

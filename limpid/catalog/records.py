@@ -99,6 +99,13 @@ def recency_groups(spark, folder):
     return ledger.recency_groups(view(spark, folder, "runs"), F.lit(NOW).cast("timestamp_ntz"))
 
 
+@query("recency_members", with_views("runs", f"""WITH t AS (SELECT CAST(TIMESTAMP '{NOW}' AS DATE) AS today)
+SELECT run_id, CASE WHEN CAST(created_at AS DATE) >= today THEN 'Today' WHEN CAST(created_at AS DATE) >= today - 1 THEN 'Yesterday'
+  WHEN CAST(created_at AS DATE) >= today - 7 THEN 'Last 7 days' ELSE 'Older' END AS bucket FROM runs, t"""))
+def recency_members(spark, folder):
+    return ledger.recency_members(view(spark, folder, "runs"), F.lit(NOW).cast("timestamp_ntz")).select("run_id", "bucket")
+
+
 # --- CSV --------------------------------------------------------------------------------------
 
 _CSV_COLUMNS = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "bigint", "acct_text": "double",

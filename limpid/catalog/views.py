@@ -47,7 +47,7 @@ SELECT o_orderkey AS run_id, o_custkey AS file_id, o_orderdate AS created_at,
 FROM orders""",
     "files": """
 SELECT c_custkey AS file_id, c_nationkey AS user_id, c_name AS original_filename,
-  CAST(floor(c_acctbal) AS BIGINT) AS file_size, CAST(c_custkey AS STRING) AS uploaded_at
+  CAST(floor(c_acctbal) AS BIGINT) AS file_size, DATE '1990-01-01' + CAST(c_custkey AS INT) AS uploaded_at
 FROM customer""",
 }
 

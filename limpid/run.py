@@ -14,7 +14,7 @@ from limpid.operators.profile import TableProfile, profile_table
 from limpid.operators.score import score_report
 from limpid.plans.model import Plan
 from limpid.plans.rules import build_plan
-from limpid.session import fresh_path, stage
+from limpid.session import stage
 from limpid.sources.csv import preview_csv, read_csv
 from limpid.sources.ledger import Ledger
 from limpid.sources.tables import ROW_ID, write_cleaned
@@ -67,12 +67,13 @@ def analyse_file(spark: SparkSession, ledger: Ledger, path: str, user_id: str =
         found = analyse(table.df, table.malformed_rows)
         flags_path = None
         if flags:
-            flags_path = fresh_path(spark, f"flags-{run_id}")
-            drop_flags(table.df, found.plan).write.parquet(flags_path)
+            # a lasting result, so it lies beside the ledger that names it and not in the scratch folder
+            flags_path = f"{ledger.folder}/flags/{run_id}"
+            drop_flags(table.df, found.plan).write.mode("overwrite").parquet(flags_path)
         ledger.advance(run_id, "AWAITING_REVIEW", scores_before=json.dumps(found.scores),
                        plan_generated=found.plan.to_json(), flags_path=flags_path)
     except Exception as e:
-        ledger.advance(run_id, "FAILED", error_message=str(e)[:2000])
+        ledger.advance(run_id, "FAILED", error_message=str(e))
         raise
     return run_id
 
@@ -88,7 +89,7 @@ def clean_file(spark: SparkSession, ledger: Ledger, run_id: str, zone: str, appr
         done = clean(table.df, ledger.approved_plan(run_id), zone, run["file_id"], run_id)
         ledger.advance(run_id, "COMPLETED", scores_after=json.dumps(done.scores), curated_path=done.path)
     except Exception as e:
-        ledger.advance(run_id, "FAILED", error_message=str(e)[:2000])
+        ledger.advance(run_id, "FAILED", error_message=str(e))
         raise
     return done
 

@@ -7,6 +7,7 @@ run is its latest event, so writers only append and never rewrite history.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,7 +87,9 @@ def owned_runs(runs: DataFrame, files: DataFrame, user_id, run_id=None) -> DataF
 
 def run_state(events: DataFrame) -> DataFrame:
     """Current state per run: latest event, completion time set by the first final status."""
-    newest = Window.partitionBy("run_id").orderBy(F.desc("at"))
+    # events of one instant follow the order in which a run goes through its statuses
+    stages = F.array(*[F.lit(s) for s in (*(k for k in NEXT_STATUS if k), *FINAL)])
+    newest = Window.partitionBy("run_id").orderBy(F.desc("at"), F.desc(F.array_position(stages, F.col("status"))))
     last = events.withColumn("__rank", F.row_number().over(newest)).filter(F.col("__rank") <= 1).drop("__rank")
     done = completion_time(F.col("status"), F.col("at"), F.col("completed_at"))
     return last.withColumn("completed_at", done)
@@ -115,21 +118,30 @@ def recency_bucket(created: Column, now: Column) -> Column:
 def recency_groups(runs: DataFrame, now: Column) -> DataFrame:
     """Runs per recency group; empty groups do not appear.
 
-    The members stay rows (see :func:`recency_bucket`); a group of any size is only counted here.
+    A group of any size is only counted here; its members are rows of :func:`recency_members`.
     """
     return (runs.groupBy(recency_bucket(F.col("created_at"), now).alias("bucket"))
             .agg(F.count(F.lit(1)).alias("runs"), F.max("created_at").alias("newest")))
 
 
+def recency_members(runs: DataFrame, now: Column) -> DataFrame:
+    """Runs with their recency group as ``bucket``."""
+    return runs.withColumn("bucket", recency_bucket(F.col("created_at"), now))
+
+
 class Ledger:
     """Ledger tables in a folder: ``files`` and ``runs``, as parquet.
 
     Every append goes to a folder of its own, so writers at the same time do not disturb each other.
+    The events of a run share a folder, so following one run reads its few events and not the table.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _run_folder(self, run_id: str) -> str:
+        return f"runs/{hashlib.sha256(run_id.encode()).hexdigest()[:32]}"
+
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return (self.spark.read.schema(schema).option("recursiveFileLookup", True)
@@ -141,7 +153,7 @@ class Ledger:
 
     def files(self) -> DataFrame:
         """One row per file; a file registered again after a crash keeps its newest entry."""
-        newest = Window.partitionBy("file_id").orderBy(F.desc("uploaded_at"))
+        newest = Window.partitionBy("file_id").orderBy(F.desc("uploaded_at"), "raw_path")
         ranked = self._read("files", FILE_SCHEMA).withColumn("__rank", F.row_number().over(newest))
         return ranked.filter(F.col("__rank") <= 1).drop("__rank")
 
@@ -164,7 +176,8 @@ class Ledger:
         return run_id
 
     def run(self, run_id: str) -> dict:
-        row = run_state(self.events().filter(F.col("run_id") == run_id)).first()
+        events = self._read(self._run_folder(run_id), RUN_SCHEMA)
+        row = run_state(events.filter(F.col("run_id") == run_id)).first()
         if row is None:
             raise LookupError(f"no run {run_id}")
         return row.asDict()
@@ -202,7 +215,7 @@ class Ledger:
     def _append(self, values: dict) -> None:
         names = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
         row = tuple(values.get(n) for n in names)
-        self._write("runs", RUN_SCHEMA, row)
+        self._write(self._run_folder(values["run_id"]), RUN_SCHEMA, row)
 
     def _write(self, name: str, schema: str, row: tuple) -> None:
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
