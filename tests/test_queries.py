@@ -1,23 +1,16 @@
-"""Named queries against their SQL texts, at the smallest scale.
-
-A selection that touches every module; LIMPID_ALL_QUERIES=1 runs all of them.
-"""
+"""All named queries of the catalog against their SQL texts, at the smallest scale."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from limpid.catalog import cleaning, profiling, records
 from tests.compare import compare, connect
 
 FOLDER = os.environ.get("LIMPID_TEST_TABLES", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SELECTION = """
-dq_score type_detection numeric_profile histogram10 numeric_sentinels top_values format_inconsistency issue_counts mar_chi2
-category_shares plan_rules plan_warnings fill_median date_to_iso winsorise dedup_subset_last scale_z_score transform_trials
-apply_plan issues_before_after drop_flags drop_impact plan_compare sample_rows files_page run_state csv_malformed stream_analyse
-""".split()
-NAMES = list(QUERIES) if os.environ.get("LIMPID_ALL_QUERIES") else SELECTION
+NAMES = [name for part in (profiling, cleaning, records) for name in part.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -39,4 +32,4 @@ def test_entry(spark):
 
 
 def test_every_sql_text_has_its_query():
-    assert set(SQL) <= set(QUERIES) and set(SELECTION) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) and set(NAMES) <= set(QUERIES)
