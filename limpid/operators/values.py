@@ -186,16 +186,13 @@ def top_values(counts: DataFrame, top: int) -> DataFrame:
 def first_cells(df: DataFrame, cells: dict[int, Column], per_slot: int, row_id: str | None) -> dict[int, list[str]]:
     """First ``per_slot`` non-null cells of each slot in row order (by value without a row id).
 
-    One top-k per slot, each reading only its own column; nothing is sorted as a whole.
+    One scan for all slots; every task keeps its first cells per slot before the shuffle (group limit).
     """
     order = col(row_id).cast("long") if row_id else F.lit(0).cast("long")
-    parts = [
-        df.select(F.lit(slot).alias("slot"), order.alias("first"), c.alias("value"))
-        .filter(F.col("value").isNotNull()).orderBy("first", "value").limit(per_slot)
-        for slot, c in cells.items()]
+    seen = unpivot_cells(df, {slot: c.cast("string") for slot, c in cells.items()}, [order.alias("first")])
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("first", "value"))
     out: dict[int, list[str]] = {slot: [] for slot in cells}
-    rows = reduce(DataFrame.unionByName, parts).collect()
-    for row in sorted(rows, key=lambda r: (r.slot, r.first, r.value)):
+    for row in seen.withColumn("place", place).filter(F.col("place") <= per_slot).orderBy("slot", "place").collect():
         out[row.slot].append(row.value)
     return out
 
