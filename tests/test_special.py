@@ -28,3 +28,16 @@ def test_correlation_limits():
     assert S.correlation_p(1.0, 10) == 0.0
     assert math.isnan(S.correlation_p(float("nan"), 10))
     assert S.correlation_p(0.0, 10) == pytest.approx(1.0)
+
+
+def test_correlations_of_very_many_pairs():
+    from limpid.functions.special import beta_inc, correlation_p
+
+    for n in (1_000_001, 2_000_000):
+        for t in (0.5, 1.96, 4.0):
+            r = t / math.sqrt(n - 2 + t * t)
+            exact = beta_inc((n - 2) / 2.0, 0.5, (n - 2) / (n - 2 + t * t))
+            assert abs(correlation_p(r, n) - exact) < 1e-6
+    # the limit is the normal distribution
+    r = 1.96 / math.sqrt(1e13)
+    assert abs(correlation_p(r, 10 ** 13) - math.erfc(1.96 / math.sqrt(2))) < 1e-9
