@@ -7,7 +7,7 @@ that occur in more than one document can hold a repeated window, and only their
 each as one packed string, to their bucket. There the windows are cut out and sorted, and equal ones
 lie side by side. Hashes only choose buckets; windows are compared as text.
 
-A minimiser with very many occurrences is dealt over several buckets by document. Each bucket then
+A minimiser with very many occurrences is dealt over several buckets. Each bucket then
 reduces its windows to one row per distinct window with the smallest document; these rows meet once
 more under the window itself, so a passage that a third of all documents share arrives there as one
 row per bucket, not per document. What is found goes back as runs of consecutive windows.
@@ -50,17 +50,24 @@ def super_kmers(words: list[bytes], window: int = WINDOW, minimiser: int = MINIM
         runs = (runs ^ hashed[k:k + len(runs)]) * np.uint64(0x9E3779B97F4A7C15)
         runs ^= runs >> np.uint64(29)
     span = window - size + 1
-    at = np.arange(len(runs))
-    # leftmost smallest run in every span, by doubling
-    best, width = at, 1
+    # rightmost smallest run in every span, by doubling
+    best, width = np.arange(len(runs)), 1
     while width < span:
         step = min(width, span - width)
         left, right = best[:len(best) - step], best[step:]
-        best = np.where(runs[right] < runs[left], right, left)
+        best = np.where(runs[right] <= runs[left], right, left)
         width += step
-    first = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-    count = np.diff(np.r_[first, n])
-    return runs[best[first]].view(np.int64), first, count
+    least = runs[best]
+    # where the smallest value changes next; an occurrence is kept as long as it lies in the window
+    # and is as small as any, so that repeated words do not begin a super-k-mer at every place
+    edges = np.append(np.flatnonzero(least[1:] != least[:-1]) + 1, n)
+    change = np.repeat(edges, np.diff(np.append(0, edges)))
+    firsts, at = [], 0
+    while at < n:
+        firsts.append(at)
+        at = min(int(best[at]) + 1, int(change[at]))
+    first = np.array(firsts)
+    return least[first].view(np.int64), first, np.diff(np.append(first, n))
 
 
 def _listed(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
@@ -238,7 +245,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
     shared = stage(listed.groupBy("minimiser").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                    .where("least < most")
                    .select("minimiser", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "minimisers")
-    wanted = listed.join(shared, "minimiser").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    wanted = listed.join(shared, "minimiser").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), F.col("parts")).cast("int"))
     found = stage(_counted(_packed(docs, wanted, window), window), "window-counts")
     met = found.where("window is not null")
     least = met.groupBy("window").agg(F.min("least").alias("overall"))

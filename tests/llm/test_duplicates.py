@@ -153,3 +153,20 @@ def test_random_words(spark, monkeypatch, window, minimiser, bucket_rows):
 
 def test_words_split_at_ascii_white_space_only():
     assert substrings.words_of("a b\x0bc\x1cd e f") == ["a b".encode(), b"c\x1cd\xe2\x80\x83e", b"f"]
+
+
+@pytest.mark.parametrize("text,window,minimiser", [
+    ("a " * 300, 50, 8), ("a b " * 90, 20, 3), ("x y z w " * 9 + "q " * 40, 10, 4), ("one two three four five six seven", 3, 2), ("k", 1, 1)])
+def test_super_kmers_cover_every_window_once(text, window, minimiser):
+    words = substrings.words_of(text)
+    keys, first, count = substrings.super_kmers(words, window, minimiser)
+    n = max(0, len(words) - window + 1)
+    assert first.tolist() == [sum(count[:k]) for k in range(len(first))] and sum(count) == n
+    size = min(minimiser, window)
+    same = {}
+    for k, f, c in zip(keys.tolist(), first.tolist(), count.tolist()):
+        assert c <= window - size + 1
+        for at in range(f, f + c):      # equal windows have one key
+            assert same.setdefault(tuple(words[at:at + window]), k) == k
+    if len(set(words)) == 1 and n > window:
+        assert len(first) <= n // (window - size + 1) + 1
