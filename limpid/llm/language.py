@@ -221,10 +221,13 @@ def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """
     usable = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     key = F.xxhash64("doc_id")
-    # the ids are chosen without the texts; only chosen rows are sorted again with theirs
+    # the ids are chosen without the texts, in 64 parts per language first, so that no task sees more
+    # than a fixed number of rows of a frequent one; only chosen rows are sorted again with their texts
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(64))).orderBy(key, "doc_id")
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    ids = (usable.select("doc_id", "lang").distinct().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample_rows)
-           .select("doc_id", "lang"))
+    ids = usable.select("doc_id", "lang").distinct()
+    for window in (part, first):
+        ids = ids.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= sample_rows).select("doc_id", "lang")
     again = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
     sample = (usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
               .withColumn("__n", F.row_number().over(again)).where(F.col("__n") <= sample_rows).select("lang", "text"))
