@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.catalog.profiling import (
-    _CASTABLE, _DETECTED, _DOMINANT, _MATCHED, _OVERALL, COLUMNS, NATIVE, TEXTS, _numeric_sql, _repeats_sql,
+    _CASTABLE, _DETECTED, _DOMINANT, _MATCHED, _OVERALL, COLUMNS, NATIVE, _numeric_sql, _repeats_sql,
     mar_sql, profile_of, score_sql, text_facts,
 )
 from limpid.catalog.views import sql_date, sql_number, sql_round, sql_sentinel, sql_union, table, view, with_views
