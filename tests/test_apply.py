@@ -139,7 +139,7 @@ def test_transforms(frame):
     out = run(df, {"pct": ColumnRule("float", transform_code="try_cast(rtrim('%', col) as double) / 100"),
                    "n": ColumnRule(transform_code="nullif(col, col)"), "same": ColumnRule(transform_hint="upper case")})
     assert column(out.df, "pct") == [0.1, 0.2, None]
-    assert column(out.df, "n") == ["0", "1", "2"] and "new nulls" in out.reverted_transforms["n"]
+    assert column(out.df, "n") == ["0", "1", "2"] and "loses 100.00%" in out.reverted_transforms["n"]
     assert out.skipped_hints == ["same"]
 
 
@@ -160,7 +160,7 @@ def test_trials(frame):
     df = frame(x=["1%", "2%", None], y=["a", "b", "c"])
     assert trial_transform(df, "x", "replace(col, '%', '')") == (True, "")
     assert "empty cell" in trial_transform(df, "x", "coalesce(col, 'None')")[1]
-    assert "new nulls" in trial_transform(df, "y", "try_cast(col as int)")[1]
+    assert "loses" in trial_transform(df, "y", "try_cast(col as int)")[1]
     assert check_transform(df.sparkSession, "'select ' || col")[0]
 
 
