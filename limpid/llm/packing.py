@@ -16,6 +16,7 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from types import ModuleType
 
 import numpy as np
@@ -66,6 +67,8 @@ class WordTokenizer:
 
     def _of_word(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
+        if word.isalpha():  # ASCII letters alone are one unit
+            return [t.id for t in self.model.tokenize(text.lower())]
         if not _PLAIN.fullmatch(text):
             return self.whole.encode(text, add_special_tokens=False).ids
         found, units = [], self.units
@@ -98,11 +101,10 @@ class WordTokenizer:
         words = (octets if b"\xcc" in octets or b"\xcd" in octets else octets.lower()).split()
         if not words:
             return np.empty(0, np.uint32)
-        places = list(map(self.place.get, words))
-        if None in places:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if at.min() < 0:
             self._remember(words)
-            places = list(map(self.place.get, words))
-        at = np.array(places)
+            at = np.fromiter(map(self.place.get, words), np.int64, len(words))
         first = self.starts[at]
         size = self.starts[at + 1] - first
         before = np.cumsum(size)
