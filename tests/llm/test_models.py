@@ -223,3 +223,19 @@ def test_gibbs_reaches_the_exact_distribution_of_two_customers():
     s = P.Seating(np.full(pairs, 2), d, np.full(pairs, w), rng)
     s.reseat(np.full(pairs, w), 10)
     assert abs((s.tables() == 1).mean() - (1 - d) / (1 - d + w)) < 0.01
+
+
+def test_frequent_words_are_those_of_the_corpus(spark):
+    """Every word is below one in 2048 of any batch, and the partitions favour different words."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join([w] * (3 if i < 20 else 1 + (i % 7 == 2)))) for i, w in enumerate(words)]
+    frame = spark.createDataFrame(rows * 2, "doc_id bigint, text string").selectExpr("doc_id", "text", "doc_id % 5 = 4 AS held")
+    counts = Counter(int(h) for i, t in rows * 2 if i % 5 != 4 for h in P.token_hashes(t))
+    signed = {h: (h - (1 << 64) if h >> 63 else h) for h in counts}
+    want = sorted(sorted(counts, key=lambda h: (-counts[h], signed[h]))[:40])
+    for parts in (1, 7):
+        for most in (50, 100_000):
+            counted = P.count_words(frame.repartition(parts), most)
+            assert P.frequent_words(counted, 40).tolist() == want
+            assert counted.agg(F.sum("whole"), F.sum("taught")).first() == (
+                sum(len(t.split()) + 1 for _, t in rows) * 2, sum(counts.values()))
