@@ -239,3 +239,23 @@ def test_frequent_words_are_those_of_the_corpus(spark):
             assert P.frequent_words(counted, 40).tolist() == want
             assert counted.agg(F.sum("whole"), F.sum("taught")).first() == (
                 sum(len(t.split()) + 1 for _, t in rows) * 2, sum(counts.values()))
+
+
+def test_buckets_follow_the_tokens_and_are_streamed(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_TOKENS", 100)
+    least = P.SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for words in (10, 9999):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i % 50}" for i in range(words)), False)], "doc_id bigint, text string, held boolean")
+        assert P.bucket_number(P.count_words(docs)) == max(least, -(-(words + 1) // 100))
+    monkeypatch.setattr(P, "CHUNK_DOCS", 2)
+    texts = [(i, f"a b c{i % 3} a b d{i}", False) for i in range(20)]
+    packed = P.packed_chunks(spark.createDataFrame(texts, "doc_id bigint, text string, held boolean").coalesce(1), np.empty(0, np.uint64), 2)
+    rows = packed.where("bucket >= 0").collect()
+    assert max(Counter((r.bucket, r.chunk) for r in rows).values()) == 1 and len({r.chunk for r in rows}) == 10
+    monkeypatch.setattr(P, "WAITING_PAIRS", 3)
+    buckets = [P.Bucket(r.asDict() for r in rows if r.bucket == b) for b in (0, 1)]
+    seen = Counter(int(h) for _, t, _ in texts for h in P.token_hashes(t))
+    assert {int(w): int(n) for b in buckets for w, n in zip(b.words, b.total)} == seen
+    for r in rows:
+        b = buckets[r.bucket]
+        assert (b.deep[b.pairs_of(r)] == P._unpack(r.contexts, np.uint16)).all()
