@@ -259,3 +259,63 @@ def test_buckets_follow_the_tokens_and_are_streamed(spark, monkeypatch):
     for r in rows:
         b = buckets[r.bucket]
         assert (b.deep[b.pairs_of(r)] == P._unpack(r.contexts, np.uint16)).all()
+
+
+def test_a_round_visits_every_customer():
+    rng = np.random.default_rng(5)
+    counts = np.array([3, 2, 70, 1, 20_000, 0, 501])
+    s = P.Seating(counts, 0.1, np.full(len(counts), 1e-9), rng)
+    assert (s.tables() <= 1).sum() >= 3 and s.tables().sum() < 6000
+    s.reseat(np.full(len(counts), 1e12), 1)
+    # all open a table of their own
+    assert s.tables().tolist() == counts.tolist()
+    again = P.Seating.resumed(counts, 0.1, s.left(), rng)
+    again.reseat(np.full(len(counts), 1e-9), 30)
+    for k in range(len(again.many)):
+        seats = again.seat[again.first[k]:again.first[k] + again.size_of[k]]
+        used, guests = np.unique(seats, return_counts=True)
+        assert again.held[k] == len(used) and (again.guests[used] == guests).all()
+    assert again.tables()[0] < 3 and again.tables()[4] < 20_000
+
+
+def test_batches_seat_like_single_moves(monkeypatch):
+    found = []
+    for turns in (P.TURNS, 10 ** 9):
+        monkeypatch.setattr(P, "TURNS", turns)
+        counts = np.full(300, 640)
+        s = P.Seating(counts, 0.6, np.full(300, 4.0), np.random.default_rng(6))
+        s.reseat(np.full(300, 4.0), 12)
+        found.append(s.tables().mean())
+    assert abs(found[0] / found[1] - 1) < 0.04
+
+
+def test_totals_are_those_of_the_seating(spark):
+    """Over all buckets, known words and one unknown word have probability one by the totals the scores use."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, range(1, 31), k=60)), i % 7 == 0) for i in range(120)],
+                                 "doc_id bigint, text string, held boolean")
+    packed = P.packed_chunks(docs, np.sort(P.token_hashes("w29 w28")), 4)
+    state, kept = P.seated(packed, 4, 2, 2)
+    rows = state.collect()
+    assert len(kept) == 2 and {len(r.tables) for r in rows} == {6}
+    for k, totals in enumerate(kept):
+        seen = {}
+        for r in rows:
+            b = P.Bucket.resumed(r.asDict())
+            levels = b.levels([P._unpack(t, np.int64) for t in r.tables[3 * k:3 * k + 3]])
+            assert all((c >= t).all() for c, t in levels)
+            seen[r.bucket] = (b, levels)
+            for index, (c, t), n in ((b.deep, levels[0], 0), (b.middle_class, levels[1], 1), (np.zeros(len(b.words), int), levels[2], 2)):
+                totals.customers[n] = totals.customers[n] - np.bincount(index, c, P._LEVELS[n])
+                totals.tables[n] = totals.tables[n] - np.bincount(index, t, P._LEVELS[n])
+        assert all((x == 0).all() for x in totals.customers + totals.tables)
+        sums = [np.sum([np.bincount(i, x, P._LEVELS[n]) for b, ls in seen.values() for i, x in [
+            ((b.deep, b.middle_class, np.zeros(len(b.words), int))[n], ls[n][j])]], axis=0) for j in (0, 1) for n in range(3)]
+        totals.customers, totals.tables = sums[:3], sums[3:]
+        known = 0.0
+        for b, levels in seen.values():
+            known += b.chances(levels, totals)[2][b.total > 0].sum()
+        base = 1 / (totals.words + 1)
+        unknown = P._smoothed(0, 0, totals.customers[2][0], totals.tables[2][0], totals.discounts[2], base)
+        assert known + unknown == pytest.approx(1.0)
