@@ -150,7 +150,12 @@ def strip_text(spark, folder):
 def replace_sentinels(spark, folder):
     plan = plan_of(spark, folder, "d_orders")
     df = steps.strip_text(view(spark, folder, "d_orders").select("row_no", "o_totalprice", "o_orderpriority"))
-    return steps.replace_sentinels(df, {n: plan.columns[n].sentinel_values for n in ("o_totalprice", "o_orderpriority")})
+    rules = {n: plan.columns[n] for n in ("o_totalprice", "o_orderpriority")}
+    df = steps.replace_sentinels(df, {n: r.sentinel_values for n, r in rules.items()})
+    for name, rule in rules.items():
+        if rule.sentinel_table:
+            df = steps.replace_sentinels_from(df, name, rule.sentinel_table)
+    return df
 
 
 def _price(spark, folder):

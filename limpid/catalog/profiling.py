@@ -13,7 +13,7 @@ from limpid.catalog.views import (
 )
 from limpid.functions.constants import PATTERNS
 from limpid.operators import eda
-from limpid.operators.profile import profile_table
+from limpid.operators.profile import profile_table, with_sentinel_tables
 from limpid.operators.score import score_frame, score_report
 
 QUERIES: dict = {}
@@ -210,9 +210,11 @@ def numeric_sentinels(spark, folder):
     out = None
     for df in (view(spark, folder, "d_orders").select("o_totalprice"), table(spark, folder, "events").select("value"),
                table(spark, folder, "lineitem").select("l_quantity")):
-        rows = [(c.column, c.sentinel_count, ",".join(_plain(v) for v in c.sentinel_values))
-                for c in profile_table(df).columns]
-        frame = spark.createDataFrame(rows, "column string, sentinel_count long, sentinel_values string")
+        found = profile_table(df).columns
+        rows = [(c.column, c.sentinel_count, [_plain(v) for v in c.sentinel_values]) for c in found]
+        frame = with_sentinel_tables(spark.createDataFrame(rows, "column string, sentinel_count long, sentinel_values array<string>"),
+                                     {c.column: c.sentinel_table for c in found})
+        frame = frame.withColumn("sentinel_values", F.array_join("sentinel_values", ","))
         out = frame if out is None else out.unionByName(frame)
     return out
 

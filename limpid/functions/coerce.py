@@ -159,6 +159,18 @@ def cell_text(c: Column, storage: str) -> Column:
     return c.cast("string")
 
 
+def number_text(c: Column) -> Column:
+    """Text of a double as reports show listed numbers: 12000000.0, 0.5, 1e+16."""
+    short = c.cast("string")
+    plain = F.regexp_replace(short.cast("decimal(38,22)").cast("string"), "0+$", "")
+    power = F.split_part(short, F.lit("E"), F.lit(2)).cast("int")
+    far = F.format_string("%se%s%02d", F.regexp_replace(F.split_part(short, F.lit("E"), F.lit(1)), r"\.0$", ""),
+                          F.when(power < 0, "-").otherwise("+"), F.abs(power))
+    return (F.when(F.abs(c) == float("inf"), F.when(c < 0, "-inf").otherwise("inf")).when(c == 0, "0.0")
+            .when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
+            .otherwise(far))
+
+
 def matches(c: Column, pattern: str) -> Column:
     """The whole cell has the named format."""
     flags = "(?iU)" if pattern in CASE_FREE_PATTERNS else "(?U)"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions import constants as K
 from limpid.functions.coerce import (
-    cell_text, col, is_sentinel_word, nan_to_null, storage_of, strip, to_number,
+    cell_text, col, is_sentinel_word, nan_to_null, number_text, storage_of, strip, to_number,
 )
 from limpid.functions.quantiles import exact_quantiles
 from limpid.operators.duplicates import count_duplicates
@@ -75,6 +75,21 @@ class ColumnProfile:
         return bool(self.sentinel_values) or self.sentinel_table is not None
 
 
+def with_sentinel_tables(frame: DataFrame, tables: dict[str, str | None]) -> DataFrame:
+    """``frame`` (column, sentinel_values, ...) with the sentinel sets that are kept as tables in ``sentinel_values``."""
+    spark = frame.sparkSession
+    found = None
+    for name, path in tables.items():
+        if path:
+            listed = F.transform(F.sort_array(F.collect_list("value")), number_text)
+            one = spark.read.parquet(path).agg(listed.alias("__listed")).select(F.lit(name).alias("__column"), "__listed")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return frame
+    joined = frame.join(F.broadcast(found), F.col("column") == F.col("__column"), "left")
+    return joined.withColumn("sentinel_values", F.coalesce("__listed", "sentinel_values")).select(frame.columns)
+
+
 @dataclass
 class TableProfile:
     total_rows: int
@@ -111,7 +126,7 @@ class TableProfile:
             d["sentinel_values"] = [str(v) for v in c.sentinel_values]
             d["top_values"] = [{"value": v, "count": n} for v, n in c.top_values]
             rows.append(d)
-        return spark.createDataFrame(rows, COLUMN_SCHEMA)
+        return with_sentinel_tables(spark.createDataFrame(rows, COLUMN_SCHEMA), {c.column: c.sentinel_table for c in self.columns})
 
 
 @dataclass

@@ -93,6 +93,33 @@ def test_many_repeated_extremes_stay_whole(frame, monkeypatch):
     assert out.filter("x is null").count() == 15 and out.count() == 415
 
 
+def test_sentinel_tables_reach_frames_and_queries(frame, spark, monkeypatch):
+    from limpid.catalog import cleaning, profiling
+    from limpid.functions.coerce import number_text
+    from limpid.operators import profile as module
+    from limpid.plans.rules import build_plan, plan_frame
+    from pyspark.sql import functions as F
+
+    numbers = [1.5, -9999999.0, 12345678.25, 1e15, 1e16, -2.5e20, 1e-4, 3.5e-5, 0.1, 123456.789, 1e300, float("inf"), -7.0, 0.0]
+    rows = spark.createDataFrame([(v,) for v in numbers], "v double").select("v", number_text(F.col("v")).alias("t")).collect()
+    assert [r.t for r in rows] == [str(r.v) for r in rows]
+    folder = "/root/testdata/sf0.001"
+    whole = {n: sorted(map(tuple, f(spark, folder).collect()), key=repr)
+             for n, f in (("a", profiling.numeric_sentinels), ("b", cleaning.replace_sentinels))}
+    df = frame(x=[float(i % 40) for i in range(400)] + [v for v in (1e6, 2e7, 3e6) for _ in range(5)])
+    listed = profile_table(df).column_frame(spark).first().sentinel_values
+    monkeypatch.setattr(module, "SENTINEL_LIST_LIMIT", 0)
+    profile = profile_table(df)
+    assert profile.columns[0].sentinel_table
+    assert profile.column_frame(spark).first().sentinel_values == listed == ["1000000.0", "3000000.0", "20000000.0"]
+    assert plan_frame(spark, build_plan(profile)).first().sentinel_values == listed
+    for module_ in (profiling, cleaning):
+        for f in vars(module_).values():
+            getattr(f, "cache_clear", lambda: None)()
+    assert {n: sorted(map(tuple, f(spark, folder).collect()), key=repr)
+            for n, f in (("a", profiling.numeric_sentinels), ("b", cleaning.replace_sentinels))} == whole
+
+
 def test_string_profile(frame):
     data = ["b"] * 3 + ["a"] * 3 + ["c", "d", "e", "f"] + [None] * 2
     c = profile_table(frame(x=data)).columns[0]
