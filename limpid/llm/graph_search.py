@@ -237,7 +237,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = NEAREST, beam: int =
         for at in range(0, len(ask), _BATCH):
             nodes, near = search_graph(units, layers, unit_rows(ask[at:at + _BATCH]), max(beam, 2 * k + 4))
             for query, vector, hits in zip(ids[at:at + _BATCH], ask[at:at + _BATCH].astype(np.float64), nodes):
-                hits = hits[hits >= 0][:2 * k + 4]
+                hits = hits[hits >= 0]
                 close = vectors[hits].astype(np.float64)
                 score = (close * vector).sum(axis=1) / (np.sqrt((close ** 2).sum(axis=1)) * np.sqrt((vector ** 2).sum()))
                 pairs = [(-s, int(m)) for s, h in zip(score, hits) for m in members[first[h]:first[h] + sizes[h]] if m != query]

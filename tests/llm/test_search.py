@@ -70,3 +70,34 @@ def test_clustered_vectors_stay_reachable():
     best = np.argsort(-(units[::10] @ units.T), axis=1)[:, :5]
     found = [len(set(order[a[a >= 0][:5]].tolist()) & set(b.tolist())) / 5 for a, b in zip(nodes, best)]
     assert np.mean(found) >= 0.9
+
+
+def test_every_found_node_is_scored_exactly(spark):
+    """Many vectors of nearly one direction: neighbours and ties are those of double precision."""
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=6).astype(np.float32)
+    rows = [(i, (one * np.float32(2.0 ** (i % 30))).tolist()) for i in range(0, 30)]
+    rows += [(1000 + i, np.nextafter(one, np.float32(9) * rng.choice([-1, 1], 6).astype(np.float32)).tolist()) for i in range(40)]
+    rows += [(2001 + i, rng.normal(size=6).tolist()) for i in range(100)] + [(50 * k, (one * np.float32(3 + k)).tolist()) for k in range(1, 6)]
+    order = rng.permutation(len(rows))
+    frame = spark.createDataFrame([rows[i] for i in order], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in G.nearest(frame.where("vec_id % 50 = 0"), G.build_index(frame)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(pytest.approx(r.score, abs=1e-15))
+    want = slow_nearest(rows)
+    assert {q: [s for _, s in near] for q, near in want.items()} == got
+
+
+def test_recall_over_shards_of_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    vectors = (centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    index = G.build_index(frame, shard_rows=700)
+    assert index.count() == 5
+    got = {}
+    for r in G.nearest(frame.where("vec_id % 50 = 0"), index).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = slow_nearest(rows)
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) / (5 * len(want)) >= 0.95
