@@ -45,14 +45,17 @@ class WordTokenizer:
 
     Text is cut at ASCII white space and every distinct word is encoded once. Words of Latin letters
     and ASCII signs go through the vocabulary's model unit by unit; all others through the whole
-    tokenizer. A full memory is emptied, which costs time and changes nothing.
+    tokenizer. A full memory is emptied, which costs time and changes nothing. With ``added_tokens``,
+    texts that hold an added token of the file go through the file's tokenizer as it stands.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, added_tokens: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        self.untouched = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.untouched.get_added_tokens_decoder().values()] if added_tokens else []
         self.model = self.whole.model
         octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: octets.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
@@ -97,6 +100,8 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         octets = (text or "").encode("utf-8", "replace")
+        if any(t in octets for t in self.added):
+            return np.array(self.untouched.encode(octets.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
         # lower case first saves distinct words; combining marks could make a difference, so not with them
         words = (octets if b"\xcc" in octets or b"\xcd" in octets else octets.lower()).split()
         if not words:
@@ -118,7 +123,7 @@ def worker_tokenizer(path: str) -> WordTokenizer:
     state = sys.modules.setdefault("limpid_worker_state", ModuleType("limpid_worker_state"))
     held = state.__dict__.setdefault("tokenizers", {})
     if path not in held:
-        held[path] = WordTokenizer(path)
+        held[path] = WordTokenizer(path, added_tokens=True)
     return held[path]
 
 

@@ -82,3 +82,12 @@ def test_large_ids_stay_exact_beside_null(spark):
     big = 2 ** 62 + 1
     frame = spark.createDataFrame([(big, "a"), (None, "b")], "doc_id bigint, text string")
     assert {r.doc_id for r in K.packed_documents(frame, PATH).collect()} == {big, None}
+
+
+def test_added_tokens_keep_the_ids_of_the_file(spark):
+    plain = Tokenizer.from_file(PATH)
+    texts = ODD + ["a <|endoftext|> b", "a<|endoftext|>b  <|startoftext|> C's", "<|ENDOFTEXT|> <|endoftext|", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: list(r.ids) for r in K.packed_documents(docs, PATH, with_ids=True).collect()}
+    assert found == {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert found[len(ODD)][:-1] == [320, 49407, 321]
