@@ -205,3 +205,15 @@ def test_cleaned_rows_keep_their_order(spark, tmp_path, frame):
     df = frame(a=list(range(500))).repartition(7)
     path = write_cleaned(df, str(tmp_path), "f", "r")
     assert [r.a for r in read_csv(spark, path).df.orderBy(ROW_ID).collect()] == list(range(500))
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    from limpid.catalog.records import numbered
+    from limpid.sources.tables import ROW_ID
+
+    df = spark.range(0, 5000, 1, 7).selectExpr(f"(id * 7919) % 5000 * 10 AS {ROW_ID}", "id")
+    out = numbered(df, "position", 600)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 5000 and all(r[ROW_ID] == 10 * r.position for r in rows)
+    assert numbered(df.where("false"), "position").count() == 0
