@@ -163,6 +163,13 @@ def csv_documents(spark, folder):
     return read_csv(spark, path).df.drop(ROW_ID)
 
 
+@query("csv_documents_split", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_documents_split(spark, folder):
+    """The texts in one CSV file, which is read by blocks: quoted cells run over the ends of lines and blocks."""
+    path = write_raw(table(spark, folder, "documents").coalesce(1), fresh_path(spark, "raw"), "documents", "documents.csv")
+    return read_csv(spark, path, block_bytes=1 << 18).df.drop(ROW_ID)
+
+
 @query("preview_folder", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20")
 def preview_folder(spark, folder):
     """First rows of a folder of many small files, the first of which has a header only."""

@@ -21,18 +21,19 @@ def data_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[str]:
     return [c for c in df.columns if c != row_id]
 
 
-def with_file_row_id(df: DataFrame, position: Column) -> DataFrame:
+def with_file_row_id(df: DataFrame, position: Column, files: list[str] | None = None, path: Column | None = None) -> DataFrame:
     """Add a long row id that grows with the file name and the position inside the file.
 
-    ``df`` must read files directly. The id does not depend on how files are split or packed into
+    ``df`` must read files directly, unless ``files`` lists them and ``path`` tells the file of a
+    row. The id does not depend on how files are split or packed into
     partitions, so a lost task that runs again gives the same ids.
     """
-    files = sorted(df.inputFiles())
+    files = sorted(files or df.inputFiles())
     if len(files) <= 1:
         return df.withColumn(ROW_ID, position)
     # the list says file:///x where the metadata column says file:/x
     files = [re.sub("^file:/+", "file:/", f) for f in files]
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    path = F.regexp_replace(F.col("_metadata.file_path") if path is None else path, "^file:/+", "file:/")
     if len(files) <= _MAP_FILES:
         pairs = [F.lit(x) for i, f in enumerate(files) for x in (f, i)]
         return df.withColumn(ROW_ID, F.create_map(*pairs)[path].cast("long") * _FILE_SPAN + position)
