@@ -325,16 +325,27 @@ def custom_transform(spark, folder):
     return apply_plan(view(spark, folder, "d_customer").select("row_no", "acct_mixed"), plan, "row_no").df
 
 
+# expressions that are refused before anything is evaluated
+_REFUSED = {
+    "forbidden": "reflect('java.lang.System', 'exit', col)", "quoted": "`reflect`('java.lang.System', 'getProperty', col)",
+    "method": "`java_method`('java.lang.System', 'getProperty', 'java.version')", "random": "`rand`()", "identifier": "`uuid`()",
+    "clock": "current_timestamp", "today": "current_date", "now": "concat(col, timestamp 'now')", "total": "`sum`(length(col))",
+    "window": "max(col) over ()", "query": "(select 'x')", "other": "c_name", "rows": "explode(array(col))", "lambda": "transform(array(col), x -> x)",
+}
+
+
 @query("transform_trials", with_views("d_customer", f"""SELECT 'strip' AS trial, (count(acct_mixed) - count(ltrim(acct_mixed, '$'))) / count(acct_mixed) <= 0.05 AS ok FROM d_customer
 UNION ALL SELECT 'number', (count(acct_mixed) - count({sql_number('acct_mixed')})) / count(acct_mixed) <= 0.05 FROM d_customer
 UNION ALL SELECT 'invent', (SELECT count(*) FROM d_customer WHERE c_mktsegment IS NULL) = 0
 UNION ALL SELECT 'raise', (SELECT count(*) FROM d_customer WHERE {sql_number('acct_mixed')} IS NULL) = 0
-UNION ALL SELECT 'forbidden', false"""))
+UNION ALL SELECT 'calendar', count(*) > 0 FROM d_customer
+UNION ALL SELECT unnest([{", ".join(f"'{name}'" for name in _REFUSED)}]), false"""))
 def transform_trials(spark, folder):
     df = view(spark, folder, "d_customer")
     trials = {"strip": ("acct_mixed", "ltrim('$', col)"), "number": ("acct_mixed", "try_cast(col as double)"),
               "invent": ("c_mktsegment", "coalesce(col, 'x')"), "raise": ("acct_mixed", "cast(col as double)"),
-              "forbidden": ("acct_mixed", "reflect('java.lang.System', 'exit', col)")}
+              "calendar": ("email", "concat(split_part(col, '@', 1), '@', trim(both ' ' from split_part(col, '@', 2)))")}
+    trials |= {name: ("acct_mixed", code) for name, code in _REFUSED.items()}
     rows = [(n, trial_transform(df, c, code)[0]) for n, (c, code) in trials.items()]
     return spark.createDataFrame(rows, "trial string, ok boolean")
 

@@ -152,7 +152,7 @@ def _transform(df: DataFrame, rules: dict, out: Applied) -> DataFrame:
                 try:
                     found |= counts([name])
                 except PySparkException as e:
-                    out.reverted_transforms[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+                    out.reverted_transforms[name] = f"{type(e).__name__}: {e}"
                     sound.pop(name)
     for name, code in sound.items():
         reason = damage_reason(found, f"{name}:", invented_counts=False)

@@ -156,6 +156,32 @@ def test_unsafe_transforms(spark, code):
     assert check_transform(spark, code)[0] is False
 
 
+@pytest.mark.parametrize("code", [
+    "`reflect`('java.lang.System','getProperty',col)", "`java_method`('java.lang.System', 'getProperty', 'java.version')",
+    "try_reflect('java.lang.System', 'getProperty', col)", "`rand`()", "`uuid`()", "current_timestamp", "current_date()", "current_user",
+    "`sum`(length(col))", "max(col) over ()", "count(distinct col)", "upper(col) filter (where true)", "identifier('reflect')('a', 'b', col)",
+    "system.builtin.rand()", "exists(select 1)", "col in (select 'a')", "transform(array(col), x -> x)", "timestamp 'now'", "date 'today'",
+    "concat(col, :p)", "*", "t.col", "col[0]", "struct(col).col", "java_method /* x */ ('a', 'b')", 5, None])
+def test_refused_by_the_tree(spark, code):
+    ok, reason = check_transform(spark, code)
+    assert not ok and reason
+
+
+@pytest.mark.parametrize("code", [
+    "Upper(COL) || 'x'", "`upper`(`col`)", "case when col like '%rand()%' then 'select' else substring(col from 1 for 2) end",
+    "if(col between 'a' and 'b', -length(col), col :: int)", "col is not null and col rlike 'sum\\\\('", "trim(both '`' from col)",
+    "to_date(split_part(col, ' ', 1), 'yyyy-MM-dd')", "coalesce(nvl2(col, 'a', 'b'), to_number(col, '99'))", "position('a' in col) % 2"])
+def test_allowed_by_the_tree(spark, code):
+    assert check_transform(spark, code) == (True, "")
+
+
+def test_a_registered_function_does_not_pass_under_an_allowed_name(spark):
+    own = spark.newSession()
+    own.udf.register("initcap", lambda s: s)
+    assert check_transform(own, "initcap(col)")[0] is False
+    assert check_transform(spark, "initcap(col)")[0] is True
+
+
 def test_trials(frame):
     df = frame(x=["1%", "2%", None], y=["a", "b", "c"])
     assert trial_transform(df, "x", "replace(col, '%', '')") == (True, "")
