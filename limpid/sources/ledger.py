@@ -1,13 +1,13 @@
 """The ledger of files and runs as tables, and the questions asked of it.
 
 Runs are append-only status events: (run_id, file_id, status, created_at, at, ...). The state of a
-run is its latest event, so writers only append and never rewrite history.
+run is its latest event, so writers only append and never rewrite history. They append to one log of
+numbered commits (``commits``), where a number goes to one writer only.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions.constants import RESULT_DAYS, RUN_STATUSES, SOURCE_DAYS
 from limpid.plans.model import Plan
+from limpid.sources.commits import CommitLog
 
 FILE_SCHEMA = (
     "file_id string, user_id string, original_filename string, file_size long, has_header boolean, "
@@ -129,69 +130,82 @@ def recency_members(runs: DataFrame, now: Column) -> DataFrame:
     return runs.withColumn("bucket", recency_bucket(F.col("created_at"), now))
 
 
+# One event of the log: a file or a status of a run.
+LOG_SCHEMA = f"kind string, commit_key string, {RUN_SCHEMA}, {FILE_SCHEMA.replace('file_id string, ', '')}"
+_FILE_FIELDS = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
+_RUN_FIELDS = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
+
+
 class Ledger:
-    """Ledger tables in a folder: ``files`` and ``runs``, as parquet.
+    """Files and runs as events of one commit log in a folder.
 
-    Every append goes to a folder of its own, so writers at the same time do not disturb each other.
-    The events of a run share a folder, so following one run reads its few events and not the table.
+    A status changes by a conditional commit: the transition is judged over the newest events, and
+    again if another writer commits first. So of two writers that would take a run from one status to the next,
+    one does and the other is refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _run_folder(self, run_id: str) -> str:
-        return f"runs/{hashlib.sha256(run_id.encode()).hexdigest()[:32]}"
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return (self.spark.read.schema(schema).option("recursiveFileLookup", True)
-                    .parquet(f"{self.folder}/{name}"))
-        except Exception as e:  # the table does not exist before the first append
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        self.log = CommitLog(spark, self.folder, LOG_SCHEMA)
 
     def files(self) -> DataFrame:
         """One row per file; a file registered again after a crash keeps its newest entry."""
         newest = Window.partitionBy("file_id").orderBy(F.desc("uploaded_at"), "raw_path")
-        ranked = self._read("files", FILE_SCHEMA).withColumn("__rank", F.row_number().over(newest))
+        found = self.log.snapshot()[1].where("kind = 'file'").select(*_FILE_FIELDS)
+        ranked = found.withColumn("__rank", F.row_number().over(newest))
         return ranked.filter(F.col("__rank") <= 1).drop("__rank")
 
     def events(self) -> DataFrame:
-        return self._read("runs", RUN_SCHEMA)
+        return self._run_events(self.log.snapshot()[1])
+
+    @staticmethod
+    def _run_events(log: DataFrame) -> DataFrame:
+        return log.where("kind = 'run'").select(*_RUN_FIELDS)
 
     def runs(self) -> DataFrame:
         return run_state(self.events())
 
     def add_file(self, user_id: str, filename: str, raw_path: str, size: int = 0, has_header: bool = True,
                  file_id: str | None = None) -> str:
-        file_id = file_id or str(uuid.uuid4())
-        self._write("files", FILE_SCHEMA, (file_id, user_id, filename, size, has_header, raw_path, _now()))
-        return file_id
+        event = file_event(file_id or str(uuid.uuid4()), user_id, filename, raw_path, size, has_header)
+        self.log.append([event])
+        return event["file_id"]
 
     def start_run(self, file_id: str, run_id: str | None = None, status: str = "PENDING", **values) -> str:
-        run_id = run_id or str(uuid.uuid4())
-        now = _now()
-        self._append({"run_id": run_id, "file_id": file_id, "status": status, "created_at": now, "at": now} | values)
-        return run_id
+        event = run_event(run_id or str(uuid.uuid4()), file_id, status, **values)
+        self.log.append([event])
+        return event["run_id"]
 
     def run(self, run_id: str) -> dict:
-        events = self._read(self._run_folder(run_id), RUN_SCHEMA)
-        row = run_state(events.filter(F.col("run_id") == run_id)).first()
+        return self._state(self.log.snapshot()[1], run_id)
+
+    def _state(self, log: DataFrame, run_id: str) -> dict:
+        row = run_state(self._run_events(log).filter(F.col("run_id") == run_id)).first()
         if row is None:
             raise LookupError(f"no run {run_id}")
         return row.asDict()
 
     def advance(self, run_id: str, status: str, **values) -> None:
-        """Append the next status of a run; the transition must be a legal one."""
+        """Commit the next status of a run; the transition must be a legal one from what the run is by then."""
         if status not in RUN_STATUSES:
             raise ValueError(f"unknown status {status!r}")
-        current = self.run(run_id)
-        if status not in NEXT_STATUS.get(current["status"], ()):
-            raise ValueError(f"a run cannot go from {current['status']} to {status}")
-        now = _now()
-        done = now if status in FINAL else current["completed_at"]
-        self._append(current | values | {"status": status, "at": now, "completed_at": done})
+
+        def following(log: DataFrame) -> list[dict]:
+            current = self._state(log, run_id)
+            if status not in NEXT_STATUS.get(current["status"], ()):
+                raise ValueError(f"a run cannot go from {current['status']} to {status}")
+            now = _now()
+            done = now if status in FINAL else current["completed_at"]
+            return [{"kind": "run"} | current | values | {"status": status, "at": now, "completed_at": done}]
+
+        self.log.append(following)
+
+    def commit_once(self, key: str, events: list[dict]) -> bool:
+        """Commit events under a key, unless the log has events under it: safe to repeat after a crash."""
+        def unless_done(log: DataFrame) -> list[dict]:
+            return [] if log.where(F.col("commit_key") == key).limit(1).count() else [e | {"commit_key": key} for e in events]
+
+        return bool(self.log.append(unless_done))
 
     def approved_plan(self, run_id: str) -> Plan:
         """The plan a run was approved with; an error if there is none."""
@@ -212,14 +226,16 @@ class Ledger:
             plan_generated=carried_plan(source["plan_generated"], source["plan_approved"]),
             flags_path=source["flags_path"])
 
-    def _append(self, values: dict) -> None:
-        names = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
-        row = tuple(values.get(n) for n in names)
-        self._write(self._run_folder(values["run_id"]), RUN_SCHEMA, row)
 
-    def _write(self, name: str, schema: str, row: tuple) -> None:
-        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-        self.spark.createDataFrame([row], schema).coalesce(1).write.parquet(path)
+def file_event(file_id: str, user_id: str, filename: str, raw_path: str, size: int = 0, has_header: bool = True) -> dict:
+    return {"kind": "file", "file_id": file_id, "user_id": user_id, "original_filename": filename, "file_size": size,
+            "has_header": has_header, "raw_path": raw_path, "uploaded_at": _now()}
+
+
+def run_event(run_id: str, file_id: str, status: str, **values) -> dict:
+    now = _now()
+    ended = {"completed_at": now} if status in FINAL else {}
+    return {"kind": "run", "run_id": run_id, "file_id": file_id, "status": status, "created_at": now, "at": now} | ended | values
 
 
 def carried_plan(generated: str, approved: str | None) -> str:
@@ -233,4 +249,4 @@ def carried_plan(generated: str, approved: str | None) -> str:
 
 
 def _now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    return dt.datetime.now(dt.timezone.utc)
