@@ -15,6 +15,7 @@ from limpid.operators import eda, steps
 from limpid.operators.apply import apply_plan, change_report
 from limpid.operators.duplicates import drop_duplicates
 from limpid.operators.impact import Strategies, drop_flags, drop_impact, flag_patterns, patterns_of_flags, strategies_of
+from limpid.operators.masks import flag_masks, impacts_of_masks, overlaps_of_masks
 from limpid.operators.profile import profile_table
 from limpid.operators.sampling import column_samples, sample_rows
 from limpid.operators.score import score_frame, score_report
@@ -23,6 +24,7 @@ from limpid.plans.compare import compare_plans, impact_labels, total_changes
 from limpid.plans.edit import apply_renames, merge_edit, patch_column, patch_duplicates, set_outlier_strategy
 from limpid.plans.model import ColumnRule, MissingRule, Plan
 from limpid.plans.rules import build_plan, plan_frame
+from limpid.session import stage
 from limpid.sources.tables import preview
 
 QUERIES: dict = {}
@@ -499,6 +501,48 @@ def impact_request(spark, folder):
     return spark.createDataFrame([*rows, ("duplicate", "", chosen.duplicates)], "kind string, column string, strategy string")
 
 
+def _impact_select(nulls: str, outliers: str, duplicates: str, choice: int) -> str:
+    """One row of drop impact over ``flags``."""
+    flags = {"null_drops": nulls, "outlier_drops": outliers, "duplicate_drops": duplicates}
+    names = [x for f in flags.values() for x in f.split()]
+    sums = ", ".join(("(" + " + ".join(f"count(*) FILTER ({x})" for x in f.split()) + ")" if f else "CAST(0 AS BIGINT)") + f" AS {k}" for k, f in flags.items())
+    return f"""SELECT {choice} AS choice, rows_before, rows_dropped, rows_before - rows_dropped AS rows_after, null_drops, outlier_drops, duplicate_drops,
+  greatest(0, null_drops + outlier_drops + duplicate_drops - rows_dropped) AS overlap_saved
+FROM (SELECT count(*) AS rows_before, count(*) FILTER ({" OR ".join(names) or "false"}) AS rows_dropped, {sums} FROM flags)"""
+
+
+# every choice of dropping or keeping for the five operations of the plan
+_OPERATIONS = ("null_o_totalprice", "null_order_day", "null_o_orderpriority", "outlier_o_totalprice", "duplicate")
+_CHOICES = [[name for k, name in enumerate(_OPERATIONS) if choice >> k & 1] for choice in range(1 << len(_OPERATIONS))]
+
+
+def _of_kind(chosen: list[str], kind: str) -> list[str]:
+    return [name for name in chosen if name.startswith(kind)]
+
+
+@query("drop_impact_masks", with_views("d_orders", f"WITH {_FLAGS} " + sql_union([
+    _impact_select(*(" ".join(_of_kind(chosen, kind)) for kind in ("null_", "outlier_", "duplicate")), choice)
+    for choice, chosen in enumerate(_CHOICES)])))
+def drop_impact_masks(spark, folder):
+    """The effect of each choice, from one table of stored bitmaps."""
+    masks = stage(flag_masks(drop_flags_query(spark, folder), "row_no"), "masks")
+
+    def strategies(chosen: list[str]) -> Strategies:
+        return Strategies({n[len("null_"):]: "drop_row" for n in _of_kind(chosen, "null_")},
+                          {n[len("outlier_"):]: "remove" for n in _of_kind(chosen, "outlier_")},
+                          "drop" if "duplicate" in chosen else "ignore")
+
+    found = impacts_of_masks(masks, {str(choice): strategies(chosen) for choice, chosen in enumerate(_CHOICES)})
+    return found.withColumn("choice", F.col("choice").cast("int"))
+
+
+@query("mask_overlaps", with_views("d_orders", f"WITH {_FLAGS} SELECT * FROM (" + sql_union([
+    f"SELECT '{min(a, b)}' AS operation, '{max(a, b)}' AS other, count(*) FILTER ({a} AND {b}) AS rows FROM flags"
+    for k, a in enumerate(_OPERATIONS) for b in _OPERATIONS[k + 1:]]) + ") WHERE rows > 0"))
+def mask_overlaps(spark, folder):
+    return overlaps_of_masks(stage(flag_masks(drop_flags_query(spark, folder), "row_no"), "masks"))
+
+
 @query("drop_impact_from_flags", _impact_sql("null_o_orderpriority", "", "duplicate"))
 def drop_impact_from_flags(spark, folder):
     patterns = patterns_of_flags(drop_flags_query(spark, folder), "row_no")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from limpid.catalog.views import sql_union, table, view, with_views
 from limpid.functions.coerce import col
 from limpid.operators.apply import apply_plan
 from limpid.operators.duplicates import drop_duplicates
+from limpid.operators.masks import numbered
 from limpid.plans.model import Plan
-from limpid.session import count_rows, fresh_path, stage
+from limpid.session import fresh_path
 from limpid.sources import ledger
 from limpid.sources.csv import preview_csv, read_csv
 from limpid.sources.tables import ROW_ID, read_parquet, write_cleaned, write_raw
@@ -180,24 +179,6 @@ def preview_folder(spark, folder):
     return preview_csv(spark, path)
 
 
-# rows per range that one task numbers
-_RANGE_ROWS = 100_000
-
-
-def numbered(df: DataFrame, name: str, range_rows: int = _RANGE_ROWS) -> DataFrame:
-    """Add the position of each row by row id, from 0: ranges of row ids are numbered apart, after the counts of those before."""
-    ranges = max(1, -(-count_rows(df) // range_rows))
-    dealt = stage(df.repartitionByRange(ranges, ROW_ID).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = {r[0]: r[1] for r in dealt.groupBy("__range").count().collect()}
-    starts, total = [], 0
-    for k in range(max(counts, default=0) + 1):
-        starts.append(total)
-        total += counts.get(k, 0)
-    within = Window.partitionBy("__range").orderBy(ROW_ID)
-    start = F.get(F.array(*[F.lit(n).cast("long") for n in starts]), F.col("__range"))
-    return dealt.withColumn(name, start + F.row_number().over(within) - 1).drop("__range")
-
-
 @query("cleaned_row_order", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
 def cleaned_row_order(spark, folder):
     """A cleaned table keeps the order of its rows, whatever shuffled them on the way."""
