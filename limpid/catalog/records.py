@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.catalog.views import sql_union, table, view, with_views
+from limpid.catalog.profiling import _INVALID as INVALID
+from limpid.catalog.profiling import _MATCHED, _OVERALL, text_facts
+from limpid.catalog.views import sql_round, sql_union, table, view, with_views
 from limpid.functions.coerce import col
 from limpid.operators.apply import apply_plan
 from limpid.operators.duplicates import drop_duplicates
@@ -195,14 +197,36 @@ def parquet_row_order(spark, folder):
 
 # --- arriving files ---------------------------------------------------------------------------
 
-@query("stream_analyse", """SELECT 'AWAITING_REVIEW' AS status, count(*) AS total_rows,
-  CAST(format('{:.2f}', 100.0::DOUBLE) AS DOUBLE) AS overall FROM orders GROUP BY o_orderstatus""")
+_LANDED = ["o_orderkey", "o_custkey", "o_totalprice", "order_day", "o_orderpriority"]
+_PER_FILE = f"""landed AS (SELECT o_orderstatus || '-' || (o_orderkey % 20) AS file, {", ".join(_LANDED)} FROM d_orders),
+facts AS ({sql_union([text_facts("landed", [c]).replace("SELECT ", "SELECT file, ", 1) + " GROUP BY file" for c in ("order_day", "o_orderpriority")])}),
+texts AS (SELECT file, CAST(sum({INVALID}) AS BIGINT) AS invalid, CAST(sum(filled - {_MATCHED}) AS BIGINT) AS inconsistent FROM facts GROUP BY file),
+copies AS (SELECT file, CAST(sum(n - 1) AS BIGINT) AS dups FROM (SELECT file, count(*) AS n FROM landed GROUP BY file, {", ".join(_LANDED)}) GROUP BY file),
+base AS (SELECT file, count(*) AS n, count(*) * {len(_LANDED)} AS cells, {" + ".join(f"count(*) - count({c})" for c in _LANDED)} AS missing
+  FROM landed GROUP BY file),
+dims AS (SELECT file, n, missing, dups, invalid, (1 - missing / cells) * 100 AS completeness, (1 - dups / n) * 100 AS uniqueness,
+  {sql_round('(cells - missing - invalid) / cells * 100', 2)} AS validity, {sql_round('(1 - inconsistent / cells) * 100', 2)} AS consistency
+  FROM base JOIN copies USING (file) JOIN texts USING (file))"""
+
+
+def _landed(spark, folder) -> str:
+    """The dirtied orders as many CSV files: one per status and remainder of the key."""
+    path = fresh_path(spark, "landing")
+    rows = view(spark, folder, "d_orders").select(
+        F.concat_ws("-", "o_orderstatus", (F.col("o_orderkey") % 20).cast("string")).alias("file"), *_LANDED)
+    (rows.repartition(8, "file").write.partitionBy("file").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+@query("stream_analyse", with_views("d_orders", f"""WITH {_PER_FILE}
+SELECT file, 'AWAITING_REVIEW' AS status, n AS total_rows, missing, dups AS duplicates, invalid AS type_mismatches, {_OVERALL} AS overall FROM dims"""))
 def stream_analyse(spark, folder):
-    """Orders land as one file per status; each is analysed on arrival and leaves a run in the ledger."""
-    landing, books, checkpoint = (fresh_path(spark, n) for n in ("landing", "ledger", "stream"))
-    orders = table(spark, folder, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").option("header", True).csv(landing)
-    analyse_arrivals(spark, landing, books, checkpoint).awaitTermination()
-    runs = ledger.Ledger(spark, books).runs()
-    scores = F.from_json("scores_before", "total_rows long, overall double")
-    return runs.select("status", scores.alias("s")).select("status", "s.total_rows", "s.overall")
+    """Dirtied orders land as many files; a micro-batch is profiled by one set of jobs and leaves a run per file in the ledger."""
+    books, checkpoint = (fresh_path(spark, n) for n in ("ledger", "stream"))
+    analyse_arrivals(spark, _landed(spark, folder), books, checkpoint).awaitTermination()
+    found = ledger.Ledger(spark, books)
+    scores = F.from_json("scores_before", "total_rows long, overall double, issues_found struct<missing:long,duplicates:long,type_mismatches:long>")
+    files = found.files().select("file_id", F.regexp_extract("raw_path", "file=([^/]+)/", 1).alias("file"))
+    return (found.runs().join(files, "file_id").select("file", "status", scores.alias("s"))
+            .select("file", "status", "s.total_rows", "s.issues_found.*", "s.overall"))

@@ -247,14 +247,7 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
         numbers.result()
         copies = duplicates.result()
 
-    total_cells, missing = rows * len(cells), sum(nulls.values())
-    out = TableProfile(
-        rows, len(cells), missing, copies, malformed_rows, invalid,
-        (1 - missing / total_cells) * 100 if total_cells else 100.0,
-        (1 - copies / rows) * 100 if rows else 100.0,
-        round((total_cells - missing - invalid) / total_cells * 100, 2) if total_cells else 100.0,
-        round((1 - inconsistent / total_cells) * 100, 2) if total_cells else 100.0,
-        [profiles[c.name] for c in cells])
+    out = table_counters([profiles[c.name] for c in cells], rows, sum(nulls.values()), copies, malformed_rows, invalid, inconsistent)
     if missingness:
         out.association_tests = _association_tests(df, cells, nulls, rows, moments, summaries)
         tested = dict.fromkeys(column for column, _ in out.association_tests)
@@ -262,6 +255,19 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
     return out
 
 
+def table_counters(
+    columns: list[ColumnProfile], rows: int, missing: int, copies: int, malformed_rows: int, invalid: int, inconsistent: int
+) -> TableProfile:
+    """Profile of a table from the profiles of its columns and the counts over all cells."""
+    total_cells = rows * len(columns)
+    return TableProfile(
+        rows, len(columns), missing, copies, malformed_rows, invalid,
+        (1 - missing / total_cells) * 100 if total_cells else 100.0,
+        (1 - copies / rows) * 100 if rows else 100.0,
+        round((total_cells - missing - invalid) / total_cells * 100, 2) if total_cells else 100.0,
+        round((1 - inconsistent / total_cells) * 100, 2) if total_cells else 100.0, columns)
+
+
 def _start_profile(c: _Cells, rows: int, nulls: int) -> ColumnProfile:
     """Storage, gaps and, for native types, the detected type."""
     storage = c.storage
@@ -338,36 +344,50 @@ def _numeric_profiles(
     edges: dict[str, list[float]] = {}
     fences: dict[str, tuple[float, float]] = {}
     for name, c in chosen.items():
-        m, p = moments[c.slot], profiles[name]
-        q1, median, q3 = (quartiles[name][q] for q in (0.25, 0.5, 0.75))
-        p.stats = {
-            "min": round(m.low, 4), "max": round(m.high, 4), "mean": round(m.mean, 4),
-            "median": round(median, 4), "std": round(m.std, 4) if m.n > 1 else 0.0}
-        iqr = q3 - q1
-        if m.n >= K.OUTLIER_MIN_ROWS:
-            lower, upper = round(q1 - K.IQR_FENCE * iqr, 4), round(q3 + K.IQR_FENCE * iqr, 4)
-            p.outliers |= {"lower": lower, "upper": upper}
-            p.stats |= {"q1": round(q1, 4), "q3": round(q3, 4)}
-            bounds[name] = (lower, upper)
-        if m.n >= K.HISTOGRAM_MIN_ROWS and math.isfinite(m.low) and math.isfinite(m.high):
-            edges[name] = histogram_edges(m.low, m.high)
-        if m.n >= K.SENTINEL_MIN_ROWS and iqr != 0:
-            fence = (q1 - K.SENTINEL_FENCE * iqr, q3 + K.SENTINEL_FENCE * iqr)
-            if m.low < fence[0] or m.high > fence[1]:
-                fences[name] = fence
+        found = number_facts(profiles[name], moments[c.slot], [quartiles[name][q] for q in (0.25, 0.5, 0.75)])
+        for kept, value in zip((bounds, edges, fences), found):
+            if value is not None:
+                kept[name] = value
     if bounds or edges:
         for slot, row in _fence_counts(df, chosen, bounds, edges).items():
             name = next(n for n, c in chosen.items() if c.slot == slot)
-            profiles[name].outliers["count"] = row.outside
-            if name in edges:
-                above = [row.n, *row.above, 0]
-                profiles[name].stats["histogram"] = {
-                    "counts": [a - b for a, b in zip(above, above[1:])],
-                    "edges": [round(e, 4) for e in edges[name]]}
+            note_fences(profiles[name], edges.get(name), row.n, row.outside, row.above)
     if fences:
         _numeric_sentinels(df, {n: chosen[n] for n in fences}, fences, profiles)
 
 
+def number_facts(p: ColumnProfile, m, quartiles: list[float]) -> tuple:
+    """Complete the figures of a column from its moments and quartiles.
+
+    Returns its fences, the edges of its histogram and its wide fences, each None if there are none.
+    """
+    q1, median, q3 = quartiles
+    bounds = edges = wide = None
+    p.stats = {
+        "min": round(m.low, 4), "max": round(m.high, 4), "mean": round(m.mean, 4),
+        "median": round(median, 4), "std": round(m.std, 4) if m.n > 1 else 0.0}
+    iqr = q3 - q1
+    if m.n >= K.OUTLIER_MIN_ROWS:
+        bounds = round(q1 - K.IQR_FENCE * iqr, 4), round(q3 + K.IQR_FENCE * iqr, 4)
+        p.outliers |= {"lower": bounds[0], "upper": bounds[1]}
+        p.stats |= {"q1": round(q1, 4), "q3": round(q3, 4)}
+    if m.n >= K.HISTOGRAM_MIN_ROWS and math.isfinite(m.low) and math.isfinite(m.high):
+        edges = histogram_edges(m.low, m.high)
+    if m.n >= K.SENTINEL_MIN_ROWS and iqr != 0:
+        fence = (q1 - K.SENTINEL_FENCE * iqr, q3 + K.SENTINEL_FENCE * iqr)
+        if m.low < fence[0] or m.high > fence[1]:
+            wide = fence
+    return bounds, edges, wide
+
+
+def note_fences(p: ColumnProfile, edges: list[float] | None, n: int, outside: int, above: list[int]) -> None:
+    """Outliers and histogram from the cells outside the fences and those at or above each inner edge."""
+    p.outliers["count"] = outside
+    if edges is not None:
+        steps = [n, *above, 0]
+        p.stats["histogram"] = {"counts": [a - b for a, b in zip(steps, steps[1:])], "edges": [round(e, 4) for e in edges]}
+
+
 def _fence_counts(
     df: DataFrame, chosen: dict[str, _Cells], bounds: dict[str, tuple[float, float]], edges: dict[str, list[float]]
 ) -> dict:
@@ -401,12 +421,16 @@ def _numeric_sentinels(
         c.slot: F.when((c.number < fences[n][0]) | (c.number > fences[n][1]), c.number)
         for n, c in chosen.items()}
     repeated = value_counts(df, outside).filter(F.col("n") >= K.SENTINEL_MIN_REPEATS).select("slot", "value", "n")
+    note_sentinels(repeated, {c.slot: profiles[n] for n, c in chosen.items()})
+
+
+def note_sentinels(repeated: DataFrame, profiles: dict[int, ColumnProfile]) -> None:
+    """Add repeated extremes (slot, value, n) to the profiles of their columns."""
     repeated = stage(repeated, "repeated-extremes")
-    names = {c.slot: n for n, c in chosen.items()}
     totals = repeated.groupBy("slot").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("k")).collect()
     listed = []
     for row in totals:
-        p = profiles[names[row.slot]]
+        p = profiles[row.slot]
         p.sentinel_count = row.cells
         if row.k <= SENTINEL_LIST_LIMIT:
             listed.append(row.slot)
@@ -415,7 +439,7 @@ def _numeric_sentinels(
                 repeated.filter(F.col("slot") == row.slot).select("value"), "sentinels").inputFiles()[0].rsplit("/", 1)[0]
     if listed:
         for row in repeated.filter(F.col("slot").isin(listed)).orderBy("slot", "value").collect():
-            profiles[names[row.slot]].sentinel_values.append(row.value)
+            profiles[row.slot].sentinel_values.append(row.value)
 
 
 def _text_samples(df: DataFrame, cells: list[_Cells], profiles: dict[str, ColumnProfile], row_id: str | None) -> None:

@@ -101,30 +101,33 @@ def text_counts(
     extra = [F.when(flag, F.lit(1)).otherwise(F.lit(0)).alias(n) for n, flag in null_flags.items()]
     if row_id:
         extra.append(col(row_id).cast("long").alias("__first"))
+    return count_texts(unpivot_cells(df, cells, extra), list(null_flags))
+
+
+def count_texts(long: DataFrame, flags: list[str]) -> DataFrame:
+    """``text_counts`` of rows (slot, value, flags...), with the place of the cell as ``__first`` if it is known."""
     value, is_long = F.col("value"), F.col("long")
     keyed = (
-        unpivot_cells(df, cells, extra)
-        .withColumn("long", F.length(value) > LONG_CELL)
+        long.withColumn("long", F.length(value) > LONG_CELL)
         .withColumns({
             "key": F.when(is_long, F.sha2(value, 256)).otherwise(value),
             "long_forms": F.when(is_long, _forms(value)), "long_day": F.when(is_long, to_date(value))})
     )
-    first = F.min("__first") if row_id else F.lit(None).cast("long")
+    first = F.min("__first") if "__first" in long.columns else F.lit(None).cast("long")
     counts = keyed.groupBy("slot", "long", F.col("key").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), first.alias("first_row"), F.max("long_forms").alias("long_forms"),
-        F.max("long_day").alias("long_day"), *[F.sum(n).alias(n) for n in null_flags])
+        F.max("long_day").alias("long_day"), *[F.sum(n).alias(n) for n in flags])
     return counts.withColumns({
         "forms": F.when(is_long, F.col("long_forms")).otherwise(_forms(value)),
         "day": F.when(is_long, F.col("long_day")).otherwise(to_date(value))}).drop("long_forms", "long_day")
 
 
-def _whole_cells(df: DataFrame, cells: dict[int, Column], digests: list[tuple[int, str]]) -> dict[tuple[int, str], str]:
-    """Texts of a few digests: one scan of the columns concerned."""
+def whole_cells(long: DataFrame, digests: list[tuple[int, str]]) -> dict[tuple[int, str], str]:
+    """Texts of a few digests among rows (slot, value): one scan."""
     if not digests:
         return {}
-    slots = {slot for slot, _ in digests}
     found = (
-        unpivot_cells(df, {s: cells[s] for s in slots}).filter(F.length("value") > LONG_CELL)
+        long.filter(F.length("value") > LONG_CELL)
         .withColumn("digest", F.sha2("value", 256))
         .filter(F.col("digest").isin([d for _, d in digests]))
         .groupBy("slot", "digest").agg(F.min("value").alias("value")).collect())
@@ -143,8 +146,14 @@ def summarise_texts(
     becomes a group limit), so no task sees all values of a slot. Both branches use every column of
     the counts and meet in a union, so their plans agree and the shuffle of the counts is shared.
     """
-    counts = text_counts(df, cells, row_id, null_flags)
-    flags = list(null_flags or {})
+    def texts(digests: list[tuple[int, str]]) -> dict[tuple[int, str], str]:
+        return whole_cells(unpivot_cells(df, {s: cells[s] for s in {slot for slot, _ in digests}}), digests) if digests else {}
+
+    return summarise_counts(text_counts(df, cells, row_id, null_flags), top, texts, list(null_flags or {}))
+
+
+def summarise_counts(counts: DataFrame, top: int, whole_texts, flags: list[str]) -> dict[int, SlotSummary]:
+    """``summarise_texts`` from the value counts; ``whole_texts`` finds the texts of (slot, digest) pairs."""
     shares = [
         x for f in flags
         for x in (F.sum(f).alias(f), F.sum(F.col(f) * F.col(f) / F.col("n")).alias(f + "_s"))
@@ -161,7 +170,7 @@ def summarise_texts(
     best = ranked.groupBy("slot").agg(F.sort_array(F.collect_list("top")).alias("top"))
     rows = totals.unionByName(best, allowMissingColumns=True).collect()
     tops = {r.slot: r.top for r in rows if r.top is not None}
-    texts = _whole_cells(df, cells, [(slot, t.value) for slot, ts in tops.items() for t in ts if t.long])
+    texts = whole_texts([(slot, t.value) for slot, ts in tops.items() for t in ts if t.long])
     out: dict[int, SlotSummary] = {}
     for row in rows:
         if row.top is not None:

@@ -26,6 +26,8 @@ TASK_ROWS = (1 << 33) - 1
 _CELL = r'(?:[^"]++|"")*+'
 _REST = r"[^,]*+"
 _FIELDS = rf'(?:(?:"{_CELL}"{_REST}|[^",]{_REST}|),)*+'
+# one match for each field of a record but the last
+FIELD_END = rf'\G(?:"{_CELL}"{_REST}|[^",]{_REST}|),'
 _OPEN_AFTER_NONE = rf'\A{_FIELDS}"{_CELL}\z'
 _OPEN_AFTER_OPEN = rf'\A{_CELL}(?:\z|"{_REST},{_FIELDS}"{_CELL}\z)'
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,22 +43,28 @@ def unique_names(header: list[str]) -> list[str]:
     return names
 
 
-_OPTIONS = {"mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+CSV_OPTIONS = {"mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
             "emptyValue": "", "nullValue": ""}
 
 
 def _reader(spark: SparkSession, multi_line: bool):
-    return spark.read.options(**_OPTIONS, multiLine=multi_line)
+    return spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Addresses of the files under a path, in order."""
     return sorted(spark.read.text(path).inputFiles())
 
 
+def paths_of(files: list[str]) -> list[str]:
+    """Paths that can be read, of addresses in which some characters are escaped."""
+    return [unquote(f) for f in files]
+
+
 def _first_record(spark: SparkSession, files: list[str], multi_line: bool) -> tuple[int, list[str]]:
     """(number of its file, cells) of the first record; files without any record come before it."""
     for k, file in enumerate(files):
-        row = _reader(spark, multi_line).option("header", False).csv(file).first()
+        row = _reader(spark, multi_line).option("header", False).csv(unquote(file)).first()
         if row is not None and any(cell is not None for cell in row):
             cells = ["" if cell is None else cell for cell in row]
             return k, [cells[0].lstrip("\ufeff"), *cells[1:]]
@@ -91,15 +98,19 @@ def scan_csv(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def block_size(spark: SparkSession) -> int:
+    """Bytes of the largest part of a file that one task reads."""
+    size, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(size) << 10 * " kmgt".index(unit or " ")
+
+
 def _large_files(spark: SparkSession, files: list[str], block_bytes: int | None) -> list[str]:
     """Files of more than one block. Only their sizes are read."""
-    if block_bytes is None:
-        size, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
-        block_bytes = int(size) << 10 * " kmgt".index(unit or " ")
-    sizes = spark.read.format("binaryFile").load(files).where(F.col("length") > block_bytes).select("path")
+    limit = block_size(spark) if block_bytes is None else block_bytes
+    sizes = spark.read.format("binaryFile").load(paths_of(files)).where(F.col("length") > limit).select("path")
     plain = lambda f: re.sub("^file:/+", "file:/", f)
     found = {plain(r.path) for r in sizes.collect()}
-    return [f for f in files if plain(f) in found]
+    return [f for f in files if plain(unquote(f)) in found]
 
 
 def _scan_whole(spark, files: list[str], every: list[str], names: list[str], has_header: bool, header: list[str], multi_line: bool) -> DataFrame:
@@ -108,37 +119,37 @@ def _scan_whole(spark, files: list[str], every: list[str], names: list[str], has
     # Spark compares the names of every file with the schema, unless names had to be made up
     raw = (_reader(spark, multi_line).schema(schema).option("header", has_header)
            .option("enforceSchema", not has_header or names != header)
-           .option("columnNameOfCorruptRecord", _BAD).option("columnPruning", False).csv(files))
+           .option("columnNameOfCorruptRecord", _BAD).option("columnPruning", False).csv(paths_of(files)))
     in_file = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(TASK_ROWS))
     raw = with_file_row_id(raw, in_file, every)
     return raw.select(col(ROW_ID), *[fold_null_tokens(col(n)).alias(n) for n in names],
-                      F.coalesce(_fields(col(_BAD)) > len(names), F.lit(False)).alias(_BAD_FLAG))
+                      F.coalesce(field_count(col(_BAD)) > len(names), F.lit(False)).alias(_BAD_FLAG))
 
 
 def _scan_blocks(spark, files: list[str], every: list[str], names: list[str], has_header: bool, header: list[str],
                  block_bytes: int | None) -> DataFrame:
     """Cells of records that were found by blocks."""
-    records = split_records(spark, files, block_bytes)
+    records = split_records(spark, paths_of(files), block_bytes)
     # cells are parsed under made-up names; those of the header may hold any character
     schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{_BAD} string"])
-    cells = F.from_csv("text", schema, _OPTIONS | {"multiLine": "true", "columnNameOfCorruptRecord": _BAD})
+    cells = F.from_csv("text", schema, CSV_OPTIONS | {"multiLine": "true", "columnNameOfCorruptRecord": _BAD})
     parsed = records.withColumn("cells", cells)
     if has_header:
         if names == header:
             first = F.array(*[F.coalesce(F.col(f"cells.c{i}"), F.lit("")) for i in range(len(names))])
             odd = parsed.where("number = 0").where(
-                (F.regexp_replace(F.array_join(first, "\x00"), "^\ufeff", "") != "\x00".join(names)) | (_fields(F.col("text")) != len(names)))
+                (F.regexp_replace(F.array_join(first, "\x00"), "^\ufeff", "") != "\x00".join(names)) | (field_count(F.col("text")) != len(names)))
             other = odd.select("file").first()
             if other is not None:
                 raise ValueError(f"the header of {other.file} is not that of the first file: {names}")
         parsed = parsed.where("number > 0")
     position = F.col("number") - 1 if has_header else F.col("number")
-    bad = F.coalesce(_fields(F.col(f"cells.{_BAD}")) > len(names), F.lit(False))
+    bad = F.coalesce(field_count(F.col(f"cells.{_BAD}")) > len(names), F.lit(False))
     return with_file_row_id(parsed, position, every, F.col("file")).select(
         col(ROW_ID), *[fold_null_tokens(F.col(f"cells.c{i}")).alias(n) for i, n in enumerate(names)], bad.alias(_BAD_FLAG))
 
 
-def _fields(record: Column) -> Column:
+def field_count(record: Column) -> Column:
     """Number of fields of a record."""
     # possessive: a quoted cell of any length is passed in one step, without a stack frame per character
     unquoted = F.regexp_replace(record, '"(?:[^"]++|"")*+"', "")
@@ -208,7 +219,7 @@ def preview_csv(spark: SparkSession, path: str, has_header: bool = True, rows: i
     start, _ = _first_record(spark, files, multi_line)
     count = 1
     while True:
-        scan = scan_csv(spark, files[start:start + count], has_header, multi_line)
+        scan = scan_csv(spark, paths_of(files[start:start + count]), has_header, multi_line)
         top = preview(scan.filter(~F.col(_BAD_FLAG)).drop(_BAD_FLAG), rows)
         found = top.collect()                                   # at most ``rows`` rows
         if len(found) == rows or start + count >= len(files):

@@ -80,3 +80,11 @@ def test_header_only_and_preview(spark, tmp_path):
     assert read_csv(spark, str(path), block_bytes=2).df.count() == 0
     path.write_text("key,value\n" + '1,"a\nb"\n' * 100)
     assert preview_csv(spark, str(path)).count() == 20
+
+
+def test_names_with_odd_characters(spark, tmp_path):
+    for name in ("a b.csv", "ü+%41.csv"):
+        (tmp_path / name).write_text("k,v\n" + '1,"x\ny"\n' * 30)
+    whole = rows_of(scan_csv(spark, str(tmp_path)))
+    assert len({r[0] for r in whole}) == 60 and rows_of(scan_csv(spark, str(tmp_path), block_bytes=64)) == whole
+    assert preview_csv(spark, str(tmp_path / "a b.csv")).count() == 20
