@@ -25,12 +25,19 @@ WINDOW = 64
 BLOCK = 4096
 FOLDS = 5
 UNKNOWN = "und"
-# training rows per language: those with the smallest hash of their id; windows taken from all of them
+# the sample: training rows per language, those with the smallest hash of their id, and windows that
+# are drawn from them, evenly over the languages
 SAMPLE_ROWS = 400
 SAMPLE_WINDOWS = 6_000
 STEPS = 260
 
-_LETTER = re.compile(r"[^\W\d_]")
+# candidates for letters; numerals such as "²" and "Ⅷ" are among them and are told apart one by one
+_WORD_SIGN = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of one of Unicode's letter classes."""
+    return any(m.group().isalpha() for m in _WORD_SIGN.finditer(text))
 
 
 @dataclass
@@ -189,7 +196,7 @@ def predict(model: Model, texts: list[str | None], window: int = WINDOW, block:
     A text that is null or has no letter is ``und`` with score 0, and so is any text if no language was learned.
     """
     known = len(model.languages)
-    readable = [bool(t and known and _LETTER.search(t)) for t in texts]
+    readable = [bool(t and known and has_letter(t)) for t in texts]
     sums = np.zeros((max(known, 1), len(texts)))
     if known:
         flat, length, owner = windows_of([t if ok else None for t, ok in zip(texts, readable)], window)
@@ -213,11 +220,12 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
     """Model trained on rows of ``docs`` (doc_id, text, lang) outside the held-out fold with a language.
 
-    At most ``sample_rows`` rows per language are gathered in one task, the ones with the smallest
-    hash of their id; this is the only bound. Rows without id, language or letters teach nothing.
+    The sample has two bounds: at most ``sample_rows`` rows per language are gathered in one task, the
+    ones with the smallest hash of their id, and of all their windows at most ``sample_windows``, drawn
+    evenly over the languages, are learned from. Rows without id, language or letters teach nothing.
     """
     usable = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     key = F.xxhash64("doc_id")
@@ -235,9 +243,9 @@ def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((lang, text) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        rows = [r for r in rows if _LETTER.search(r[1])]
+        rows = [r for r in rows if has_letter(r[1])]
         if rows:
-            model = train([r[1] for r in rows], [r[0] for r in rows])
+            model = train([r[1] for r in rows], [r[0] for r in rows], limit=sample_windows)
             parts = model.parts()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(parts)), pa.int32()), pa.array([p.ravel() for p in parts], pa.list_(pa.float32())),

@@ -111,6 +111,48 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.held_out == in_fold(i, 5) for i, r in rows.items())
 
 
+def test_letters():
+    assert not any(map(L.has_letter, ["", "² ½", "Ⅷ ①", "12 _ ٣", "!? 日"[:3], "\u0301"]))
+    assert all(map(L.has_letter, ["a", "² ª", "日", "12é", "\u02b0"]))
+    model = L.train(["the cat and the dog"] * 9 + ["der Hund und die Katze"] * 9, ["en"] * 9 + ["de"] * 9, steps=3)
+    assert L.predict(model, ["² ½", "Ⅷ ①", None, ""])[0] == ["und"] * 4 and L.predict(model, ["² ½"])[1].tolist() == [0.0]
+
+
+def slow_predict(model, text, window):
+    """One position after the other: both recurrent layers, the label of each octet, and their mean."""
+    octets, total = text.lower().encode("utf-8", "surrogatepass"), np.zeros(len(model.languages))
+    for at in range(0, len(octets), window):
+        part = octets[at:at + window]
+        layers = []
+        for table, recurrent, order in zip(model.tables, model.recurrent, (range(len(part)), reversed(range(len(part))))):
+            states = recurrent.shape[1]
+            h, found = np.zeros(states), {}
+            for t in order:
+                x, m = table[:, part[t]].astype(float), recurrent.astype(float) @ h
+                z = np.clip((x[:states] + m[:states]) * 0.25 + 0.5, 0, 1)
+                r = np.clip((x[states:2 * states] + m[states:2 * states]) * 0.25 + 0.5, 0, 1)
+                c = x[2 * states:] + r * m[2 * states:]
+                h = z * h + (1 - z) * c / (1 + np.abs(c))
+                found[t] = h
+            layers.append(found)
+        for t in range(len(part)):
+            scores = model.out.astype(float) @ np.concatenate([layers[0][t], layers[1][t]]) + model.bias[:, 0]
+            share = np.exp(scores - scores.max())
+            total += share / share.sum()
+    return model.languages[int(total.argmax())], total.max() / total.sum()
+
+
+def test_predictions_against_a_loop_over_positions():
+    rng = random.Random(2)
+    texts = ["the cat and the dog of this house", "der Hund und die Katze von dem Haus", "le chat et le chien de la maison"]
+    model = L.train(texts * 5, ["en", "de", "fr"] * 5, steps=40, window=16)
+    many = [" ".join(rng.choices(" ".join(texts).split(), k=k)) + rng.choice(["", " é日", "!"]) for k in (1, 2, 5, 30, 60)]
+    names, scores = L.predict(model, many, window=16, block=7)
+    for text, name, score in zip(many, names, scores):
+        want, share = slow_predict(model, text, 16)
+        assert name == want and abs(score - share) < 1e-4
+
+
 def test_language_of_hard_rows(hard, empty, spark):
     texts = [("the cat and the dog of this house", "en"), ("der Hund und die Katze von dem Haus", "de")] * 20
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id bigint, text string, lang string")
