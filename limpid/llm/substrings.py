@@ -95,8 +95,9 @@ def _listed(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
 
 def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The wanted super-k-mers with their words: (minimiser, part, parts, doc_id, digest, first, packed)."""
+    # a set: copies of one row list the same cuts, and a document's own are bounded by its length
     lists = wanted.groupBy("doc_id", "digest").agg(
-        F.collect_list(F.struct("minimiser", "part", "parts", "first", "windows")).alias("cuts"))
+        F.collect_set(F.struct("minimiser", "part", "parts", "first", "windows")).alias("cuts"))
     target = pa.schema([("minimiser", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()),
                         ("digest", pa.int64()), ("first", pa.int32()), ("packed", pa.binary())])
 

@@ -170,3 +170,15 @@ def test_super_kmers_cover_every_window_once(text, window, minimiser):
             assert same.setdefault(tuple(words[at:at + window]), k) == k
     if len(set(words)) == 1 and n > window:
         assert len(first) <= n // (window - size + 1) + 1
+
+
+def test_many_copies_of_a_row_list_their_cuts_once(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(7, text)] * 300 + [(3, text + " tail"), (9, "head " + text)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.removal_counts(docs).collect()}
+    assert found == {(7, 200, 200), (3, 201, 0), (9, 201, 200)}
+    keyed = docs.selectExpr("doc_id", "xxhash64(text) AS digest", "text")
+    listed = substrings._listed(keyed, 50, 8).selectExpr("*", "0 AS part", "1 AS parts")
+    packed = substrings._packed(keyed, listed, 50).where("doc_id = 7").count()
+    assert packed == listed.where("doc_id = 7").distinct().count() < 50
