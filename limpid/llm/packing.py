@@ -217,12 +217,13 @@ def best_two_fit(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndar
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.
 
-    Pieces are dealt over groups by a hash of id, piece and the rest of the row; the number of groups
-    follows the number of pieces, so a group never grows with the table.
+    Pieces are dealt over groups by a hash of id, piece, the rest of the row and its place in the
+    table, so equal rows spread as well; the number of groups follows the number of pieces, so a group never
+    grows with the table.
     """
     short = pieces.where(F.col("length") < sequence).count()
     groups = max(1, -(-short // group_pieces))
-    mixed = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    mixed = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id bigint, offset bigint"
     # groups use the upper part of the number, full pieces a number of their own below zero
     full = (pieces.where(F.col("length") == sequence)

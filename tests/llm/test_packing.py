@@ -91,3 +91,47 @@ def test_added_tokens_keep_the_ids_of_the_file(spark):
     found = {r.doc_id: list(r.ids) for r in K.packed_documents(docs, PATH, with_ids=True).collect()}
     assert found == {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
     assert found[len(ODD)][:-1] == [320, 49407, 321]
+
+
+def test_equal_pieces_spread_over_groups(spark):
+    rows = spark.range(0, 60_000, 1, 6).selectExpr(
+        "7L AS doc_id", "0 AS piece", "0L AS start", "100L AS length", "5L AS ids_crc32")
+    packed = K.pack(rows, group_pieces=20_000)
+    sizes = sorted(r["count"] for r in packed.groupBy((packed.sequence_id / 2 ** 32).cast("int").alias("g")).count().collect())
+    assert len(sizes) == 3 and sizes[-1] < 25_000 and sum(sizes) == 60_000
+
+
+def slow_best_two_fit(lengths, size):
+    """Lengths of the pieces of each bin; the same rule over a plain list."""
+    waiting, bins = sorted(lengths, reverse=True), []
+    while waiting:
+        inside, gap = [], size
+        while any(n <= gap for n in waiting):
+            inside.append(max(n for n in waiting if n <= gap))
+            waiting.remove(inside[-1])
+            gap -= inside[-1]
+        if gap and len(inside) > 1 and waiting:
+            room, best = gap + inside[-1], None
+            for i, a in enumerate(waiting):
+                for b in waiting[i + 1:]:
+                    if inside[-1] < a + b <= room and (best is None or a + b > sum(best)):
+                        best = (a, b)
+            if best:
+                waiting.append(inside.pop())
+                for n in best:
+                    waiting.remove(n)
+                    inside.append(n)
+        bins.append(sorted(inside))
+    return bins
+
+
+def test_against_a_slow_search():
+    rng = random.Random(6)
+    for _ in range(200):
+        size = rng.choice([10, 17, 40])
+        lengths = [rng.randint(1, size) for _ in range(rng.randint(1, 25))]
+        bins, _ = K.best_two_fit(np.array(lengths), size)
+        first, slow = sorted(n for n, b in zip(lengths, bins) if b == 0), slow_best_two_fit(lengths, size)
+        # ties between pairs of one sum may go either way, so bins agree in what they hold, the first one exactly
+        assert sum(first) == sum(slow[0])
+        assert abs(len(set(bins.tolist())) - len(slow)) <= 1
