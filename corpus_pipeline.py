@@ -18,9 +18,13 @@ from limpid.session import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a language: those without any letter, or without text, go."""
+    """Documents in a language, with the predicted one as their ``lang``: those without any letter, or without text, go.
+
+    Repeated rows stay, and a null id is kept as it is.
+    """
     found = with_language(docs, fit_language(docs), to="__lang", score="__score")
-    return found.where(F.col("__lang") != UNKNOWN).select(*[docs[c] for c in docs.columns])
+    return found.where(F.col("__lang") != UNKNOWN).select(
+        *[F.col("__lang").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
