@@ -16,6 +16,19 @@ def test_stages_on_hard_rows(spark, hard):
     assert all(r.text and any(c.isalpha() for c in r.text) for r in left) and len(left) == 15
 
 
+def test_the_language_stage_follows_its_model(spark, hard, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    right = C.language_id(spark, docs, "")
+    given = {(r.doc_id, r.lang) for r in docs.collect()}
+    found = [(r.doc_id, r.lang) for r in right.collect()]
+    assert sum(x in given for x in found) > 0.9 * len(found)
+    swapped = C.fit_language(docs)
+    swapped.languages = swapped.languages[1:] + swapped.languages[:1]
+    monkeypatch.setattr(C, "fit_language", lambda _: swapped)
+    other = [(r.doc_id, r.lang) for r in C.language_id(spark, docs, "").collect()]
+    assert len(other) == len(found) and not set(other) & set(found)
+
+
 def test_whole_run(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
