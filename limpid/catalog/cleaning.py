@@ -24,6 +24,7 @@ from limpid.plans.compare import compare_plans, impact_labels, total_changes
 from limpid.plans.edit import apply_renames, merge_edit, patch_column, patch_duplicates, set_outlier_strategy
 from limpid.plans.model import ColumnRule, MissingRule, Plan
 from limpid.plans.rules import build_plan, plan_frame
+from limpid.run import clean
 from limpid.session import stage
 from limpid.sources.tables import preview
 
@@ -399,6 +400,14 @@ def change_report_query(spark, folder):
     return change_report(df, after, "row_no").withColumn("columns_removed", F.array_join("columns_removed", ","))
 
 
+@query("change_report_written", with_views("d_orders", f"""WITH {_APPLIED}, b AS (SELECT count(*) AS k FROM d_orders), a AS (SELECT count(*) AS k FROM cleaned)
+SELECT b.k AS rows_before, a.k AS rows_after, b.k - a.k AS rows_dropped, 'o_totalprice' AS columns_removed FROM a, b"""))
+def change_report_written(spark, folder):
+    """The same from counts that were taken while the table was read and written."""
+    done = clean(view(spark, folder, "d_orders"), _order_plan(spark, folder), row_id="row_no")
+    return done.changes.withColumn("columns_removed", F.array_join("columns_removed", ","))
+
+
 _AFTER_TEXTS = ("o_orderstatus", "o_orderdate", "order_day", "o_orderpriority")
 _AFTER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "price_scaled", "o_orderdate", "order_day", "o_orderpriority")
 

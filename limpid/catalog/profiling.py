@@ -15,6 +15,11 @@ from limpid.functions.constants import PATTERNS
 from limpid.operators import eda
 from limpid.operators.profile import profile_table, with_sentinel_tables
 from limpid.operators.score import score_frame, score_report
+from limpid.operators.sketches import (
+    column_sketches, distinct_error, merged_sketches, rank_error, sketched_distinct, sketched_quantiles,
+)
+from limpid.operators.values import unpivot_cells
+from limpid.session import stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -441,3 +446,44 @@ SELECT n AS total_rows, {len(COLUMNS['d_orders'])} AS total_columns, dups AS dup
 def summary_figures(spark, folder):
     profile = profile_of(spark, folder, "d_orders")
     return eda.summary_figures(profile.table_frame(spark), score_frame(spark, score_report(profile)))
+
+
+# --- sketches ---------------------------------------------------------------------------------
+
+_SKETCHED = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PROBABILITIES = [0.01, 0.25, 0.5, 0.75, 0.99]
+_COUNTED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+
+
+def _stored_sketches(spark, folder, columns):
+    """Sketches of eight parts of the table, stored and then merged, as those of eight files would be."""
+    parts = column_sketches(table(spark, folder, "lineitem"), F.expr("pmod(l_orderkey, 8)"), columns)
+    return merged_sketches(stage(parts, "sketches"))
+
+
+@query("sketch_quantiles", sql_union([
+    f"""SELECT '{c}' AS "column", p, count({c}) AS numbers, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, true AS within
+FROM lineitem, (SELECT CAST(unnest({_PROBABILITIES}) AS DOUBLE) AS p) GROUP BY p""" for c in _SKETCHED]))
+def sketch_quantiles(spark, folder):
+    """Merged quantile sketches; ``within`` tells whether the rank of each quantile, counted exactly, keeps the stated bound."""
+    sketches = _stored_sketches(spark, folder, _SKETCHED).cache()
+    found = sketched_quantiles(sketches, _PROBABILITIES)
+    cells = unpivot_cells(table(spark, folder, "lineitem"), {i: F.col(c).cast("double") for i, c in enumerate(_SKETCHED)})
+    named = cells.select(F.get(F.array(*[F.lit(c) for c in _SKETCHED]), F.col("slot")).alias("column"), F.col("value").alias("cell"))
+    ranked = named.join(F.broadcast(found), "column").groupBy("column", "p").agg(
+        F.count("cell").alias("n"), F.count_if(F.col("cell") < F.col("value")).alias("below"),
+        F.count_if(F.col("cell") <= F.col("value")).alias("upto"))
+    off = F.greatest(F.col("below") / F.col("n") - F.col("p"), F.col("p") - F.col("upto") / F.col("n"))
+    return ranked.join(sketches, "column").select("column", "p", "numbers", "low", "high", (off <= rank_error()).alias("within"))
+
+
+@query("sketch_distinct", sql_union([
+    f"""SELECT '{c}' AS "column", count({c}) AS filled, count(DISTINCT {c}) AS exact, true AS within FROM lineitem""" for c in _COUNTED]))
+def sketch_distinct(spark, folder):
+    """Merged distinct-count sketches beside the exact numbers."""
+    lineitem = table(spark, folder, "lineitem")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in _COUNTED])
+    exact = lineitem.select(F.explode(cells).alias("c")).groupBy("c.column").agg(F.count_distinct("c.value").alias("exact"))
+    found = sketched_distinct(_stored_sketches(spark, folder, _COUNTED)).join(exact, "column")
+    off = F.abs(F.col("estimate") - F.col("exact")) / F.col("exact")
+    return found.select("column", "filled", "exact", (off <= distinct_error()).alias("within"))

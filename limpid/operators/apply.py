@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.functions.coerce import col
@@ -39,10 +39,11 @@ class Applied:
     dropped_columns: list[str] = field(default_factory=list)
 
 
-def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID, coerce_sentinels: bool = False) -> Applied:
+def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID, coerce_sentinels: bool = False, approx: bool = False) -> Applied:
     """Cleaned frame for a plan. Plan columns that are not in the frame are skipped.
 
     ``coerce_sentinels`` also lets a number in a sentinel list match a text cell with that number.
+    ``approx`` takes medians from sketches.
     """
     plan.checked()
     row_id = row_id if row_id in df.columns else None
@@ -70,7 +71,7 @@ def apply_plan(df: DataFrame, plan: Plan, row_id: str | None = ROW_ID, coerce_se
 
     # 5
     strategies = {n: r.missing_values.strategy for n, r in rules.items() if r.missing_values}
-    stats = steps.fill_statistics(df, {n: s for n, s in strategies.items() if s in ("median", "mean", "mode")})
+    stats = steps.fill_statistics(df, {n: s for n, s in strategies.items() if s in ("median", "mean", "mode")}, approx)
     changes = {}
     for name, strategy in strategies.items():
         filled = steps.fill_expression(df, name, strategy, stats.get(name), rules[name].missing_values.value)
@@ -192,6 +193,25 @@ def _recast_integers(df: DataFrame, rules: dict) -> DataFrame:
     return steps.replace_columns(df, {n: col(n).cast("bigint") for n in names if not unfit[n]})
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and the number of its rows, counted by whatever reads all of it first."""
+    counted = Observation()
+    return df.observe(counted, F.count(F.lit(1)).alias("rows")), counted
+
+
+def observed_rows(counted: Observation, df: DataFrame) -> int:
+    """What ``counted`` saw; ``df`` is counted only if the optimiser found nothing in it to read."""
+    found = counted.get.get("rows")
+    return df.agg(F.count(F.lit(1))).first()[0] if found is None else found
+
+
+def written_change_report(spark: SparkSession, rows_before: int, rows_after: int, before: list[str], after: list[str]) -> DataFrame:
+    """``change_report`` of a table that was written, from counts taken on the way; no job is started."""
+    gone = sorted(set(before) - set(after))
+    return spark.createDataFrame([(rows_before, rows_after, rows_before - rows_after, gone)],
+                                 "rows_before long, rows_after long, rows_dropped long, columns_removed array<string>")
+
+
 def change_report(before: DataFrame, after: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
     """Rows before and after, and the columns that are gone (renamed or dropped)."""
     gone = sorted(set(data_columns(before, row_id)) - set(data_columns(after, row_id)))

@@ -16,6 +16,7 @@ from limpid.functions.coerce import (
 from limpid.functions.quantiles import exact_quantiles
 from limpid.operators.duplicates import count_duplicates
 from limpid.operators.missingness import Association, chi_square, first_associations, point_biserial
+from limpid.operators.sketches import approximate_quantiles
 from limpid.operators.values import SlotSummary, first_cells, number_moments, summarise_texts, unpivot_cells, value_counts
 from limpid.session import aggregate_in_groups, count_rows, kept_if_small, stage
 from limpid.sources.tables import ROW_ID, data_columns
@@ -201,21 +202,24 @@ def histogram_edges(low: float, high: float) -> list[float]:
 
 
 def profile_table(
-    df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID, missingness: bool = False
+    df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID, missingness: bool = False, approx: bool = False
 ) -> TableProfile:
     """Profile every column of ``df``.
 
     ``row_id`` names a long column that orders the rows; it is not profiled and only breaks ties.
     With ``missingness`` the value counts also feed the missing-at-random test, so that test needs
-    no shuffle of its own.
+    no shuffle of its own. With ``approx`` medians and quartiles, and the fences that follow from them,
+    come from one scan into sketches (``sketches.rank_error``) instead of the exact search.
     """
     row_id = row_id if row_id in df.columns else None
     rows = count_rows(df)
     with kept_if_small(df, rows, len(df.columns)) as kept:
-        return _profile(kept, rows, malformed_rows, row_id, missingness)
+        return _profile(kept, rows, malformed_rows, row_id, missingness, approx)
 
 
-def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None, missingness: bool) -> TableProfile:
+def _profile(
+    df: DataFrame, rows: int, malformed_rows: int, row_id: str | None, missingness: bool, approx: bool = False
+) -> TableProfile:
     """Three strands of jobs that do not wait for each other: numbers, texts, duplicates."""
     cells = _cells(df, row_id)
     with ThreadPoolExecutor(3) as pool:
@@ -230,7 +234,7 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
         texts = pool.submit(_summaries, df, cells, nulls, row_id, missingness)
         native = [c for c in cells if c.storage in ("int", "float", "timestamp")]
         profiles = {c.name: _start_profile(c, rows, nulls[c.slot]) for c in cells}
-        numbers = pool.submit(_numeric_profiles, df, native, base, moments, profiles)
+        numbers = pool.submit(_numeric_profiles, df, native, base, moments, profiles, approx)
         summaries = texts.result()
         invalid = inconsistent = 0
         for c in cells:
@@ -242,7 +246,7 @@ def _profile(df: DataFrame, rows: int, malformed_rows: int, row_id: str | None,
             base |= {f"from{c.slot}": summaries[c.slot].first_date for c in parsed}
             base |= {f"to{c.slot}": summaries[c.slot].last_date for c in parsed}
             in_text = number_moments(df, {c.slot: c.number for c in parsed if summaries[c.slot].numbers})
-            _numeric_profiles(df, parsed, base, in_text, profiles)
+            _numeric_profiles(df, parsed, base, in_text, profiles, approx)
         _text_samples(df, cells, profiles, row_id)
         numbers.result()
         copies = duplicates.result()
@@ -324,7 +328,7 @@ def _summaries(
 
 
 def _numeric_profiles(
-    df: DataFrame, cells: list[_Cells], base: dict, moments: dict, profiles: dict[str, ColumnProfile]
+    df: DataFrame, cells: list[_Cells], base: dict, moments: dict, profiles: dict[str, ColumnProfile], approx: bool = False
 ) -> None:
     """Moments, quartiles, fences, histogram and repeated extremes of numeric and date columns."""
     chosen: dict[str, _Cells] = {}
@@ -338,7 +342,9 @@ def _numeric_profiles(
     if not chosen:
         return
     ranges = {n: (moments[c.slot].n, moments[c.slot].low, moments[c.slot].high) for n, c in chosen.items()}
-    quartiles = exact_quantiles(df, {n: c.number for n, c in chosen.items()}, ranges, [0.25, 0.5, 0.75])
+    numbers = {n: c.number for n, c in chosen.items()}
+    quarters = [0.25, 0.5, 0.75]
+    quartiles = approximate_quantiles(df, numbers, quarters) if approx else exact_quantiles(df, numbers, ranges, quarters)
 
     bounds: dict[str, tuple[float, float]] = {}
     edges: dict[str, list[float]] = {}

@@ -17,6 +17,7 @@ from limpid.functions.coerce import (
 )
 from limpid.functions.constants import CAST_LOSS_LIMIT
 from limpid.functions.quantiles import exact_quantiles
+from limpid.operators.sketches import approximate_quantiles
 from limpid.operators.values import modes, number_moments
 from limpid.session import count_rows
 from limpid.sources.tables import ROW_ID
@@ -98,11 +99,12 @@ def cast_expression(c: Column, kind: str, target: str, exact_integers: bool = Fa
     return c
 
 
-def fill_statistics(df: DataFrame, strategies: dict[str, str]) -> dict[str, dict]:
+def fill_statistics(df: DataFrame, strategies: dict[str, str], approx: bool = False) -> dict[str, dict]:
     """Mean, median or mode of the columns to fill, with their null counts.
 
     One scan serves all columns; medians add the bounded-memory quantile search and modes
-    one count of values. ``nulls`` counts cells that are null after coercion to a number.
+    one count of values. ``nulls`` counts cells that are null after coercion to a number. With
+    ``approx`` medians come from one scan into sketches.
     """
     numeric = {n: s for n, s in strategies.items() if s in ("median", "mean")}
     expressions = {n: to_number(col(n), storage(df, n)) for n in numeric}
@@ -117,7 +119,8 @@ def fill_statistics(df: DataFrame, strategies: dict[str, str]) -> dict[str, dict
             ranges[name] = (m.n, m.low, m.high)
     # a median is only needed where a cell is empty
     ranges = {n: r for n, r in ranges.items() if out[n]["nulls"]}
-    medians = exact_quantiles(df, {n: expressions[n] for n in ranges}, ranges, [0.5])
+    wanted = {n: expressions[n] for n in ranges}
+    medians = approximate_quantiles(df, wanted, [0.5]) if approx else exact_quantiles(df, wanted, ranges, [0.5])
     for name in ranges:
         out[name]["value"] = medians.get(name, {}).get(0.5)
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.operators.apply import Applied, apply_plan
+from limpid.operators.apply import Applied, apply_plan, observed, observed_rows, written_change_report
 from limpid.operators.impact import Strategies, drop_flags, drop_impact, patterns_of_flags
 from limpid.operators.many import address_of, profile_files
 from limpid.operators.masks import impact_of_masks
@@ -22,7 +22,7 @@ from limpid.plans.rules import build_plan
 from limpid.session import stage
 from limpid.sources.csv import preview_csv, read_csv
 from limpid.sources.ledger import Ledger, file_event, run_event
-from limpid.sources.tables import ROW_ID, write_cleaned
+from limpid.sources.tables import ROW_ID, data_columns, write_cleaned
 
 
 @dataclass
@@ -40,22 +40,30 @@ def analyse(df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID)
 
 @dataclass
 class Cleaned:
+    """A written table; ``changes`` is its row of ``change_report``."""
+
     applied: Applied
     path: str | None
     scores: dict
+    changes: DataFrame | None = None
 
 
 def clean(df: DataFrame, plan: Plan, zone: str | None = None, file_id: str = "table", run_id: str = "run",
           row_id: str | None = ROW_ID) -> Cleaned:
     """Apply a plan, write the cleaned table, and score it.
 
-    The result is staged once as parquet; the CSV sink and the second profile both read that.
+    The result is staged once as parquet; the CSV sink and the second profile both read that. Rows
+    before and after are counted by the passes that read and write them anyway.
     """
-    applied = apply_plan(df, plan, row_id)
-    applied.df = stage(applied.df, "cleaned")
+    source, before = observed(df)
+    applied = apply_plan(source, plan, row_id)
+    result, after = observed(applied.df)
+    applied.df = stage(result, "cleaned")
+    changes = written_change_report(
+        df.sparkSession, observed_rows(before, df), observed_rows(after, applied.df), data_columns(df, row_id), data_columns(applied.df, row_id))
     path = write_cleaned(applied.df, zone, file_id, run_id) if zone else None
     profile = profile_table(applied.df, row_id=row_id)
-    return Cleaned(applied, path, score_report(profile, {n: asdict(o) for n, o in plan.outliers.items()}))
+    return Cleaned(applied, path, score_report(profile, {n: asdict(o) for n, o in plan.outliers.items()}), changes)
 
 
 def analyse_file(spark: SparkSession, ledger: Ledger, path: str, user_id: str = "", has_header: bool = True,
