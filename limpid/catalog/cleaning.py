@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from limpid.operators.score import score_frame, score_report
 from limpid.operators.transforms import trial_transform
 from limpid.plans.compare import compare_plans, impact_labels, total_changes
 from limpid.plans.edit import apply_renames, merge_edit, patch_column, patch_duplicates, set_outlier_strategy
+from limpid.plans.frames import effective_plans, plan_columns, planned_columns
 from limpid.plans.model import ColumnRule, MissingRule, Plan
 from limpid.plans.rules import build_plan, plan_frame
 from limpid.run import clean
@@ -112,6 +115,58 @@ def plan_rules_customer(spark, folder):
     return _plan_rows(spark, folder, "d_customer")
 
 
+def profile_rows(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    """Column frames of several profiles, with the name and the rows of their table."""
+    parts = []
+    for name in names:
+        profile = profile_of(spark, folder, name, missingness=True)
+        dependent = [a.column for a in profile.associations or []]
+        parts.append(profile.column_frame(spark).withColumns({
+            "table": F.lit(name), "total_rows": F.lit(profile.total_rows), "dependent": F.col("column").isin(dependent)}))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("plan_rules_frame", with_views("d_orders d_customer", sql_union([f"SELECT '{v}' AS \"table\", * FROM ({_plan_sql(v)})" for v in ("d_orders", "d_customer")])))
+def plan_rules_frame(spark, folder):
+    """The rules as expressions over the profiles of both tables."""
+    planned = planned_columns(profile_rows(spark, folder, ("d_orders", "d_customer")))
+    return planned.select("table", "column", "type", "nullable", "strategy", F.col("fill_count").alias("null_count"),
+                          "normalize", "outlier_strategy", "outlier_count")
+
+
+_BOTH_PLANS = f"""WITH plans AS (SELECT 'generated' AS source, * FROM ({_plan_sql('d_orders')}) UNION ALL
+  SELECT 'approved', * FROM ({_plan_sql('d_customer')})),
+uses AS (SELECT CASE WHEN run_id % 3 = 0 THEN 'approved' ELSE 'generated' END AS source, count(*) AS runs FROM runs WHERE run_id % 5 <> 4 GROUP BY 1)"""
+
+
+@query("ledger_plan_rules", with_views("d_orders d_customer runs", f"""{_BOTH_PLANS}
+SELECT source, type, coalesce(strategy, 'none') AS strategy, CAST(sum(runs) AS BIGINT) AS columns, CAST(sum(runs * coalesce(outlier_count, 0)) AS BIGINT) AS outliers
+FROM plans JOIN uses USING (source) GROUP BY ALL"""))
+def ledger_plan_rules(spark, folder):
+    """Rules over the stored plans of all runs: approved ones, or else generated ones; some runs have none."""
+    columns = plan_columns(effective_plans(_runs_with_plans(spark, folder)))
+    return columns.groupBy("source", "type", F.coalesce("strategy", F.lit("none")).alias("strategy")).agg(
+        F.count("column").alias("columns"), F.sum(F.coalesce("outlier_count", F.lit(0))).alias("outliers"))
+
+
+@query("ledger_report_sections", with_views("d_orders runs", """SELECT CASE WHEN run_id % 3 = 0 THEN 'approved' ELSE 'generated' END AS source, count(*) AS runs,
+  count(*) AS with_report, (SELECT count(*) FROM d_orders) AS total_rows FROM runs WHERE run_id % 5 <> 4 GROUP BY 1"""))
+def ledger_report_sections(spark, folder):
+    """The report section of a run's plan; an approved plan without one has that of the generated plan."""
+    plans = effective_plans(_runs_with_plans(spark, folder))
+    rows = F.try_variant_get("plan._eda", "$.total_rows", "bigint")
+    return plans.groupBy("source").agg(F.count("run_id").alias("runs"), F.count(rows).alias("with_report"), F.max(rows).alias("total_rows"))
+
+
+def _runs_with_plans(spark, folder) -> DataFrame:
+    """The runs with plan texts: every third is approved with another plan and without a report section, every fifth has none."""
+    generated, approved = (plan_of(spark, folder, v) for v in ("d_orders", "d_customer"))
+    approved.eda = None
+    return view(spark, folder, "runs").select(
+        "run_id", F.when(F.col("run_id") % 5 != 4, F.lit(generated.to_json())).alias("plan_generated"),
+        F.when((F.col("run_id") % 3 == 0) & (F.col("run_id") % 5 != 4), F.lit(approved.to_json())).alias("plan_approved"))
+
+
 _MIXED_SAMPLE = ("(SELECT string_agg('''' || v || '''', ', ' ORDER BY row_no) FROM (SELECT acct_mixed AS v, row_no FROM d_customer "
                  f"WHERE acct_mixed IS NOT NULL AND {sql_number('acct_mixed')} IS NULL ORDER BY row_no LIMIT 3))")
 
