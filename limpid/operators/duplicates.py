@@ -38,9 +38,10 @@ def drop_duplicates(
 ) -> DataFrame:
     """Keep one row per group of equal rows.
 
-    Over all columns the copies are interchangeable, so one grouping with map-side combine does
-    it. Over a subset the kept row is chosen by ``row_id``; every task first reduces its rows to
-    one per key (group limit), so a hot key sends one row per task.
+    Over all columns rows are compared by their 128-bit key, and only the row ids of copies meet the
+    rows again: whole rows are shuffled only if the copies are too many to be sent to every task. Without a
+    row id one grouping over all columns does it. Over a subset the kept row is chosen by ``row_id``;
+    every task first reduces its rows to one per key (group limit), so a hot key sends one row per task.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
@@ -49,9 +50,7 @@ def drop_duplicates(
         columns = data_columns(df, row_id)
         if not has_id:
             return df.dropDuplicates()
-        pick = F.min if keep == "first" else F.max
-        kept = df.groupBy(*[col(c) for c in columns]).agg(pick(col(row_id)).alias(row_id))
-        return kept.select(*[col(c) for c in df.columns])
+        return df.join(copy_ids(df, columns, keep, row_id), row_id, "left_anti").select(*[col(c) for c in df.columns])
     missing = [c for c in subset if c not in df.columns]
     if missing:
         raise ValueError(f"duplicate subset names unknown columns {missing}")
@@ -65,6 +64,15 @@ def drop_duplicates(
     return ranked.filter(F.col("__rank") <= 1).drop("__rank")
 
 
+def copy_ids(df: DataFrame, columns: list[str], keep: str = "first", row_id: str = ROW_ID) -> DataFrame:
+    """Row ids of all rows that are equal in ``columns`` to the one of their group that is kept."""
+    pick = F.min if keep == "first" else F.max
+    keyed = df.select(col(row_id), row_key(df, columns).alias("__key"))
+    groups = (keyed.groupBy("__key").agg(pick(col(row_id)).alias("__kept"), F.count(F.lit(1)).alias("__n"))
+              .where("__n > 1").select("__key", "__kept"))
+    return keyed.join(groups, "__key").where(col(row_id) != F.col("__kept")).select(col(row_id))
+
+
 def mark_copies(keyed: DataFrame, flag: str, row_id: str = ROW_ID) -> DataFrame:
     """Replace ``__key`` (see ``row_key``) by ``flag``: true for every row of a key but the first.
 

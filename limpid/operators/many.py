@@ -108,7 +108,7 @@ class ManyProfiles:
             "key", "operation", (F.col("row") + 1).alias("number")), ["key"])
 
 
-def profile_files(spark: SparkSession, paths: Iterable[str], has_header: bool = True) -> ManyProfiles:
+def profile_files(spark: SparkSession, paths: Iterable[str], has_header: bool = True, lasting: str | None = None) -> ManyProfiles:
     """Profile every CSV file under ``paths``, each with its own header, by its ``plain_path``.
 
     A file without any record has no profile.
@@ -127,7 +127,7 @@ def profile_files(spark: SparkSession, paths: Iterable[str], has_header: bool =
         F.count("number").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.avg("number").alias("mean"),
         F.stddev_samp("number").alias("std"), F.stddev_pop("number").alias("std_pop")).collect()}
     totals = _column_profiles(files, summaries)
-    _numbers(cells, files, moments, summaries)
+    _numbers(cells, files, moments, summaries, lasting)
     _samples(cells, files)
     for r in typed.groupBy("file_no", "row_key").count().groupBy("file_no").agg(F.sum(F.col("count") - 1).alias("n")).collect():
         files[r.file_no].copies = r.n
@@ -256,7 +256,7 @@ def _column_profiles(files: list[_File], summaries: dict[int, SlotSummary]) -> d
     return totals
 
 
-def _numbers(cells: DataFrame, files: list[_File], moments: dict, summaries: dict[int, SlotSummary]) -> None:
+def _numbers(cells: DataFrame, files: list[_File], moments: dict, summaries: dict[int, SlotSummary], lasting: str | None = None) -> None:
     """Quartiles, fences, histograms and repeated extremes of all numeric and date columns."""
     spark = cells.sparkSession
     profiles: dict[int, ColumnProfile] = {}
@@ -299,7 +299,7 @@ def _numbers(cells: DataFrame, files: list[_File], moments: dict, summaries: dic
     if wide:
         table = F.broadcast(spark.createDataFrame(wide, "slot int, lower double, upper double"))
         repeated = counts.join(table, "slot").where("value < lower or value > upper").where(F.col("n") >= K.SENTINEL_MIN_REPEATS)
-        note_sentinels(repeated.select("slot", "value", "n"), profiles)
+        note_sentinels(repeated.select("slot", "value", "n"), profiles, lasting)
 
 
 def _samples(cells: DataFrame, files: list[_File]) -> None:

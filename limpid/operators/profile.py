@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
@@ -18,7 +19,7 @@ from limpid.operators.duplicates import count_duplicates
 from limpid.operators.missingness import Association, chi_square, first_associations, point_biserial
 from limpid.operators.sketches import approximate_quantiles
 from limpid.operators.values import SlotSummary, first_cells, number_moments, summarise_texts, unpivot_cells, value_counts
-from limpid.session import aggregate_in_groups, count_rows, kept_if_small, stage
+from limpid.session import aggregate_in_groups, count_rows, fresh_path, kept_if_small, stage
 from limpid.sources.tables import ROW_ID, data_columns
 
 # A repeated extreme value is listed in the plan; more of them than this are kept as a table.
@@ -87,7 +88,8 @@ def with_sentinel_tables(frame: DataFrame, tables: dict[str, str | None]) -> Dat
             found = one if found is None else found.unionByName(one)
     if found is None:
         return frame
-    joined = frame.join(F.broadcast(found), F.col("column") == F.col("__column"), "left")
+    # the size of the sets is not bounded: Spark chooses the join
+    joined = frame.join(found, F.col("column") == F.col("__column"), "left")
     return joined.withColumn("sentinel_values", F.coalesce("__listed", "sentinel_values")).select(frame.columns)
 
 
@@ -155,16 +157,30 @@ def _is_numeric_storage(c: _Cells) -> bool:
     return c.storage in ("int", "float")
 
 
-def _filled_counts(df: DataFrame, cells: list[_Cells]) -> dict:
-    """Filled cells of text, boolean and timestamp columns, and the date span of timestamps."""
-    wanted = {}
-    for c in cells:
-        if c.storage not in ("int", "float"):
-            wanted[f"n{c.slot}"] = F.count(c.raw)
-        if c.storage == "timestamp":
-            wanted |= {f"from{c.slot}": F.min(c.raw).cast("date").cast("string"),
-                       f"to{c.slot}": F.max(c.raw).cast("date").cast("string")}
-    return aggregate_in_groups(df, wanted)
+def _first_pass(df: DataFrame, cells: list[_Cells]) -> tuple[dict, dict]:
+    """Filled cells and date spans of all columns, and the moments of native numbers by slot, in one scan.
+
+    Cells are unpivoted, so the aggregates do not grow with the width of the table.
+    """
+    def parts(c: _Cells) -> list[Column]:
+        number = c.number if c.storage in ("int", "float", "bool") else F.lit(None).cast("double")
+        day = c.raw.cast("date") if c.storage == "timestamp" else F.lit(None).cast("date")
+        return [F.lit(c.slot), c.raw.isNotNull(), number, day]
+
+    if not cells:
+        return {}, {}
+    long = df.select(F.stack(F.lit(len(cells)), *[x for c in cells for x in parts(c)]).alias("slot", "filled", "number", "day"))
+    x = F.col("number")
+    rows = long.where("filled").groupBy("slot").agg(
+        F.count("filled").alias("filled"), F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last"), F.count(x).alias("n"),
+        F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"))
+    base: dict = {f"n{c.slot}": 0 for c in cells}
+    moments = {}
+    for r in rows.collect():
+        base |= {f"n{r.slot}": r.filled, f"from{r.slot}": r.first, f"to{r.slot}": r.last}
+        if r.n:
+            moments[r.slot] = r
+    return base, moments
 
 
 def detect_type(storage: str, filled: int, n_number: int, n_date: int, n_bool: int) -> str:
@@ -202,39 +218,38 @@ def histogram_edges(low: float, high: float) -> list[float]:
 
 
 def profile_table(
-    df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID, missingness: bool = False, approx: bool = False
+    df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID, missingness: bool = False, approx: bool = False,
+    lasting: str | None = None,
 ) -> TableProfile:
     """Profile every column of ``df``.
 
     ``row_id`` names a long column that orders the rows; it is not profiled and only breaks ties.
     With ``missingness`` the value counts also feed the missing-at-random test, so that test needs
     no shuffle of its own. With ``approx`` medians and quartiles, and the fences that follow from them,
-    come from one scan into sketches (``sketches.rank_error``) instead of the exact search.
+    come from one scan into sketches (``sketches.rank_error``) instead of the exact search. Sentinel
+    sets that become tables are written under the folder ``lasting``, so that a stored plan can name
+    them for as long as it is kept; without one they lie in the scratch folder.
     """
     row_id = row_id if row_id in df.columns else None
     rows = count_rows(df)
     with kept_if_small(df, rows, len(df.columns)) as kept:
-        return _profile(kept, rows, malformed_rows, row_id, missingness, approx)
+        return _profile(kept, rows, malformed_rows, row_id, missingness, approx, lasting)
 
 
 def _profile(
-    df: DataFrame, rows: int, malformed_rows: int, row_id: str | None, missingness: bool, approx: bool = False
+    df: DataFrame, rows: int, malformed_rows: int, row_id: str | None, missingness: bool, approx: bool = False,
+    lasting: str | None = None,
 ) -> TableProfile:
     """Three strands of jobs that do not wait for each other: numbers, texts, duplicates."""
     cells = _cells(df, row_id)
     with ThreadPoolExecutor(3) as pool:
         duplicates = pool.submit(count_duplicates, df, row_id, rows)
-        counted = pool.submit(_filled_counts, df, cells)
-        moments = number_moments(df, {c.slot: c.number for c in cells if c.storage in ("int", "float", "bool")})
-        base = counted.result()
-        for c in cells:
-            if c.storage in ("int", "float"):
-                base[f"n{c.slot}"] = moments[c.slot].n if c.slot in moments else 0
+        base, moments = _first_pass(df, cells)
         nulls = {c.slot: rows - base[f"n{c.slot}"] for c in cells}
         texts = pool.submit(_summaries, df, cells, nulls, row_id, missingness)
         native = [c for c in cells if c.storage in ("int", "float", "timestamp")]
         profiles = {c.name: _start_profile(c, rows, nulls[c.slot]) for c in cells}
-        numbers = pool.submit(_numeric_profiles, df, native, base, moments, profiles, approx)
+        numbers = pool.submit(_numeric_profiles, df, native, base, moments, profiles, approx, lasting)
         summaries = texts.result()
         invalid = inconsistent = 0
         for c in cells:
@@ -246,7 +261,7 @@ def _profile(
             base |= {f"from{c.slot}": summaries[c.slot].first_date for c in parsed}
             base |= {f"to{c.slot}": summaries[c.slot].last_date for c in parsed}
             in_text = number_moments(df, {c.slot: c.number for c in parsed if summaries[c.slot].numbers})
-            _numeric_profiles(df, parsed, base, in_text, profiles, approx)
+            _numeric_profiles(df, parsed, base, in_text, profiles, approx, lasting)
         _text_samples(df, cells, profiles, row_id)
         numbers.result()
         copies = duplicates.result()
@@ -328,7 +343,8 @@ def _summaries(
 
 
 def _numeric_profiles(
-    df: DataFrame, cells: list[_Cells], base: dict, moments: dict, profiles: dict[str, ColumnProfile], approx: bool = False
+    df: DataFrame, cells: list[_Cells], base: dict, moments: dict, profiles: dict[str, ColumnProfile],
+    approx: bool = False, lasting: str | None = None,
 ) -> None:
     """Moments, quartiles, fences, histogram and repeated extremes of numeric and date columns."""
     chosen: dict[str, _Cells] = {}
@@ -359,7 +375,7 @@ def _numeric_profiles(
             name = next(n for n, c in chosen.items() if c.slot == slot)
             note_fences(profiles[name], edges.get(name), row.n, row.outside, row.above)
     if fences:
-        _numeric_sentinels(df, {n: chosen[n] for n in fences}, fences, profiles)
+        _numeric_sentinels(df, {n: chosen[n] for n in fences}, fences, profiles, lasting)
 
 
 def number_facts(p: ColumnProfile, m, quartiles: list[float]) -> tuple:
@@ -420,18 +436,18 @@ def _fence_counts(
 
 def _numeric_sentinels(
     df: DataFrame, chosen: dict[str, _Cells], fences: dict[str, tuple[float, float]],
-    profiles: dict[str, ColumnProfile],
+    profiles: dict[str, ColumnProfile], lasting: str | None = None,
 ) -> None:
     """Values outside the wide fences that repeat: a code for "no value", such as -999."""
     outside = {
         c.slot: F.when((c.number < fences[n][0]) | (c.number > fences[n][1]), c.number)
         for n, c in chosen.items()}
     repeated = value_counts(df, outside).filter(F.col("n") >= K.SENTINEL_MIN_REPEATS).select("slot", "value", "n")
-    note_sentinels(repeated, {c.slot: profiles[n] for n, c in chosen.items()})
+    note_sentinels(repeated, {c.slot: profiles[n] for n, c in chosen.items()}, lasting)
 
 
-def note_sentinels(repeated: DataFrame, profiles: dict[int, ColumnProfile]) -> None:
-    """Add repeated extremes (slot, value, n) to the profiles of their columns."""
+def note_sentinels(repeated: DataFrame, profiles: dict[int, ColumnProfile], lasting: str | None = None) -> None:
+    """Add repeated extremes (slot, value, n) to the profiles of their columns; long sets become tables under ``lasting``."""
     repeated = stage(repeated, "repeated-extremes")
     totals = repeated.groupBy("slot").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("k")).collect()
     listed = []
@@ -441,8 +457,8 @@ def note_sentinels(repeated: DataFrame, profiles: dict[int, ColumnProfile]) -> N
         if row.k <= SENTINEL_LIST_LIMIT:
             listed.append(row.slot)
         else:
-            p.sentinel_table = stage(
-                repeated.filter(F.col("slot") == row.slot).select("value"), "sentinels").inputFiles()[0].rsplit("/", 1)[0]
+            p.sentinel_table = f"{lasting.rstrip('/')}/{uuid.uuid4().hex}" if lasting else fresh_path(repeated.sparkSession, "sentinels")
+            repeated.filter(F.col("slot") == row.slot).select("value").write.parquet(p.sentinel_table)
     if listed:
         for row in repeated.filter(F.col("slot").isin(listed)).orderBy("slot", "value").collect():
             profiles[row.slot].sentinel_values.append(row.value)

@@ -32,9 +32,9 @@ class Analysis:
     plan: Plan
 
 
-def analyse(df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID) -> Analysis:
-    """Profile, score and plan of a table."""
-    profile = profile_table(df, malformed_rows, row_id, missingness=True)
+def analyse(df: DataFrame, malformed_rows: int = 0, row_id: str | None = ROW_ID, lasting: str | None = None) -> Analysis:
+    """Profile, score and plan of a table; ``lasting`` is a folder for what the plan refers to."""
+    profile = profile_table(df, malformed_rows, row_id, missingness=True, lasting=lasting)
     return Analysis(profile, score_report(profile), build_plan(profile))
 
 
@@ -77,7 +77,7 @@ def analyse_file(spark: SparkSession, ledger: Ledger, path: str, user_id: str =
     ledger.advance(run_id, "ANALYZING")
     try:
         table = read_csv(spark, path, has_header, multi_line)
-        found = analyse(table.df, table.malformed_rows)
+        found = analyse(table.df, table.malformed_rows, lasting=f"{ledger.folder}/sentinels/{run_id}")
         # a lasting result, so it lies beside the ledger that names it and not in the scratch folder
         flags_path = _written_flags(lambda: drop_flags(table.df, found.plan), f"{ledger.folder}/flags/{run_id}") if flags else None
         ledger.advance(run_id, "AWAITING_REVIEW", scores_before=json.dumps(found.scores),
@@ -112,7 +112,7 @@ def analyse_files(spark: SparkSession, ledger: Ledger, paths: dict[str, str], ke
     runs = {p: hashlib.sha256(f"{key} {i}".encode()).hexdigest()[:32] for p, i in ids.items()}
     begun = [run_event(runs[address[p]], i, status) for p, i in paths.items() for status in ("PENDING", "ANALYZING")]
     started = {"created_at": begun[0]["created_at"]} if begun else {}
-    found = profile_files(spark, list(paths), has_header)
+    found = profile_files(spark, list(paths), has_header, f"{ledger.folder}/sentinels")
     done = {p: Analysis(t, score_report(t), build_plan(t)) for p, t in found.profiles.items()}
     folder = None
     if flags and done:
