@@ -189,6 +189,19 @@ def plan_warnings(spark, folder):
         "column", F.explode("warnings").alias("warning"))
 
 
+_NULL_PCT = "format('{{:.1f}}', (count(*) - count({c})) / count(*) * 100)"
+
+
+@query("plan_warnings_part", with_views("d_part", f"""WITH o AS ({_numeric_sql('d_part', 'price')}), n AS (SELECT count(*) AS n FROM d_part)
+SELECT 'p_brand' AS "column", 'drop_column will remove the entire ''p_brand'' column (' || {_NULL_PCT.format(c='p_brand')} || '% of values are missing).' AS warning FROM d_part
+UNION ALL SELECT 'p_type', '''p_type'' has ' || {_NULL_PCT.format(c='p_type')} || '% nulls — kept as-is (MAR detected or intentional).' FROM d_part
+UNION ALL SELECT 'price', '''price'' has ' || outlier_count || ' outlier(s) (' || format('{{:.1f}}', outlier_count / n * 100) || '% of rows) — strategy ''' ||
+  CASE WHEN outlier_count / n < 0.01 THEN 'remove' ELSE 'winsorise' END || ''' auto-selected; verify these are not legitimate extremes before confirming.' FROM o, n"""))
+def plan_warnings_part(spark, folder):
+    """The warnings of dropped and kept columns and of outliers."""
+    return plan_frame(spark, plan_of(spark, folder, "d_part")).select("column", F.explode("warnings").alias("warning"))
+
+
 # --- single steps over whole tables -----------------------------------------------------------
 
 _PRICE = "CASE WHEN o_totalprice <> -9999999 THEN o_totalprice END"

@@ -39,6 +39,12 @@ SELECT c_custkey AS row_no, c_custkey, c_name, c_nationkey,
   CASE WHEN c_nationkey < 5 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal
 FROM customer""",
+    # an empty column, gaps that depend on the size, and a few prices far out
+    "d_part": """
+SELECT p_partkey AS row_no, p_partkey, CASE WHEN p_partkey < 0 THEN p_brand END AS p_brand,
+  CASE WHEN p_size > 25 THEN NULL ELSE p_type END AS p_type, p_size,
+  CASE WHEN p_partkey % 150 = 0 THEN CAST(p_partkey AS DOUBLE) * 100000 ELSE p_retailprice END AS price
+FROM part""",
     # orders stand in for runs, customers for files
     "runs": """
 SELECT o_orderkey AS run_id, o_custkey AS file_id, o_orderdate AS created_at,
