@@ -190,7 +190,7 @@ def cleaned_row_order(spark, folder):
     return numbered(back, "position").select("c_custkey", "c_name", "position")
 
 
-@query("parquet_row_order", "SELECT p_partkey, row_number() OVER () - 1 AS position FROM part")
+@query("parquet_row_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part")
 def parquet_row_order(spark, folder):
     return read_parquet(spark, f"{folder}/part.parquet").select("p_partkey", F.col(ROW_ID).alias("position"))
 

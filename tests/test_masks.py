@@ -22,9 +22,11 @@ def test_every_choice(spark, step, dense):
     found = masks.flag_masks(flags, dense=dense).cache()
     assert found.where("operation = 'rows'").count() == 3
     patterns = patterns_of_flags(flags.fillna(False)).cache()
-    for a, b, o, d in itertools.product(("drop_row", "median"), ("drop_row", "mode"), ("remove", "keep"), ("drop", "ignore")):
-        chosen = Strategies({"a": a, "b.c": b, "gone": "drop_row"}, {"a": o}, d)
-        assert masks.impact_of_masks(found, chosen).collect() == drop_impact(patterns, chosen).collect()
+    options = itertools.product(("drop_row", "median"), ("drop_row", "mode"), ("remove", "keep"), ("drop", "ignore"))
+    choices = {str(k): Strategies({"a": a, "b.c": b, "gone": "drop_row"}, {"a": o}, d) for k, (a, b, o, d) in enumerate(options)}
+    got = {r.choice: tuple(r)[1:] for r in masks.impacts_of_masks(found, choices).collect()}
+    assert got == {name: tuple(drop_impact(patterns, chosen).first()) for name, chosen in choices.items()}
+    assert tuple(masks.impact_of_masks(found, choices["0"]).first()) == got["0"]
 
 
 def test_overlaps(spark):
