@@ -278,7 +278,8 @@ def with_language(docs: DataFrame, model: Model, to: str = "lang_pred", score: s
                 part, held = [], 0
         return pd.DataFrame({"lang": names, "score": scores})
 
-    found = docs.withColumn("__language", label(F.col("text")))
+    # not repeated: a filter on the prediction must not run the network a second time
+    found = docs.withColumn("__language", label.asNondeterministic()(F.col("text")))
     return found.withColumn(to, F.col("__language.lang")).withColumn(score, F.col("__language.score")).drop("__language")
 
 
