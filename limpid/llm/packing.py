@@ -68,18 +68,26 @@ class WordTokenizer:
         self.flat = np.empty(1 << 20, np.uint32)
         self.starts = np.zeros(self.remembered + 1, np.int64)
 
+    def _of_unit(self, unit: str) -> list[int]:
+        known = self.units.get(unit)
+        if known is None:
+            known = self.units[unit] = [t.id for t in self.model.tokenize(unit if unit.isascii() else unit.translate(self.letters))]
+        return known
+
     def _of_word(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
         if word.isalpha():  # ASCII letters alone are one unit
-            return [t.id for t in self.model.tokenize(text.lower())]
+            return self._of_unit(text.lower())
         if not _PLAIN.fullmatch(text):
             return self.whole.encode(text, add_special_tokens=False).ids
-        found, units = [], self.units
-        for unit in _UNITS.findall(text.lower()):
-            known = units.get(unit)
-            if known is None:
-                known = units[unit] = [t.id for t in self.model.tokenize(unit if unit.isascii() else unit.translate(self.letters))]
-            found += known
+        text = text.lower()
+        if text.isalpha():
+            return self._of_unit(text)
+        if text[:-1].isalpha() and not text[-1].isalnum():  # a word and a sign are two units
+            return self._of_unit(text[:-1]) + self._of_unit(text[-1])
+        found: list[int] = []
+        for unit in _UNITS.findall(text):
+            found += self._of_unit(unit)
         return found
 
     def _remember(self, words: list[bytes]) -> None:
