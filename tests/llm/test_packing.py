@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -135,3 +136,22 @@ def test_against_a_slow_search():
         # ties between pairs of one sum may go either way, so bins agree in what they hold, the first one exactly
         assert sum(first) == sum(slow[0])
         assert abs(len(set(bins.tolist())) - len(slow)) <= 1
+
+
+def test_texts_side_by_side_ask_for_distinct_words_only(whole, monkeypatch):
+    own, asked = K.WordTokenizer(PATH, 40), []
+    places = own._places
+    monkeypatch.setattr(own, "_places", lambda words: asked.append(words) or places(words))
+    texts = pa.array([*ODD, None, "", " lead and\ttrail \n", "a b a b a"] * 3, pa.string())
+    for part in (texts, texts[5:9], texts[:0]):
+        ids, sizes = own.encode_all(part)
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert all(len(words) == len(set(words)) for words in asked)
+
+
+def test_parts_of_a_batch_give_the_same_pieces(hard, monkeypatch):
+    rows = lambda: sorted(map(str, K.tokenised_pieces(hard, PATH, 64, with_ids=True).collect()))
+    before = rows()
+    monkeypatch.setattr(K, "PART_OCTETS", 1)
+    assert rows() == before
