@@ -166,8 +166,8 @@ def csv_documents(spark, folder):
 
 @query("csv_documents_split", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def csv_documents_split(spark, folder):
-    """The texts in one CSV file, which is read by blocks: quoted cells run over the ends of lines and blocks."""
-    path = write_raw(table(spark, folder, "documents").coalesce(1), fresh_path(spark, "raw"), "documents", "documents.csv")
+    """The texts in CSV files, one per task that read them, which are read by blocks: quoted cells run over the ends of lines and blocks."""
+    path = write_raw(table(spark, folder, "documents"), fresh_path(spark, "raw"), "documents", "documents.csv")
     return read_csv(spark, path, block_bytes=1 << 18).df.drop(ROW_ID)
 
 

@@ -4,9 +4,10 @@ import random
 
 import pytest
 
+from limpid.catalog import records
 from limpid.sources import blocks
 from limpid.sources.csv import preview_csv, read_csv, scan_csv
-from limpid.sources.tables import ROW_ID
+from limpid.sources.tables import ROW_ID, write_raw
 
 
 def cell(rng):
@@ -88,3 +89,14 @@ def test_names_with_odd_characters(spark, tmp_path):
     whole = rows_of(scan_csv(spark, str(tmp_path)))
     assert len({r[0] for r in whole}) == 60 and rows_of(scan_csv(spark, str(tmp_path), block_bytes=64)) == whole
     assert preview_csv(spark, str(tmp_path / "a b.csv")).count() == 20
+
+
+def test_documents_are_written_by_the_tasks_that_read_them(spark, tmp_path, monkeypatch):
+    rows = [(i, f'line "{i}",\nnext, ' * 3, None if i % 5 else "en", f"s{i % 3}", i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tasks = []
+    monkeypatch.setattr(records, "write_raw", lambda df, *to: tasks.append(df.rdd.getNumPartitions()) or write_raw(df, *to))
+    monkeypatch.setattr(records, "read_csv", lambda *of, block_bytes: read_csv(*of, block_bytes=200))
+    assert sorted(tuple(r) for r in records.csv_documents_split(spark, str(tmp_path)).collect()) == rows
+    assert tasks == [3]
