@@ -22,7 +22,9 @@ from pyspark.sql.window import Window
 
 STATES = 8
 WINDOW = 64
-BLOCK = 4096
+# windows that run through the network together, and characters of texts that are cut into windows together
+BLOCK = 1024
+PART_CHARS = 1_000_000
 FOLDS = 5
 UNKNOWN = "und"
 # the sample: training rows per language, those with the smallest hash of their id, and windows that
@@ -271,7 +273,7 @@ def with_language(docs: DataFrame, model: Model, to: str = "lang_pred", score: s
         for k, text in enumerate(listed):
             part.append(text)
             held += len(text or "")
-            if held > 4_000_000 or k == len(listed) - 1:
+            if held > PART_CHARS or k == len(listed) - 1:
                 found, share = predict(Model(*shared.value), part)
                 names += found
                 scores += share.tolist()

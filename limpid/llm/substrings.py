@@ -31,6 +31,8 @@ WINDOW = 50
 MINIMISER = 8
 # super-k-mers per bucket, before a minimiser is dealt over several buckets
 BUCKET_ROWS = 2048
+# documents that are written together
+PART_ROWS = 1000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -265,7 +267,8 @@ def _rest(docs: DataFrame, repeated: DataFrame, window: int, schema: str, finish
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a part of a batch at a time, so that the new texts of a whole one do not wait beside the old ones
+        for batch in (whole.slice(at, PART_ROWS) for whole in batches for at in range(0, whole.num_rows, PART_ROWS)):
             made = []
             for text, runs in zip(batch.column(place), batch.column(len(names))):
                 words = words_of(text.as_py())

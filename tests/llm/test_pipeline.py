@@ -1,7 +1,7 @@
 """Stages of the pipeline on hard rows and on the test tables."""
 
 import corpus_pipeline as C
-from limpid.llm import simhash, substrings
+from limpid.llm import language, simhash, substrings
 
 
 def test_stages_on_hard_rows(spark, hard):
@@ -44,3 +44,12 @@ def test_whole_run(spark):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 1
+
+
+def test_small_parts_of_a_batch_change_nothing(spark, hard, monkeypatch):
+    docs = hard.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = lambda step: sorted(map(str, step(spark, docs, "").collect()))
+    before = rows(C.language_id), rows(C.substring_dedup)
+    monkeypatch.setattr(language, "PART_CHARS", 40)
+    monkeypatch.setattr(substrings, "PART_ROWS", 2)
+    assert (rows(C.language_id), rows(C.substring_dedup)) == before
