@@ -361,3 +361,80 @@ def test_totals_are_those_of_the_seating(spark):
         base = 1 / (totals.words + 1)
         unknown = P._smoothed(0, 0, totals.customers[2][0], totals.tables[2][0], totals.discounts[2], base)
         assert known + unknown == pytest.approx(1.0)
+
+
+def slow_tables(count, d, w):
+    """Probabilities of 1, 2, ... tables, each seating by its weight w^tables times (1 - d)...(guests - 1 - d) per table."""
+    logs = [0.0]
+    for c in range(1, count):
+        joined = [x + math.log(c - d * t) for t, x in enumerate(logs, 1)]
+        logs = [np.logaddexp(a, b) for a, b in zip([-np.inf, *logs], [*joined, -np.inf])]
+    logs = np.array(logs) + np.arange(1, count + 1) * math.log(w)
+    chance = np.exp(logs - logs.max())
+    return chance / chance.sum()
+
+
+@pytest.mark.parametrize("d", [0.05, 0.5, 0.8])
+def test_chances_of_many_customers_are_exact(d):
+    for count in (P.LISTED + 1, P.LISTED + 400):
+        for w in (1e-9, 0.3, 20.0, 600.0, 2e4, 3e5, 1e9, 1e30):
+            tables, chance = P.table_chances(count, d, w)
+            got = np.zeros(count)
+            got[tables - 1] = chance
+            assert abs(got - slow_tables(count, d, w)).sum() < 2e-6
+
+
+def test_draws_follow_the_exact_distribution():
+    rng = np.random.default_rng(8)
+    for count, d, w in [(2, 0.8, 0.4), (3, 0.3, 2.0), (9, 0.7, 0.05), (40, 0.6, 3.0), (40, 0.6, 1e12), (P.LISTED, 0.5, 40.0), (P.LISTED + 1, 0.5, 40.0)]:
+        n = 20_000 if count <= P.LISTED else 800
+        found = P.drawn_tables(np.full(n, count), d, np.full(n, w), rng)
+        assert abs(np.bincount(found, minlength=count + 1)[1:] / n - slow_tables(count, d, w)).max() < 2.5 / math.sqrt(n)
+    assert P.drawn_tables(np.array([0, 1, 0, 1]), 0.5, np.ones(4), rng).tolist() == [0, 1, 0, 1]
+    assert P.drawn_tables(np.array([5, 3000]), 0.5, np.zeros(2), rng).tolist() == [1, 1] and len(P.drawn_tables(np.empty(0, np.int64), 0.5, np.empty(0), rng)) == 0
+
+
+def test_draws_seat_like_customers_one_by_one(monkeypatch):
+    monkeypatch.setattr(P, "TURNS", 10 ** 9)
+    rng = np.random.default_rng(9)
+    for count, d, w in [(4, 0.7, 0.5), (20, 0.8, 2.0), (40, 0.6, 4.0)]:
+        s = P.Seating(np.full(2000, count), d, np.full(2000, w), rng)
+        s.reseat(np.full(2000, w), 60)
+        drawn = P.drawn_tables(np.full(20_000, count), d, np.full(20_000, w), rng)
+        assert abs(s.tables().mean() / drawn.mean() - 1) < 0.05 and abs(s.tables().std() / drawn.std() - 1) < 0.1
+
+
+def test_what_is_staged_follows_the_pairs_and_not_the_customers():
+    """A word that comes 200 million times takes no more room or work than one that comes twice."""
+    sizes = {}
+    for n in (2, 200_000_000):
+        row = {"words": P._pack(np.arange(3, dtype=np.uint64)), "lengths": P._pack(np.array([2, 1, 1], np.int32)),
+               "contexts": P._pack(np.array([5, 9, 5, 7], np.uint16)), "counts": P._pack(np.array([n, 1, n, 3]))}
+        bucket = P.Bucket.resumed(row)
+        known = P.Totals([np.ones(m) for m in P._LEVELS], [np.full(m, 1e3) for m in P._LEVELS], [0.5, 0.6, 0.7], 2 * n + 4, 3)
+        for levels, _, _ in bucket.sample(known, np.random.default_rng(1), 2, 3):
+            assert all((c >= t).all() and (t >= np.minimum(c, 1)).all() for c, t in levels)
+        sizes[n] = P._state(0, bucket, levels, []).nbytes
+    assert sizes[200_000_000] < sizes[2] + 200
+
+
+def test_places_are_in_order():
+    rng = np.random.default_rng(10)
+    tokens = rng.integers(0, 300, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    context, bucket = rng.integers(0, P._LEVELS[0], 5000).astype(np.uint16), (tokens % np.uint64(7)).astype(np.int64)
+    assert np.array_equal(P._order(tokens, context, bucket), np.lexsort((context, tokens, bucket)))
+    frequent = np.sort(np.unique(tokens)[:9])
+    apart = [P.contexts_of(t, frequent) for t in np.split(tokens, [1, 2, 40, 4999])]
+    assert np.array_equal(np.concatenate(apart), P._contexts(tokens, np.array([0, 1, 2, 40, 4999]), frequent))
+
+
+def test_superseded_seatings_are_deleted(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} a b d{i}", False) for i in range(20)], "doc_id bigint, text string, held boolean")
+    monkeypatch.setattr("limpid.session.shared_folder", lambda spark: str(tmp_path))
+    packed = P.packed_chunks(docs, np.empty(0, np.uint64), 20)
+    state, _ = P.seated(packed, 20, 1, 3)
+    assert len([p for p in (tmp_path / "limpid").iterdir() if p.name.startswith("seating")]) == 1 and state.count() == len({r.bucket for r in state.collect()})
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert P.by_bucket(packed, 20 * least, "bucket", "chunk").rdd.getNumPartitions() <= 20 * least // P.IN_TURN + 1
+    with pytest.raises(ValueError):
+        P.unstage(spark.read.parquet(f"{FOLDER}/documents.parquet"))
