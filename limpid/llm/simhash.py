@@ -81,8 +81,9 @@ def near_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
                         (F.col("fingerprint").bitwiseAND(F.col("i.dropped")) != 0).alias("one")))
     zeros = variants.where("exact or not one").select(F.col("fingerprint").alias("a"), "spot", "rest", "exact")
     ones = variants.where("exact or one").select(F.col("fingerprint").alias("b"), "spot", "rest")
-    # under an exact key every fingerprint is on both sides, so only one order of a pair counts
-    return (zeros.join(ones, ["spot", "rest"])
+    # under an exact key every fingerprint is on both sides, so only one order of a pair counts; both sides are sorted,
+    # since Spark sizes the variants like the fingerprints they are made of and would broadcast them from the driver
+    return (zeros.join(ones.hint("merge"), ["spot", "rest"])
             .where((~F.col("exact") | (F.col("a") < F.col("b")))
                    & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("a") != F.col("b")))
             .select("a", "b"))

@@ -47,6 +47,16 @@ def test_only_ascii_letters_and_spaces_are_special():
     assert simhash.fingerprint("a b c") != simhash.fingerprint("a b c")
 
 
+def test_variants_are_not_broadcast(spark, tmp_path):
+    """66 variants come from a fingerprint, but Spark sizes them like one: they must not go through the driver."""
+    path = str(tmp_path / "prints")
+    spark.range(2000).selectExpr("xxhash64(id) AS fingerprint").union(spark.sql("SELECT 5L UNION ALL SELECT 4L")).write.parquet(path)
+    links = simhash.near_links(spark.read.parquet(path))
+    assert [tuple(r) for r in links.distinct().collect() if {r.a, r.b} <= {4, 5}] == [(4, 5)]
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(0, 60)]
