@@ -1,7 +1,7 @@
 """Stages of the pipeline on hard rows and on the test tables."""
 
 import corpus_pipeline as C
-from limpid.llm import language, simhash, substrings
+from limpid.llm import components, language, simhash, substrings
 
 
 def test_stages_on_hard_rows(spark, hard):
@@ -53,3 +53,16 @@ def test_small_parts_of_a_batch_change_nothing(spark, hard, monkeypatch):
     monkeypatch.setattr(language, "PART_CHARS", 40)
     monkeypatch.setattr(substrings, "PART_ROWS", 2)
     assert (rows(C.language_id), rows(C.substring_dedup)) == before
+
+
+def test_near_dedup_broadcasts_no_variants(spark, monkeypatch):
+    plans = []
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components.connected_components(links)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    folder = "/root/testdata/sf0.001"
+    assert C.near_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() > 0
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
